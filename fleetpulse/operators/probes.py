@@ -181,6 +181,18 @@ def vanished_followers(followers: DataFrame) -> DataFrame:
     )
 
 
+def new_followers(followers: DataFrame) -> DataFrame:
+    """Followers of a good refresh that were not in the cluster's good one before."""
+    seen = refreshes(followers)
+    rounds = previous(seen.select("cluster", "poll_ts").distinct(), ["cluster"], ["poll_ts"], ["poll_ts"])
+    rounds = rounds.select("cluster", "poll_ts", F.col("prev.poll_ts").alias("before_ts"))
+    now = seen.where(F.col("addr").isNotNull()).join(rounds, ["cluster", "poll_ts"])
+    before = seen.select("cluster", F.col("poll_ts").alias("before_ts"), "addr")
+    return now.join(before, ["cluster", "before_ts", "addr"], "left_anti").select(
+        "cluster", "addr", F.col("poll_ts").alias("ts")
+    )
+
+
 def latest_present(
     gauges: DataFrame, gone: DataFrame, keys: list[str], values: list[str], order: list[str]
 ) -> DataFrame:
