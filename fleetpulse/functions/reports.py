@@ -5,38 +5,48 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import atoi_or_zero
 
-_BLANKS = " \t\r\n\x0b\x0c"
+_BLANKS = r" \t\r\x0b\x0c"
 
 
 def kv_get(reply: Column, key: str) -> Column:
     """The value of `key` in a flat array key, value, key, value ...; the last one wins.
 
-    A trailing key without a value is dropped. Null if the key does not occur.
+    A trailing key without a value is dropped. Null if the key does not occur. The last item equal
+    to `key` is nearly always a key with a value, which compiled code finds; only where it is a
+    value or the trailing item are all items looked at.
     """
+    back = F.array_position(F.reverse(reply), key)
+    at = F.size(reply) - back.cast("int")
     values = F.transform(
         reply,
         lambda item, i: F.when(
             (i % 2 == 1) & (F.get(reply, i - 1) == key), F.coalesce(item, F.lit(""))
         ),
     )
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+    return (
+        F.when(back == 0, F.lit(None).cast("string"))
+        .when((back > 1) & (at % 2 == 0), F.coalesce(F.get(reply, at + 1), F.lit("")))
+        .otherwise(F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1)))
+    )
 
 
 def replication_state(text: Column) -> Column:
-    """A node's report to a struct (role, master_host, master_port, link); null if there is none."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(_BLANKS)))
+    """A node's report to a struct (role, master_host, master_port, link); null if there is none.
+
+    Blanks around a line do not count; of several lines for one field the last one wins.
+    """
 
-    def last(prefix: str) -> Column:
-        line = F.try_element_at(F.filter(lines, lambda x: x.startswith(prefix)), F.lit(-1))
-        return F.coalesce(F.substring(line, len(prefix) + 1, 1 << 30), F.lit(""))
+    def last(field: str) -> Column:
+        line = rf"^(?s:.*\n)?[{_BLANKS}]*{field}:([^\n]*)"
+        return F.rtrim(F.regexp_extract(text, line, 1), F.lit(" \t\r\x0b\x0c"))
 
     return F.when(
         text.isNotNull(),
         F.struct(
-            last("role:").alias("role"),
-            last("master_host:").alias("master_host"),
-            atoi_or_zero(last("master_port:")).alias("master_port"),
-            last("master_link_status:").alias("link"),
+            last("role").alias("role"),
+            last("master_host").alias("master_host"),
+            atoi_or_zero(last("master_port")).alias("master_port"),
+            last("master_link_status").alias("link"),
         ),
     )
 

@@ -71,7 +71,7 @@ def with_value(log: DataFrame) -> DataFrame:
 
 def latest(df: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
     """The values of the last row per key, with its order columns."""
-    last = F.max_by(F.struct(*order, *values), F.struct(*order))
+    last = F.max_by(F.struct(*dict.fromkeys([*order, *values])), F.struct(*order))
     return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
 
 

@@ -190,8 +190,7 @@ def lifecycle_progress(states: DataFrame) -> DataFrame:
     """
     spark = states.sparkSession
     order = state_order(spark).agg(F.array_sort(F.collect_list(F.struct("depth", "state"))).alias("order"))
-    path = F.transform(order.scalar(), lambda x: x["state"])
-    rows = states.select("cluster", F.col("state").alias("current_state"), path.alias("path"))
+    rows = states.select("cluster", F.col("state").alias("current_state"), order.scalar()["state"].alias("path"))
     at = F.array_position("path", F.col("current_state")) - 1
     known = rows.withColumn("at", at).select(
         "cluster", "current_state", "at",

@@ -49,7 +49,8 @@ def nanos(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) * 1000
 
 
-def _poll_time(number: Column) -> Column:
+def poll_time(number: Column) -> Column:
+    """The time of the poll with that number."""
     return F.expr(EPOCH) + F.make_dt_interval(secs=(number * POLL_SECONDS).cast("decimal(18,6)"))
 
 
@@ -90,6 +91,14 @@ def probe_log(spark: SparkSession, folder: str) -> DataFrame:
     return probe_log_of(table(spark, folder, "events"))
 
 
+def slow_probe_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Leader reads whose value moves only every 200 events, and at times falls back."""
+    e = F.col("seq")
+    n = e - e % 200 - F.when(F.floor(e / 700) % 3 == 2, 500).otherwise(0)
+    reads = probe_log(spark, folder).where((F.col("role") == "master_read") & F.col("err").isNull())
+    return reads.withColumn("raw", F.concat_ws(":", n, nanos(F.col("ts")) - (e % 200) * 13000000000))
+
+
 def node_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Inventory rows with the text of each node's own report (null: unreachable)."""
     k = F.col("c_custkey")
@@ -127,13 +136,11 @@ def node_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leaders_told(spark: SparkSession, folder: str) -> DataFrame:
-    """What coordinators say of each cluster now: port 6380 + cluster number, none for c24."""
-    k = F.col("c_custkey")
-    return (
-        table(spark, folder, "customer")
-        .where((k < 25) & (k != 24))
-        .select(F.concat(F.lit("c"), k).alias("cluster"), (6380 + k).alias("leader_port"))
-    )
+    """What coordinators say of each cluster now: port 6380 + cluster number; 0, no answer, for c24."""
+    c = F.col("c_custkey") % 25
+    return table(spark, folder, "customer").select(
+        F.concat(F.lit("c"), c).alias("cluster"), F.when(c == 24, 0).otherwise(6380 + c).alias("leader_port")
+    ).distinct()
 
 
 def node_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,7 +205,7 @@ def leader_polls(spark: SparkSession, folder: str) -> DataFrame:
     ok = F.col("o_orderstatus") != "P"
     cluster = F.concat(F.lit("c"), c)
     return table(spark, folder, "orders").select(
-        _poll_time(o).alias("poll_ts"),
+        poll_time(o).alias("poll_ts"),
         (o % 3).cast("int").alias("ord"),
         F.concat(F.lit("fleet-sentinel-"), 26379 + o % 3).alias("coordinator"),
         F.when(o % 3 == 2, 8).otherwise(6).alias("version"),
@@ -219,12 +226,13 @@ def leader_polls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def follower_polls(spark: SparkSession, folder: str) -> DataFrame:
+def follower_polls_of(lineitem: DataFrame) -> DataFrame:
     """One row per listed follower and refresh, from `lineitem`; the refresh is the order."""
     o, s = F.col("l_orderkey"), F.col("l_suppkey") % 8
     ok = o % 10 != 0
-    return table(spark, folder, "lineitem").select(
-        _poll_time(o).alias("poll_ts"),
+    none = F.array().cast("array<string>")
+    return lineitem.select(
+        poll_time(o).alias("poll_ts"),
         (o % 3).cast("int").alias("ord"),
         F.concat(F.lit("fleet-sentinel-"), 26379 + o % 3).alias("coordinator"),
         F.when(o % 3 == 2, 8).otherwise(6).alias("version"),
@@ -234,8 +242,8 @@ def follower_polls(spark: SparkSession, folder: str) -> DataFrame:
         F.when(
             ok,
             F.concat(
-                F.when(F.col("l_linenumber") == 2, F.array(F.lit("port"), F.lit("1"))).otherwise(F.array().cast("array<string>")),
-                F.when(F.col("l_linenumber") == 4, F.array(F.lit(""), F.lit("x"))).otherwise(F.array().cast("array<string>")),
+                F.when(F.col("l_linenumber") == 2, F.array(F.lit("port"), F.lit("1"))).otherwise(none),
+                F.when(F.col("l_linenumber") == 4, F.array(F.lit(""), F.lit("x"))).otherwise(none),
                 F.array(
                     F.lit("ip"),
                     F.when(F.col("l_partkey") % 50 == 0, "").otherwise(F.concat(F.lit("10.0.1."), s)),
@@ -244,12 +252,16 @@ def follower_polls(spark: SparkSession, folder: str) -> DataFrame:
                     F.lit("slave-priority"),
                     F.when(F.col("l_quantity") > 25, "100").otherwise("1"),
                 ),
-                F.when(F.col("l_linenumber") == 3, F.array(F.lit("flags"))).otherwise(F.array().cast("array<string>")),
+                F.when(F.col("l_linenumber") == 3, F.array(F.lit("flags"))).otherwise(none),
             ),
         ).alias("kv"),
     )
 
 
+def follower_polls(spark: SparkSession, folder: str) -> DataFrame:
+    return follower_polls_of(table(spark, folder, "lineitem"))
+
+
 def trigger_log_of(orders: DataFrame) -> DataFrame:
     """`trigger_log` rows of `orders` rows; works on a batch and on a stream."""
     return orders.select(
@@ -325,7 +337,7 @@ def command_log_of(lineitem: DataFrame) -> DataFrame:
     o = F.col("l_orderkey")
     node = o % 25 + 25 * (F.col("l_suppkey") % 3)
     return lineitem.select(
-        (_poll_time(o) + F.make_dt_interval(secs=F.col("l_linenumber").cast("decimal(18,6)"))).alias("ts"),
+        (poll_time(o) + F.make_dt_interval(secs=F.col("l_linenumber").cast("decimal(18,6)"))).alias("ts"),
         (o * 10 + F.col("l_linenumber")).alias("seq"),
         F.concat(F.lit("node-"), node).alias("node"),
         F.concat(F.lit("c"), o % 25).alias("cluster"),
