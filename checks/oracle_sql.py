@@ -391,9 +391,12 @@ oracle("leader_intervals", "SELECT * FROM led", ANSWERS)
 oracle("followers_observed", """SELECT cluster, poll_ts, count(addr) AS observed FROM good
   WHERE (cluster, poll_ts) IN (SELECT (cluster, max(poll_ts)) FROM good GROUP BY cluster) GROUP BY cluster, poll_ts""", LISTED)
 oracle("vanished_followers", "SELECT * FROM lost", LISTED)
-oracle("new_followers", "SELECT * FROM joined", LISTED)
-oracle("stream_follower_changes", """SELECT cluster, addr, gone_ts AS ts, 'left' AS change FROM lost
-  UNION ALL SELECT cluster, addr, ts, 'joined' FROM joined""", LISTED)
+for _name in ("follower_changes", "stream_follower_changes"):
+    oracle(_name, """SELECT cluster, addr, gone_ts AS ts, 'left' AS change FROM lost
+      UNION ALL SELECT cluster, addr, ts, 'joined' FROM joined""", LISTED)
+oracle("observed_samples", """SELECT 'probe_replicas_observed' AS metric, cluster AS labels, poll_ts AS ts,
+  count(addr)::DOUBLE AS value FROM good
+  WHERE (cluster, poll_ts) IN (SELECT (cluster, max(poll_ts)) FROM good GROUP BY cluster) GROUP BY cluster, poll_ts""", LISTED)
 oracle("follower_addresses", "SELECT DISTINCT cluster, addr FROM listed WHERE addr IS NOT NULL", LISTED)
 oracle("visible_followers", "SELECT cluster, port, name FROM plane WHERE (cluster, port) IN (SELECT (cluster, port) FROM first_now)",
        NODES, LISTED)
@@ -450,3 +453,14 @@ jobs AS (
   SELECT 'workload', '172.18.' || substr(id, 9, 4) || ':9300', NULL, '172.18.' || substr(id, 9, 4) || ':9300', NULL, NULL, NULL, cluster
   FROM containers WHERE role = 'client-workload')"""
 oracle("scrape_targets", "SELECT * FROM jobs", CONTAINERS, TARGETS)
+oracle("relabelled_targets", """SELECT label, count(value) AS targets, count(DISTINCT value) AS values FROM (
+    SELECT unnest(['__address__', '__param_target', 'instance', 'redis_instance', 'redis_cluster', 'redis_version_major',
+        '__meta_docker_network_name', '__meta_docker_network_ip', '__meta_docker_container_label_fleet_target_port',
+        '__meta_docker_container_label_fleet_managed', '__meta_docker_container_label_fleet_role',
+        '__meta_docker_container_label_fleet_cluster', '__meta_docker_container_label_fleet_version',
+        '__meta_docker_container_label_fleet_port', '__meta_docker_container_label_fleet_name']) AS label,
+      unnest(['fleet-redis-exporter:9121', uri, uri, name, cluster, v, 'fleet', '172.18.' || substr(id, 9, 4), '9300',
+        CASE WHEN managed THEN 'true' ELSE 'false' END, role, cluster, v, CASE WHEN port > 0 THEN port::VARCHAR END, name]) AS value
+    FROM (SELECT *, CASE WHEN version = 0 THEN 'six' ELSE version::VARCHAR END AS v,
+        CASE WHEN port > 0 THEN 'redis://' || name || ':' || port END AS uri FROM containers WHERE plane))
+  WHERE value IS NOT NULL GROUP BY label""", CONTAINERS)

@@ -213,7 +213,9 @@ on(tables.coordinator_view, "pick_leader", lambda v: topo.pick_leader(topo.disco
 on(tables.coordinator_view, "leader_changes", convergence.leader_changes)
 on(tables.coordinator_view, "followers_observed", lambda v: probes.followers_observed(topo.followers(v)))
 on(tables.coordinator_view, "vanished_followers", lambda v: probes.vanished_followers(topo.followers(v)))
-on(tables.coordinator_view, "new_followers", lambda v: probes.new_followers(topo.followers(v)))
+on(tables.coordinator_view, "follower_changes", lambda v: probes.follower_changes(topo.followers(v)))
+on(tables.coordinator_view, "observed_samples",
+   lambda v: probes.observed_samples(topo.followers(v)).withColumn("labels", F.col("labels")["cluster"]))
 
 
 @query

@@ -37,8 +37,8 @@ def replication_state(text: Column) -> Column:
     """
 
     def last(field: str) -> Column:
-        line = rf"^(?s:.*\n)?[{_BLANKS}]*{field}:([^\n]*)"
-        return F.rtrim(F.regexp_extract(text, line, 1), F.lit(" \t\r\x0b\x0c"))
+        lines = F.regexp_extract_all(text, F.lit(rf"(?md)^[{_BLANKS}]*{field}:(.*)"), F.lit(1))
+        return F.coalesce(F.rtrim(F.try_element_at(lines, F.lit(-1)), F.lit(" \t\r\x0b\x0c")), F.lit(""))
 
     return F.when(
         text.isNotNull(),

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import seconds
-from fleetpulse.operators.ordered import carry, following, previous
+from fleetpulse.operators.ordered import Look, following, look, previous
 from fleetpulse.operators.sizing import limit_of, written
 from fleetpulse.operators.topology import leader_answers
 
@@ -26,7 +26,7 @@ def leader_changes(view: DataFrame) -> DataFrame:
 
 def leader_intervals(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Who led from when to when, by node name; `to_ts` is null while it lasts."""
-    runs = following(changes, ["cluster"], ["poll_ts"], ["poll_ts"]).select(
+    runs = following(written(changes, "changes"), ["cluster"], ["poll_ts"], ["poll_ts"]).select(
         "cluster", "port", F.col("poll_ts").alias("from_ts"), F.col("next.poll_ts").alias("to_ts")
     )
     names = nodes.groupBy("cluster", "port").agg(F.min("name").alias("node"))
@@ -54,7 +54,7 @@ def leader_commands(commands: DataFrame, intervals: DataFrame) -> DataFrame:
     marks = starts.unionByName(ends)
     rows = commands.withColumn("rank", F.lit(2)).unionByName(marks, allowMissingColumns=True)
     order = ["ts", "rank", "seq"]
-    seen = carry(rows, ["cluster"], order, "now", F.when(F.col("rank") < 2, F.struct("led")))
+    seen = look(rows, ["cluster"], order, Look("now", F.when(F.col("rank") < 2, F.struct("led"))))
     return seen.where((F.col("rank") == 2) & (F.col("now.led") == F.col("node"))).select(*commands.columns)
 
 
@@ -67,7 +67,8 @@ def time_to(starts: DataFrame, polls: DataFrame, keys: list[str], limit: str) ->
     rows = starts.select(*keys, "ts", F.lit(0).alias("rank"), "id").unionByName(
         polls.select(*keys, "ts", F.lit(1).alias("rank"), F.lit(None).cast("bigint").alias("id"))
     )
-    seen = carry(rows, keys, ["ts", "rank", "id"], "met", F.when(F.col("rank") == 1, F.struct("ts")), ahead=True)
+    met = Look("met", F.when(F.col("rank") == 1, F.struct("ts")), ahead=True)
+    seen = look(rows, keys, ["ts", "rank", "id"], met)
     waited = F.unix_micros(F.col("met.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     in_time = waited <= round(seconds(limit) * 1_000_000)
     return seen.where(F.col("rank") == 0).select(
@@ -85,15 +86,16 @@ def failover_outcome(requests: DataFrame, view: DataFrame, nodes: DataFrame, lim
     leadership also knows the next one on another port, and one look ahead is enough.
     """
     facts = nodes.groupBy("cluster", "port").agg(F.max(F.col("version") != 6).alias("v8"))
-    moves = leader_changes(view).join(facts, ["cluster", "port"], "left").select(
+    moves = written(leader_changes(view), "changes").join(facts, ["cluster", "port"], "left").select(
         "cluster", F.col("poll_ts").alias("ts"), "port", F.coalesce("v8", F.lit(False)).alias("v8")
     )
     v8_moves = previous(moves.where("v8"), ["cluster"], ["ts"], ["port"])
     moved = F.when(F.col("prev").isNull() | (F.col("prev.port") != F.col("port")), F.struct("ts", "port"))
-    v8_moves = carry(v8_moves, ["cluster"], ["ts"], "other", moved, inclusive=False, ahead=True)
+    v8_moves = look(v8_moves, ["cluster"], ["ts"], Look("other", moved, inclusive=False, ahead=True))
     marks = moves.select("cluster", "ts", "port", "v8").join(
         v8_moves.select("cluster", "ts", "other"), ["cluster", "ts"], "left"
     )
+    marks = written(marks, "marks")
 
     rows = marks.withColumn("rank", F.lit(1)).unionByName(
         requests.select("cluster", "ts", "id", F.lit(2).alias("rank")), allowMissingColumns=True
@@ -101,10 +103,12 @@ def failover_outcome(requests: DataFrame, view: DataFrame, nodes: DataFrame, lim
     # A request at the instant of a poll sees that poll as the past.
     order = ["ts", "rank", "id"]
     is_move = F.col("rank") == 1
-    rows = carry(rows, ["cluster"], order, "old", F.when(is_move, F.struct("port", "v8")))
-    rows = carry(rows, ["cluster"], order, "any_new", F.when(is_move, F.struct("ts", "port")), ahead=True)
-    rows = carry(rows, ["cluster"], order, "v8_new",
-                 F.when(is_move & F.col("v8"), F.struct("ts", "port", "other")), ahead=True)
+    rows = look(
+        rows, ["cluster"], order,
+        Look("old", F.when(is_move, F.struct("port", "v8"))),
+        Look("any_new", F.when(is_move, F.struct("ts", "port")), ahead=True),
+        Look("v8_new", F.when(is_move & F.col("v8"), F.struct("ts", "port", "other")), ahead=True),
+    )
     candidates = facts.groupBy("cluster").agg(F.count_if("v8").alias("v8_nodes"))
     asked = rows.where(F.col("rank") == 2).join(candidates, "cluster", "left")
     others = F.coalesce("v8_nodes", F.lit(0)) - F.coalesce(F.col("old.v8").cast("int"), F.lit(0))

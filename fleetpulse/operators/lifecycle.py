@@ -9,10 +9,6 @@ from fleetpulse.operators.ordered import CHUNK, cut
 STATES = list(dict.fromkeys([s for s, _, _ in EDGES] + [d for _, _, d in EDGES]))
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "state string, trig string, dest string")
-
-
 def after(state: Column, trig: Column) -> Column:
     """The next state; a trigger that the state does not allow changes nothing."""
     table = literal_map((f"{s}:{t}", d) for s, t, d in EDGES)
@@ -65,13 +61,14 @@ def replay(triggers: DataFrame, initial: DataFrame | None = None) -> DataFrame:
 
 def state_order(spark: SparkSession) -> DataFrame:
     """The states by distance from the first, walked over the edges."""
-    edges(spark).createOrReplaceTempView("fleetpulse_edges")
+    edges = ", ".join(f"('{s}', '{d}')" for s, _, d in EDGES)
     return spark.sql(
         f"""
-        WITH RECURSIVE walk(state, depth) AS (
+        WITH RECURSIVE edges(state, dest) AS (VALUES {edges}),
+        walk(state, depth) AS (
             SELECT '{INITIAL}', 0
             UNION ALL
-            SELECT e.dest, w.depth + 1 FROM walk w JOIN fleetpulse_edges e ON e.state = w.state
+            SELECT e.dest, w.depth + 1 FROM walk w JOIN edges e ON e.state = w.state
             WHERE w.depth < {len(STATES)}
         )
         SELECT state, min(depth) AS depth FROM walk GROUP BY state

@@ -13,6 +13,8 @@ before, comes from one row per key and chunk, which a partial aggregation makes
 anything is shuffled.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,53 +46,58 @@ def cut(df: DataFrame, keys: list[str], order: list[str], limit: str = "rowsPerT
     return written(pieces.withColumn(CHUNK, F.spark_partition_id().cast("bigint")), "ordered"), True
 
 
-def carry(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    out: str,
-    value: Column,
-    inclusive: bool = True,
-    ahead: bool = False,
-) -> DataFrame:
-    """Add `out`: the nearest non-null `value` of the key at or before each row.
+@dataclass(frozen=True)
+class Look:
+    """What to look for: the nearest non-null `value` at or before a row, as column `out`.
 
     With ``inclusive=False`` the row itself does not count; with ``ahead=True`` the search goes
-    forward in time. To carry values that may be null, pass a struct.
+    forward in time. To find values that may be null, use a struct.
     """
-    source = "_source"
-    result = [*df.columns, out]
-    rows, chunked = cut(df.withColumn(source, value), keys, order)
-    way = [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
-    reach = 0 if inclusive else -1
 
-    def frame(first: list[str], by: list, last: int):
-        return Window.partitionBy(*first).orderBy(*by).rowsBetween(Window.unboundedPreceding, last)
+    out: str
+    value: Column
+    inclusive: bool = True
+    ahead: bool = False
+
+
+def look(df: DataFrame, keys: list[str], order: list[str], *looks: Look) -> DataFrame:
+    """Add the columns of all `looks`, which share one measuring and one shuffle of the rows."""
+    sources = {f"_source{i}": x for i, x in enumerate(looks)}
+    result = [*df.columns, *[x.out for x in looks]]
+    rows, chunked = cut(df.withColumns({c: x.value for c, x in sources.items()}), keys, order)
+
+    def nearest(c: str, first: list[str], by: list[str], x: Look, last: int) -> Column:
+        way = [F.col(b).desc() if x.ahead else F.col(b).asc() for b in by]
+        frame = Window.partitionBy(*first).orderBy(*way).rowsBetween(Window.unboundedPreceding, last)
+        return F.last(c, ignorenulls=True).over(frame)
+
+    def inside(c: str, x: Look, first: list[str]) -> Column:
+        return nearest(c, first, order, x, 0 if x.inclusive else -1)
 
-    nearest = F.last(source, ignorenulls=True)
     if not chunked:
-        return rows.withColumn(out, nearest.over(frame(keys, way, reach))).select(*result)
+        return rows.select(*df.columns, *[inside(c, x, keys).alias(x.out) for c, x in sources.items()])
 
-    pick = F.min_by if ahead else F.max_by
-    ends = rows.groupBy(CHUNK, *keys).agg(
-        pick(source, F.when(F.col(source).isNotNull(), F.struct(*order))).alias("_end")
-    )
-    chunk_way = F.col(CHUNK).desc() if ahead else F.col(CHUNK).asc()
-    before = ends.select(
-        CHUNK,
-        *keys,
-        F.last("_end", ignorenulls=True).over(frame(keys, [chunk_way], -1)).alias("_before"),
+    def end(c: str, x: Look) -> Column:
+        last = F.when(F.col(c).isNotNull(), F.struct(*order, c))
+        return (F.min(last) if x.ahead else F.max(last))[c].alias(f"{c}_end")
+
+    ends = rows.groupBy(CHUNK, *keys).agg(*[end(c, x) for c, x in sources.items()])
+    beyond = ends.select(
+        CHUNK, *keys,
+        *[nearest(f"{c}_end", keys, [CHUNK], x, -1).alias(f"{c}_beyond") for c, x in sources.items()],
     )
-    inside = rows.withColumn(out, nearest.over(frame([CHUNK, *keys], way, reach)))
-    joined = inside.join(before, [CHUNK, *keys], "left")
-    return joined.withColumn(out, F.coalesce(out, "_before")).select(*result)
+    near = rows.select("*", *[inside(c, x, [CHUNK, *keys]).alias(f"{c}_near") for c, x in sources.items()])
+    joined = near.join(beyond, [CHUNK, *keys], "left")
+    return joined.withColumns(
+        {x.out: F.coalesce(f"{c}_near", f"{c}_beyond") for c, x in sources.items()}
+    ).select(*result)
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     """Add the struct `prev` with `cols` of the row before; null for the first row of a key."""
-    return carry(df, keys, order, "prev", F.struct(*cols), inclusive=False)
+    return look(df, keys, order, Look("prev", F.struct(*cols), inclusive=False))
 
 
 def following(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     """Add the struct `next` with `cols` of the row after; null for the last row of a key."""
-    return carry(df, keys, order, "next", F.struct(*cols), inclusive=False, ahead=True)
+    return look(df, keys, order, Look("next", F.struct(*cols), inclusive=False, ahead=True))

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions import error_kind, op_status, parse_value
-from fleetpulse.operators.ordered import carry, following, previous
+from fleetpulse.operators.ordered import Look, look, previous
+from fleetpulse.operators.sizing import written
 from fleetpulse.sources.driver_tables import nanos
 
 ORDER = ["ts", "seq"]
@@ -37,21 +38,27 @@ def _replica() -> Column:
     return F.when(F.col("role") == "replica_read", F.col("replica"))
 
 
+def _bucket_counts(log: DataFrame) -> DataFrame:
+    """One row per label tuple with a count for each bound. Errors are included."""
+    counts = [F.count_if(F.col("dur_s") <= b).alias(f"_le{i}") for i, b in enumerate(BOUNDS)]
+    return log.groupBy("cluster", "role", _replica().alias("replica")).agg(
+        *counts, F.count("dur_s").alias("count"), F.round(F.sum("dur_s"), 6).alias("sum")
+    )
+
+
+def _buckets() -> list[tuple[float, Column]]:
+    finite = [(b, F.col(f"_le{i}")) for i, b in enumerate(BOUNDS)]
+    return [*finite, (INFINITY, F.col("count"))]
+
+
 def latency_histogram(log: DataFrame) -> DataFrame:
-    """Cumulative counts per latency bound, errors included, in long form.
+    """Cumulative counts per latency bound in long form, with each label tuple's sum and count.
 
-    One row per label tuple and bound, the last bound being infinity, each with the tuple's sum
-    and count. The bounds are aggregates of one pass, never a join. Works on streams too.
+    The last bound is infinity. The bounds are aggregates of one pass, never a join. Works on
+    streams too.
     """
-    sums = [F.count_if(F.col("dur_s") <= b).alias(f"_le{i}") for i, b in enumerate(BOUNDS)]
-    wide = log.groupBy("cluster", "role", _replica().alias("replica")).agg(
-        *sums, F.count("dur_s").alias("count"), F.round(F.sum("dur_s"), 6).alias("sum")
-    )
-    buckets = [F.struct(F.lit(b).alias("le"), F.col(f"_le{i}").alias("cum")) for i, b in enumerate(BOUNDS)]
-    buckets.append(F.struct(F.lit(INFINITY).alias("le"), F.col("count").alias("cum")))
-    return wide.select(
-        "cluster", "role", "replica", F.inline(F.array(*buckets)), F.col("count"), F.col("sum")
-    )
+    rows = F.array(*[F.struct(F.lit(b).alias("le"), n.alias("cum")) for b, n in _buckets()])
+    return _bucket_counts(log).select("cluster", "role", "replica", F.inline(rows), "count", "sum")
 
 
 def with_value(log: DataFrame) -> DataFrame:
@@ -70,8 +77,12 @@ def with_value(log: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
-    """The values of the last row per key, with its order columns."""
-    last = F.max_by(F.struct(*dict.fromkeys([*order, *values])), F.struct(*order))
+    """The values of the last row per key, with its order columns, which make a row unique."""
+    if len(order) == 1:
+        # One instant has one row, and plain columns are aggregated by hashing, without a sort.
+        last = [F.max_by(c, order[0]).alias(c) for c in values]
+        return df.groupBy(*keys).agg(F.max(order[0]).alias(order[0]), *last)
+    last = F.max(F.struct(*order, *values))
     return df.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
 
 
@@ -92,7 +103,7 @@ def _with_leader(log: DataFrame) -> DataFrame:
     """Follower reads with the struct `leader` of the last leader read before, if any."""
     reads = with_value(log)
     leader = F.when(F.col("role") == "master_read", F.struct("n", "age_ns"))
-    return carry(reads, ["cluster"], ORDER, "leader", leader).where(F.col("role") == "replica_read")
+    return look(reads, ["cluster"], ORDER, Look("leader", leader)).where(F.col("role") == "replica_read")
 
 
 def replica_lag(log: DataFrame) -> DataFrame:
@@ -167,30 +178,35 @@ def followers_observed(followers: DataFrame) -> DataFrame:
     return latest(per_refresh, ["cluster"], ["observed"], ["poll_ts"])
 
 
-def vanished_followers(followers: DataFrame) -> DataFrame:
-    """Followers of one good refresh that are not in the cluster's next good one."""
-    seen = refreshes(followers)
-    rounds = following(seen.select("cluster", "poll_ts").distinct(), ["cluster"], ["poll_ts"], ["poll_ts"])
-    rounds = rounds.where(F.col("next").isNotNull()).select(
-        "cluster", "poll_ts", F.col("next.poll_ts").alias("gone_ts")
-    )
-    expected = seen.where(F.col("addr").isNotNull()).join(rounds, ["cluster", "poll_ts"])
-    now = seen.select("cluster", F.col("poll_ts").alias("gone_ts"), "addr")
-    return expected.join(now, ["cluster", "gone_ts", "addr"], "left_anti").select(
-        "cluster", "addr", "gone_ts"
+def follower_changes(followers: DataFrame) -> DataFrame:
+    """Followers that joined or left between a good refresh and the next, with the later's time.
+
+    The refreshes are far smaller than the replies they come from and are needed several times,
+    so they are written once.
+    """
+    seen = written(refreshes(followers), "refreshes")
+    at = F.struct("poll_ts")
+    rounds = look(
+        seen.select("cluster", "poll_ts").distinct(), ["cluster"], ["poll_ts"],
+        Look("prev", at, inclusive=False), Look("next", at, inclusive=False, ahead=True),
+    ).select("cluster", "poll_ts", F.col("prev.poll_ts").alias("prev_ts"), F.col("next.poll_ts").alias("next_ts"))
+    listed = seen.where(F.col("addr").isNotNull()).join(rounds, ["cluster", "poll_ts"])
+
+    def missing_at(other: str) -> DataFrame:
+        there = seen.select("cluster", F.col("poll_ts").alias(other), "addr")
+        return listed.join(there, ["cluster", other, "addr"], "left_anti")
+
+    left = missing_at("next_ts").where(F.col("next_ts").isNotNull())
+    joined = missing_at("prev_ts")
+    return left.select("cluster", "addr", F.col("next_ts").alias("ts"), F.lit("left").alias("change")).unionByName(
+        joined.select("cluster", "addr", F.col("poll_ts").alias("ts"), F.lit("joined").alias("change"))
     )
 
 
-def new_followers(followers: DataFrame) -> DataFrame:
-    """Followers of a good refresh that were not in the cluster's good one before."""
-    seen = refreshes(followers)
-    rounds = previous(seen.select("cluster", "poll_ts").distinct(), ["cluster"], ["poll_ts"], ["poll_ts"])
-    rounds = rounds.select("cluster", "poll_ts", F.col("prev.poll_ts").alias("before_ts"))
-    now = seen.where(F.col("addr").isNotNull()).join(rounds, ["cluster", "poll_ts"])
-    before = seen.select("cluster", F.col("poll_ts").alias("before_ts"), "addr")
-    return now.join(before, ["cluster", "before_ts", "addr"], "left_anti").select(
-        "cluster", "addr", F.col("poll_ts").alias("ts")
-    )
+def vanished_followers(followers: DataFrame) -> DataFrame:
+    """Followers of one good refresh that are not in the cluster's next good one."""
+    left = follower_changes(followers).where(F.col("change") == "left")
+    return left.select("cluster", "addr", F.col("ts").alias("gone_ts"))
 
 
 def latest_present(
@@ -206,43 +222,50 @@ def latest_present(
 # -- metrics as one long table -------------------------------------------------------------------
 
 
-def to_samples(df: DataFrame, metric: str, labels: list[str], value: str, ts: Column) -> DataFrame:
-    """One metric as (metric, labels, ts, value); null labels are left out."""
+def to_samples(df: DataFrame, metric: Column, labels: list[str], value: Column, ts: Column) -> DataFrame:
+    """Rows as (metric, labels, ts, value); null labels are left out."""
     pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in labels])
     return df.select(
-        F.lit(metric).alias("metric"),
+        metric.alias("metric"),
         F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("labels"),
         ts.alias("ts"),
-        F.col(value).cast("double").alias("value"),
+        value.cast("double").alias("value"),
     )
 
 
-# The name stem of each role's metrics.
-STEMS = {"write": "write", "master_read": "master_read", "replica_read": "replica_read"}
-
-
 def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
     """Every metric of the probe log at one instant, in long form."""
-    ops, errors, latency, gauges, lag = (
-        op_counts(log), error_counts(log), latency_histogram(log), value_gauges(log), lag_gauge(log)
+
+    def name(subject: Column | str, suffix: str) -> Column:
+        return F.concat(F.lit(f"{prefix}_"), subject, F.lit(suffix))
+
+    def several(*rows: tuple[Column, Column, Column | None]) -> Column:
+        none = F.lit(None).cast("double")
+        return F.inline(F.array(*[
+            F.struct(m.alias("metric"), v.cast("double").alias("value"), (none if le is None else F.lit(le)).alias("le"))
+            for m, v, le in rows
+        ]))
+
+    def samples(df: DataFrame, labels: list[str]) -> DataFrame:
+        return to_samples(df, F.col("metric"), labels, F.col("value"), ts)
+
+    duration = "_duration_seconds"
+    histogram = [(name("role", f"{duration}_bucket"), n, b) for b, n in _buckets()]
+    histogram += [(name("role", f"{duration}_{c}"), F.col(c), None) for c in ("sum", "count")]
+    subject = F.when(F.col("role") == "master_read", "master").otherwise("replica")
+    gauges = [(name(subject, "_value"), F.col("n"), None),
+              (name(subject, "_value_age_seconds"), F.round(F.col("age_ns") / 1e9, 6), None)]
+    where = ["cluster", "replica"]
+    return (
+        to_samples(op_counts(log), name("role", "s_total"), [*where, "status"], F.col("ops"), ts)
+        .unionByName(to_samples(error_counts(log), name("role", "_errors_total"), [*where, "kind"], F.col("errors"), ts))
+        .unionByName(samples(_bucket_counts(log).select(*where, several(*histogram)), [*where, "le"]))
+        .unionByName(samples(value_gauges(log).select(*where, several(*gauges)), where))
+        .unionByName(to_samples(lag_gauge(log), F.lit(f"{prefix}_replica_lag_count"), where, F.col("lag"), ts))
     )
-    parts = []
-    for role, stem in STEMS.items():
-        of = F.col("role") == role
-        parts.append(to_samples(ops.where(of), f"{prefix}_{stem}s_total", ["cluster", "replica", "status"], "ops", ts))
-        parts.append(to_samples(errors.where(of), f"{prefix}_{stem}_errors_total", ["cluster", "replica", "kind"], "errors", ts))
-        stem = f"{prefix}_{stem}_duration_seconds"
-        hist = latency.where(of)
-        parts.append(to_samples(hist, f"{stem}_bucket", ["cluster", "replica", "le"], "cum", ts))
-        whole = hist.where(F.col("le") == INFINITY)
-        parts.append(to_samples(whole, f"{stem}_sum", ["cluster", "replica"], "sum", ts))
-        parts.append(to_samples(whole, f"{stem}_count", ["cluster", "replica"], "count", ts))
-    for role, stem in (("master_read", "master"), ("replica_read", "replica")):
-        of = gauges.where(F.col("role") == role).withColumn("age_s", F.round(F.col("age_ns") / 1e9, 6))
-        parts.append(to_samples(of, f"{prefix}_{stem}_value", ["cluster", "replica"], "n", ts))
-        parts.append(to_samples(of, f"{prefix}_{stem}_value_age_seconds", ["cluster", "replica"], "age_s", ts))
-    parts.append(to_samples(lag, f"{prefix}_replica_lag_count", ["cluster", "replica"], "lag", ts))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+
+
+def observed_samples(followers: DataFrame, prefix: str = "probe") -> DataFrame:
+    """The number of followers observed as a metric, at the time of each cluster's last refresh."""
+    rows = followers_observed(followers)
+    return to_samples(rows, F.lit(f"{prefix}_replicas_observed"), ["cluster"], F.col("observed"), F.col("poll_ts"))

@@ -126,7 +126,7 @@ def resample(samples: DataFrame, keys: list[str], step: str = "15s") -> DataFram
     """
     s = micros(step)
     per_step = latest(
-        samples.withColumn("n", _steps_until(_us(F.col("ts")), s)), [*keys, "n"], ["value"], ["ts", "value"]
+        samples.withColumn("n", _steps_until(_us(F.col("ts")), s)), [*keys, "n"], ["value"], ["ts"]
     )
     ahead = following(per_step.withColumn("at", _at(F.col("n"), s)).drop("ts"), keys, ["at"], ["n"])
     until = F.coalesce(F.col("next.n") - 1, F.col("n"))
@@ -137,7 +137,7 @@ def resample(samples: DataFrame, keys: list[str], step: str = "15s") -> DataFram
 
 def instant(samples: DataFrame, metric: str, labels: list[str]) -> DataFrame:
     """The latest value of each series of a metric."""
-    return latest(promote(samples, metric, labels), labels, ["value"], ["ts", "value"]).select(*labels, "value")
+    return latest(promote(samples, metric, labels), labels, ["value"], ["ts"]).select(*labels, "value")
 
 
 def subtract(samples: DataFrame, left: str, right: str, on: list[str]) -> DataFrame:
@@ -145,10 +145,9 @@ def subtract(samples: DataFrame, left: str, right: str, on: list[str]) -> DataFr
 
     Both sides come out of one aggregation, so nothing is joined.
     """
-    value = F.struct("ts", "value")
 
     def last(metric: str) -> Column:
-        return F.max(F.when(F.col("metric") == metric, value))["value"]
+        return F.max_by("value", F.when(F.col("metric") == metric, F.col("ts")))
 
     both = samples.where(F.col("metric").isin(left, right)).select(
         "metric", "ts", "value", *[F.try_element_at("labels", F.lit(n)).alias(n) for n in on]

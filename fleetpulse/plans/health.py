@@ -100,7 +100,7 @@ def nodes_up_of_version(samples, major: str = "8") -> DataFrame:
     """H15: nodes up, of one version only."""
     labels = [*NODE, "redis_version_major"]
     series = rates.match(rates.promote(samples, "redis_up", labels), "redis_version_major", "=", major)
-    return probes.latest(series, labels, ["value"], ["ts", "value"]).select(*labels, "value")
+    return probes.latest(series, labels, ["value"], ["ts"]).select(*labels, "value")
 
 
 def keys_by_cluster(samples) -> DataFrame:

@@ -9,7 +9,7 @@ from fleetpulse.functions.numbers import seconds
 from fleetpulse.operators import probes
 from fleetpulse.operators.convergence import leader_commands
 from fleetpulse.operators.lifecycle import replay, upsert_states
-from fleetpulse.operators.ordered import carry
+from fleetpulse.operators.ordered import Look, look
 from fleetpulse.operators.sizing import lookup_join
 
 LAG_STATE = "cluster string, ts timestamp_ntz, seq bigint, n bigint"
@@ -41,7 +41,7 @@ def lag_step(batch: DataFrame, leaders: DataFrame):
     """
     reads = probes.with_value(batch)
     leader = F.when(F.col("role") == "master_read", F.struct("n"))
-    rows = carry(reads, ["cluster"], probes.ORDER, "leader", leader).where(F.col("role") == "replica_read")
+    rows = look(reads, ["cluster"], probes.ORDER, Look("leader", leader)).where(F.col("role") == "replica_read")
     rows = lookup_join(rows, leaders.select("cluster", F.col("n").alias("leader_before")), "cluster", "left")
     rows = rows.withColumn("leader_n", F.coalesce("leader.n", "leader_before")).where(F.col("leader_n") > 0)
     lag = F.try_subtract(F.col("leader_n"), F.col("n"))
@@ -63,10 +63,9 @@ def follower_step(batch: DataFrame, sets: DataFrame):
     """
     known = sets.withColumn("ok", F.lit(True))
     both = batch.select("cluster", "poll_ts", "addr", "ok").unionByName(known.select("cluster", "poll_ts", "addr", "ok"))
-    left = probes.vanished_followers(both).select("cluster", "addr", F.col("gone_ts").alias("ts"))
-    old = sets.select("cluster", F.col("poll_ts").alias("ts")).distinct()
-    joined = probes.new_followers(both).join(old, ["cluster", "ts"], "left_anti")
-    changes = left.withColumn("change", F.lit("left")).unionByName(joined.withColumn("change", F.lit("joined")))
+    # The set before the batch has no refresh before it here; its members joined earlier.
+    old = sets.select("cluster", F.col("poll_ts").alias("ts")).distinct().withColumn("change", F.lit("joined"))
+    changes = probes.follower_changes(both).join(old, ["cluster", "ts", "change"], "left_anti")
     seen = probes.refreshes(both)
     last = seen.groupBy("cluster").agg(F.max("poll_ts").alias("poll_ts"))
     return changes, seen.join(last, ["cluster", "poll_ts"], "left_semi")
