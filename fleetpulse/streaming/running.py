@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 # How often things happen.
 CADENCE = {"probe": "200 milliseconds", "refresh": "10 seconds", "scrape": "15 seconds", "discovery": "5 seconds"}
@@ -31,7 +31,7 @@ def _state_place(path: str, batch_id: int) -> str:
 def _state_before(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    stored = StructType(schema.fields).add("batch", LongType())
+    stored = StructType([*schema.fields, StructField("batch", LongType())])
     table = spark.read.schema(stored).parquet(_state_place(path, batch_id - 1))
     return table.where(F.col("batch") == batch_id - 1).drop("batch")
 
