@@ -179,7 +179,8 @@ for _name, _labels in (("offset_lag", "instance, redis_cluster"), ("offset_lag_b
     oracle(_name, f"""SELECT {_labels}, l.value - r.value AS value
       FROM ({_now("redis_master_repl_offset", _labels)}) l JOIN ({_now("redis_slave_repl_offset", _labels)}) r USING ({_labels})""",
            NODE_SAMPLES)
-oracle("retained_samples", """SELECT metric, ts, v AS value FROM samples
+for _name in ("retained_samples", "stream_retained_samples"):
+    oracle(_name, """SELECT metric, ts, v AS value FROM samples
   WHERE ts > (SELECT max(ts) FROM samples) - INTERVAL 2 DAY""", NODE_SAMPLES)
 oracle("stored_samples", """SELECT metric, strftime(ts, '%Y-%m-%d') AS day, count(*) AS samples, sum(v) AS total
   FROM samples GROUP BY ALL""", NODE_SAMPLES)
@@ -425,6 +426,21 @@ probe("time_to_write", """SELECT cluster, id, ts, waited AS waited_us, waited IS
   SELECT s.cluster, s.seq AS id, s.ts, (SELECT min(epoch_us(p.ts) - epoch_us(s.ts)) FROM log p WHERE p.cluster = s.cluster
     AND p.role = 'write' AND p.kind IS NULL AND p.ts >= s.ts AND p.ts <= s.ts + INTERVAL 30 MINUTE) AS waited
   FROM log s WHERE s.role = 'write' AND s.kind IS NOT NULL)""")
+STARTS = """
+starts AS (SELECT 'c' || (c_custkey % 25) AS cluster, 6380 + c_custkey AS port, c_custkey AS id,
+  TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS ts FROM customer),
+polls AS (SELECT 'c' || (o_custkey % 25) AS cluster, 6380 + o_custkey AS port, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 10) AS at,
+  o_orderstatus <> 'P' AS ready, o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS synced FROM orders)"""
+for _name in ("ready", "synced"):
+    oracle(f"time_to_{_name}", f"""SELECT cluster, port, id, ts, waited AS waited_us, waited IS NULL AS timed_out FROM (
+      SELECT s.*, (SELECT min(epoch_us(p.at) - epoch_us(s.ts)) FROM polls p WHERE p.cluster = s.cluster AND p.port = s.port
+        AND p.{_name} AND p.at >= s.ts AND p.at <= s.ts + INTERVAL 6 HOUR) AS waited FROM starts s)""", STARTS)
+oracle("time_to_priorities", """SELECT cluster, id, ts, waited AS waited_us, waited IS NULL AS timed_out FROM (
+  SELECT s.cluster, s.id, s.ts, (SELECT min(epoch_us(a.poll_ts) - epoch_us(s.ts)) FROM both_shown a WHERE a.cluster = s.cluster
+    AND a.poll_ts >= s.ts AND a.poll_ts <= s.ts + INTERVAL 6 HOUR) AS waited FROM starts s)""", STARTS, LISTED, """
+both_shown AS (
+  SELECT cluster, poll_ts FROM (SELECT *, 6380 + CAST(substr(cluster, 2) AS BIGINT) AS base FROM listed WHERE ok)
+  GROUP BY cluster, poll_ts HAVING bool_or(port = base + 25 AND priority = 100) AND bool_or(port = base + 50 AND priority = 1))""")
 oracle("time_to_visible", """SELECT cluster, port, id, ts, waited AS waited_us, waited IS NULL AS timed_out FROM (
   SELECT s.*, (SELECT min(epoch_us(p.poll_ts) - epoch_us(s.ts)) FROM listed p WHERE p.cluster = s.cluster AND p.port = s.port
     AND p.addr IS NOT NULL AND p.poll_ts >= s.ts AND p.poll_ts <= s.ts + INTERVAL 10 MINUTE) AS waited

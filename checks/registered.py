@@ -1,5 +1,7 @@
 """The registered queries: which operator runs on which logical table, with which arguments."""
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from fleetpulse import functions as fn
 from fleetpulse.operators import convergence, lifecycle, probes, rates, relabel
 from fleetpulse.operators import topology as topo
 from fleetpulse.operators.sizing import scratch_path
-from fleetpulse.plans import health, reports
+from fleetpulse.plans import health, reports, waiting
 from fleetpulse.sources import driver_tables as tables
 from fleetpulse.sources import readers, writers
 from fleetpulse.streaming import live, running
@@ -277,9 +279,28 @@ def time_to_visible(spark: SparkSession, folder: str) -> DataFrame:
         (6380 + o % 25 + 25 * (F.col("o_custkey") % 8)).alias("port"),
         tables.poll_time(o).alias("ts"), o.alias("id"),
     )
-    seen = topo.followers(tables.coordinator_view(spark, folder)).where(F.col("addr").isNotNull())
-    polls = seen.select("cluster", "port", F.col("poll_ts").alias("ts"))
-    return convergence.time_to(starts, polls, ["cluster", "port"], "10m")
+    return waiting.time_to_visible(starts, topo.followers(tables.coordinator_view(spark, folder)), "10m")
+
+
+@query
+def time_to_ready(spark: SparkSession, folder: str) -> DataFrame:
+    return waiting.time_to_ready(tables.node_starts(spark, folder), tables.report_polls(spark, folder), "6h")
+
+
+@query
+def time_to_synced(spark: SparkSession, folder: str) -> DataFrame:
+    return waiting.time_to_synced(tables.node_starts(spark, folder), tables.report_polls(spark, folder), "6h")
+
+
+@query
+def time_to_priorities(spark: SparkSession, folder: str) -> DataFrame:
+    starts = tables.node_starts(spark, folder)
+    leader = tables.leaders_told(spark, folder).select("cluster", F.substring_index("cluster", "c", -1).cast("bigint").alias("c"))
+    pairs = F.array(*[F.struct((6380 + F.col("c") + 25 * i).alias("port"), F.lit(p).cast("bigint").alias("priority"))
+                      for i, p in ((1, 100), (2, 1))])
+    expected = leader.select("cluster", F.inline(pairs))
+    view = topo.followers(tables.coordinator_view(spark, folder))
+    return waiting.time_to_priorities(starts.select("cluster", "id", "ts"), expected, view, "6h")
 
 
 @query
@@ -423,3 +444,11 @@ def stream_leader_commands(spark: SparkSession, folder: str) -> DataFrame:
     commands = tables.command_log_of(_stream(spark, folder, "lineitem"))
     _finish(running.run_steps(commands, live.follow_leader(_intervals(spark, folder)), path))
     return running.results(spark, path).drop("batch")
+
+
+@query
+def stream_retained_samples(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "stream")
+    samples = tables.exporter_samples_of(_stream(spark, folder, "events"))
+    _finish(running.run_steps(samples, partial(live.retention_step, retention="2d"), path, live.SAMPLE_STATE))
+    return running.current(spark, path).select("metric", "ts", "value")

@@ -3,8 +3,6 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.numbers import atoi
-
 # The text of a missing key, which is no failure, and the error classes in the
 # order in which they are tested.
 MISSING_KEY = "redis: nil"
@@ -14,9 +12,13 @@ NETWORK_TEXTS = ["connection refused", "EOF", "broken pipe", "reset by peer"]
 
 
 def parse_value(raw: Column) -> Column:
-    """``"<n>:<unix-nano>"`` to a struct (n, written_at_ns); null if either is no 64-bit integer."""
-    parts = F.split(raw, ":", 2)
-    n, ns = atoi(F.get(parts, F.lit(0))), atoi(F.get(parts, F.lit(1)))
+    """``"<n>:<unix-nano>"`` to a struct (n, written_at_ns); null if either is no 64-bit integer.
+
+    The pattern refuses what a cast would accept, such as blanks; the casts guard against overflow.
+    """
+    shaped = F.when(raw.rlike(r"^[+-]?[0-9]+:[+-]?[0-9]+\z"), raw)
+    n = F.substring_index(shaped, ":", 1).try_cast("bigint")
+    ns = F.substring_index(shaped, ":", -1).try_cast("bigint")
     return F.when(n.isNotNull() & ns.isNotNull(), F.struct(n.alias("n"), ns.alias("written_at_ns")))
 
 

@@ -11,6 +11,10 @@ from fleetpulse.operators.topology import leader_answers
 # How long each condition may take.
 LIMITS = {"ready": "30s", "synced": "30s", "visible": "30s", "priorities": "30s", "failover": "60s"}
 
+# Beyond this many times of leadership per node, comparing each command with all of them costs
+# more than sorting.
+RUNS_PER_NODE = 64
+
 
 def leader_changes(view: DataFrame) -> DataFrame:
     """The polls at which a cluster's leader differs from the poll before, the first one included."""
@@ -18,7 +22,8 @@ def leader_changes(view: DataFrame) -> DataFrame:
         leader_answers(view).where("told").groupBy("cluster", "poll_ts")
         .agg(F.min_by("port", "ord").alias("port"))
     )
-    steps = previous(polls, ["cluster"], ["poll_ts"], ["port"])
+    # Written, so that the replies are read and taken apart once.
+    steps = previous(written(polls, "polls"), ["cluster"], ["poll_ts"], ["port"])
     return steps.where(F.col("prev").isNull() | (F.col("prev.port") != F.col("port"))).select(
         "cluster", "poll_ts", "port", F.col("prev.port").alias("prev_port")
     )
@@ -37,12 +42,15 @@ def leader_commands(commands: DataFrame, intervals: DataFrame) -> DataFrame:
     """Commands of the node that led its cluster when they ran.
 
     Leadership moves seldom, so the intervals are written and counted, and broadcast while they
-    are few: the commands, the large side, are then not shuffled. Beyond that, commands and starts
-    of leadership are put in one order per cluster and each command looks back.
+    are few, in all and per node: the commands, the large side, are then not shuffled. Beyond
+    that, commands and starts of leadership are put in one order per cluster and each command
+    looks back.
     """
     spark = commands.sparkSession
     runs = written(intervals, "intervals")
-    if runs.count() <= limit_of(spark, "broadcastRows"):
+    per_node = runs.groupBy("cluster", "node").agg(F.count("*").alias("n"))
+    size = per_node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("node")).first()
+    if size["all"] <= limit_of(spark, "broadcastRows") and size["node"] <= RUNS_PER_NODE:
         inside = (F.col("ts") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("ts") < F.col("to_ts")))
         led = F.broadcast(runs.withColumnsRenamed({"cluster": "l_cluster", "node": "l_node"}))
         same = (F.col("cluster") == F.col("l_cluster")) & (F.col("node") == F.col("l_node"))
@@ -68,7 +76,8 @@ def time_to(starts: DataFrame, polls: DataFrame, keys: list[str], limit: str) ->
         polls.select(*keys, "ts", F.lit(1).alias("rank"), F.lit(None).cast("bigint").alias("id"))
     )
     met = Look("met", F.when(F.col("rank") == 1, F.struct("ts")), ahead=True)
-    seen = look(rows, keys, ["ts", "rank", "id"], met)
+    # Written, so that what finds the condition runs once.
+    seen = look(written(rows, "polls"), keys, ["ts", "rank", "id"], met)
     waited = F.unix_micros(F.col("met.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     in_time = waited <= round(seconds(limit) * 1_000_000)
     return seen.where(F.col("rank") == 0).select(

@@ -24,14 +24,18 @@ CHUNK = "_chunk"
 CELL_SECONDS = 3600
 
 
-def cut(df: DataFrame, keys: list[str], order: list[str], limit: str = "rowsPerTask"):
+def cut(
+    df: DataFrame, keys: list[str], order: list[str], limit: str = "rowsPerTask", measure: DataFrame | None = None
+) -> tuple[DataFrame, bool]:
     """Tag rows with a chunk. Returns the rows and whether there is more than one chunk per key.
 
-    `order` must start with a timestamp and end the ties; keys must not be null.
+    `order` must start with a timestamp and end the ties; keys must not be null. `measure` may
+    give rows that are cheaper to count: at least those of `df`, with the keys and the timestamp.
     """
+    measure = df if measure is None else measure
     most = limit_of(df.sparkSession, limit)
     hour = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (CELL_SECONDS * 1_000_000))
-    per_hour = df.groupBy(*keys, hour.alias(CHUNK)).agg(F.count("*").alias("rows"))
+    per_hour = measure.groupBy(*keys, hour.alias(CHUNK)).agg(F.count("*").alias("rows"))
     per_key = per_hour.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.max("rows").alias("peak"))
     size = per_key.agg(
         F.coalesce(F.max("rows"), F.lit(0)).alias("key"),
@@ -60,11 +64,13 @@ class Look:
     ahead: bool = False
 
 
-def look(df: DataFrame, keys: list[str], order: list[str], *looks: Look) -> DataFrame:
-    """Add the columns of all `looks`, which share one measuring and one shuffle of the rows."""
+def look(
+    df: DataFrame, keys: list[str], order: list[str], *looks: Look, measure: DataFrame | None = None
+) -> DataFrame:
+    """Add the columns of all `looks`, which share one measuring (see `cut`) and one shuffle."""
     sources = {f"_source{i}": x for i, x in enumerate(looks)}
     result = [*df.columns, *[x.out for x in looks]]
-    rows, chunked = cut(df.withColumns({c: x.value for c, x in sources.items()}), keys, order)
+    rows, chunked = cut(df.withColumns({c: x.value for c, x in sources.items()}), keys, order, measure=measure)
 
     def nearest(c: str, first: list[str], by: list[str], x: Look, last: int) -> Column:
         way = [F.col(b).desc() if x.ahead else F.col(b).asc() for b in by]
@@ -93,9 +99,11 @@ def look(df: DataFrame, keys: list[str], order: list[str], *looks: Look) -> Data
     ).select(*result)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
+def previous(
+    df: DataFrame, keys: list[str], order: list[str], cols: list[str], measure: DataFrame | None = None
+) -> DataFrame:
     """Add the struct `prev` with `cols` of the row before; null for the first row of a key."""
-    return look(df, keys, order, Look("prev", F.struct(*cols), inclusive=False))
+    return look(df, keys, order, Look("prev", F.struct(*cols), inclusive=False), measure=measure)
 
 
 def following(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:

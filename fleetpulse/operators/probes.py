@@ -61,15 +61,19 @@ def latency_histogram(log: DataFrame) -> DataFrame:
     return _bucket_counts(log).select("cluster", "role", "replica", F.inline(rows), "count", "sum")
 
 
+def reads_of(log: DataFrame) -> DataFrame:
+    """Reads that returned something, whether or not it parses."""
+    return log.where(F.col("role").isin("master_read", "replica_read") & F.col("err").isNull())
+
+
 def with_value(log: DataFrame) -> DataFrame:
     """Reads with a value that parses, with `n`, `written_at_ns` and the age in nanoseconds.
 
     The age is from the original write to the completion of the read; its sign is kept.
     """
     value = parse_value(F.col("raw"))
-    reads = log.where(F.col("role").isin("master_read", "replica_read") & F.col("err").isNull())
     return (
-        reads.select("seq", "ts", "cluster", "role", "replica", value.alias("value"))
+        reads_of(log).select("seq", "ts", "cluster", "role", "replica", value.alias("value"))
         .where(F.col("value").isNotNull())
         .select("seq", "ts", "cluster", "role", "replica", "value.*")
         .withColumn("age_ns", F.try_subtract(nanos(F.col("ts")), F.col("written_at_ns")))
@@ -101,9 +105,9 @@ def value_age(log: DataFrame) -> DataFrame:
 
 def _with_leader(log: DataFrame) -> DataFrame:
     """Follower reads with the struct `leader` of the last leader read before, if any."""
-    reads = with_value(log)
     leader = F.when(F.col("role") == "master_read", F.struct("n", "age_ns"))
-    return look(reads, ["cluster"], ORDER, Look("leader", leader)).where(F.col("role") == "replica_read")
+    rows = look(with_value(log), ["cluster"], ORDER, Look("leader", leader), measure=reads_of(log))
+    return rows.where(F.col("role") == "replica_read")
 
 
 def replica_lag(log: DataFrame) -> DataFrame:
@@ -133,8 +137,9 @@ def age_gap(log: DataFrame) -> DataFrame:
 
 
 def _leader_steps(log: DataFrame) -> DataFrame:
-    leader = with_value(log.where(F.col("role") == "master_read"))
-    return previous(leader, ["cluster"], ORDER, ["n", "age_ns", "ts"]).where(F.col("prev").isNotNull())
+    log = log.where(F.col("role") == "master_read")
+    steps = previous(with_value(log), ["cluster"], ORDER, ["n", "age_ns", "ts"], measure=reads_of(log))
+    return steps.where(F.col("prev").isNotNull())
 
 
 def stalls(log: DataFrame, min_age_ns: int) -> DataFrame:

@@ -118,11 +118,12 @@ def op_rate(log: DataFrame, keys: list[Column | str], window: str = "1m", step:
     )
 
 
-def resample(samples: DataFrame, keys: list[str], step: str = "15s") -> DataFrame:
+def resample(samples: DataFrame, keys: list[str], step: str = "15s", stale_after: str | None = None) -> DataFrame:
     """The value of each series at each step: the last sample at or before it.
 
-    From the step of the first sample to the step of the last one. Samples are reduced to the
-    last one per step before neighbours are compared.
+    From the step of the first sample to the step of the last one; with `stale_after` a gap is
+    filled no longer than that. Samples are reduced to the last one per step before neighbours are
+    compared.
     """
     s = micros(step)
     per_step = latest(
@@ -130,6 +131,8 @@ def resample(samples: DataFrame, keys: list[str], step: str = "15s") -> DataFram
     )
     ahead = following(per_step.withColumn("at", _at(F.col("n"), s)).drop("ts"), keys, ["at"], ["n"])
     until = F.coalesce(F.col("next.n") - 1, F.col("n"))
+    if stale_after:
+        until = F.least(until, F.col("n") + micros(stale_after) // s)
     return ahead.select(*keys, "value", F.explode(F.sequence(F.col("n"), until)).alias("n")).select(
         *keys, _at(F.col("n"), s).alias("ts"), "value"
     )
@@ -159,8 +162,11 @@ def subtract(samples: DataFrame, left: str, right: str, on: list[str]) -> DataFr
 
 
 def retain(df: DataFrame, retention: str = "2h", ts: str = "ts") -> DataFrame:
-    """Rows younger than `retention`, measured from the latest row."""
-    newest = df.agg(F.max(ts).alias("newest")).select(
-        (F.col("newest") - F.make_dt_interval(secs=F.lit(seconds(retention)).cast("decimal(18,6)"))).alias("oldest")
-    )
-    return df.where(F.col(ts) > newest.scalar())
+    """Rows younger than `retention`, measured from the latest row.
+
+    Where the rows have a `date`, as stored samples do, older folders are not read.
+    """
+    age = F.make_dt_interval(secs=F.lit(seconds(retention)).cast("decimal(18,6)"))
+    oldest = df.agg(F.max(ts).alias("newest")).select(F.col("newest") - age).scalar()
+    young = df.where(F.col(ts) > oldest)
+    return young.where(F.col("date") >= oldest.cast("date")) if "date" in df.columns else young

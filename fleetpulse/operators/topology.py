@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import addr, atoi, atoi_or_zero, kv_get, replication_state
 from fleetpulse.operators.probes import latest
+from fleetpulse.operators.sizing import lookup_join
 
 # The roles of the data plane, and those of probes, current one first.
 DATA_ROLES = ["master", "replica"]
@@ -213,11 +214,14 @@ def pick_leader(listed: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def listed_now(view: DataFrame) -> DataFrame:
-    """The followers in the last good refresh of each cluster's first coordinator."""
+    """The followers in the last good refresh of each cluster's first coordinator.
+
+    Which refresh that is takes no look into the replies; only its own are then taken apart.
+    """
     rows = followers(view).where("ok")
     last = rows.groupBy("cluster", "ord").agg(F.max("poll_ts").alias("poll_ts"))
     first = last.groupBy("cluster").agg(F.min_by(F.struct("ord", "poll_ts"), "ord").alias("f"))
-    return rows.join(first.select("cluster", "f.*"), ["cluster", "ord", "poll_ts"])
+    return lookup_join(rows, first.select("cluster", "f.*"), ["cluster", "ord", "poll_ts"])
 
 
 def visible(expected: DataFrame, view: DataFrame) -> DataFrame:

@@ -226,6 +226,28 @@ def leader_polls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def report_polls(spark: SparkSession, folder: str) -> DataFrame:
+    """Polls of nodes' own reports over time, from `orders`, with the leader they should follow."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(
+        F.lit("role:slave\r\nmaster_host:10.0.0.1\r\nmaster_port:"), 6380 + k % 25 + F.when(o % 3 == 0, 25).otherwise(0),
+        F.lit("\r\nmaster_link_status:"), F.when(o % 5 == 0, "down").otherwise("up"), F.lit("\r\n"),
+    )
+    return table(spark, folder, "orders").select(
+        F.concat(F.lit("c"), k % 25).alias("cluster"), (6380 + k).alias("port"), poll_time(o).alias("poll_ts"),
+        (6380 + k % 25).alias("leader_port"), F.when(F.col("o_orderstatus") != "P", text).alias("info_text"),
+    )
+
+
+def node_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """A start for each node, a minute after the other."""
+    k = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        F.concat(F.lit("c"), k % 25).alias("cluster"), (6380 + k).alias("port"), k.alias("id"),
+        (F.expr(EPOCH) + F.make_dt_interval(mins=k.cast("int"))).alias("ts"),
+    )
+
+
 def follower_polls_of(lineitem: DataFrame) -> DataFrame:
     """One row per listed follower and refresh, from `lineitem`; the refresh is the order."""
     o, s = F.col("l_orderkey"), F.col("l_suppkey") % 8
@@ -307,7 +329,11 @@ def probe_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exporter_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampled node metrics, one sample per event."""
+    return exporter_samples_of(table(spark, folder, "events"))
+
+
+def exporter_samples_of(events: DataFrame) -> DataFrame:
+    """Sampled node metrics, one sample per event; works on a batch and on a stream."""
     e, u = F.col("event_id"), F.col("user_id")
     node = u % 20
     metric = _one_of(EXPORTER_METRICS, (e + F.floor(e / 8)) % 8)
@@ -318,7 +344,7 @@ def exporter_samples(spark: SparkSession, folder: str) -> DataFrame:
         .when(metric == "redis_slave_repl_offset", e * 100 - u)
         .otherwise(F.floor(F.col("value") * 10))
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         metric.alias("metric"),
         F.create_map(
             F.lit("instance"), F.concat(F.lit("redis://node-"), node, F.lit(":"), 6380 + node),

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import seconds
-from fleetpulse.operators import probes
+from fleetpulse.operators import probes, rates
 from fleetpulse.operators.convergence import leader_commands
 from fleetpulse.operators.lifecycle import replay, upsert_states
 from fleetpulse.operators.ordered import Look, look
 from fleetpulse.operators.sizing import lookup_join
+from fleetpulse.sources import schemas
 
 LAG_STATE = "cluster string, ts timestamp_ntz, seq bigint, n bigint"
 LIFECYCLE_STATE = "cluster string, state string"
+SAMPLE_STATE = schemas.METRIC_SAMPLE
 FOLLOWER_STATE = "cluster string, poll_ts timestamp_ntz, addr string"
 
 
@@ -41,7 +43,8 @@ def lag_step(batch: DataFrame, leaders: DataFrame):
     """
     reads = probes.with_value(batch)
     leader = F.when(F.col("role") == "master_read", F.struct("n"))
-    rows = look(reads, ["cluster"], probes.ORDER, Look("leader", leader)).where(F.col("role") == "replica_read")
+    rows = look(reads, ["cluster"], probes.ORDER, Look("leader", leader), measure=probes.reads_of(batch))
+    rows = rows.where(F.col("role") == "replica_read")
     rows = lookup_join(rows, leaders.select("cluster", F.col("n").alias("leader_before")), "cluster", "left")
     rows = rows.withColumn("leader_n", F.coalesce("leader.n", "leader_before")).where(F.col("leader_n") > 0)
     lag = F.try_subtract(F.col("leader_n"), F.col("n"))
@@ -71,6 +74,11 @@ def follower_step(batch: DataFrame, sets: DataFrame):
     return changes, seen.join(last, ["cluster", "poll_ts"], "left_semi")
 
 
+def retention_step(batch: DataFrame, kept: DataFrame, retention: str = "2h"):
+    """The batch's samples. State: the samples not older than `retention` by the latest one."""
+    return batch, rates.retain(kept.unionByName(batch), retention)
+
+
 def command_step(batch: DataFrame, _, intervals: DataFrame):
     """The batch's commands of the nodes that led their clusters."""
     return leader_commands(batch, intervals), None
