@@ -65,11 +65,16 @@ class Look:
 
 
 def look(
-    df: DataFrame, keys: list[str], order: list[str], *looks: Look, measure: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], *looks: Look,
+    measure: DataFrame | None = None, keep_chunk: bool = False,
 ) -> DataFrame:
-    """Add the columns of all `looks`, which share one measuring (see `cut`) and one shuffle."""
+    """Add the columns of all `looks`, which share one measuring (see `cut`) and one shuffle.
+
+    With `keep_chunk` the column `CHUNK` stays: rows are partitioned by it and the keys, so that
+    grouping by both needs no further shuffle.
+    """
     sources = {f"_source{i}": x for i, x in enumerate(looks)}
-    result = [*df.columns, *[x.out for x in looks]]
+    kept = [*df.columns, CHUNK] if keep_chunk else df.columns
     rows, chunked = cut(df.withColumns({c: x.value for c, x in sources.items()}), keys, order, measure=measure)
 
     def nearest(c: str, first: list[str], by: list[str], x: Look, last: int) -> Column:
@@ -81,7 +86,7 @@ def look(
         return nearest(c, first, order, x, 0 if x.inclusive else -1)
 
     if not chunked:
-        return rows.select(*df.columns, *[inside(c, x, keys).alias(x.out) for c, x in sources.items()])
+        return rows.select(*kept, *[inside(c, x, keys).alias(x.out) for c, x in sources.items()])
 
     def end(c: str, x: Look) -> Column:
         last = F.when(F.col(c).isNotNull(), F.struct(*order, c))
@@ -94,16 +99,17 @@ def look(
     )
     near = rows.select("*", *[inside(c, x, [CHUNK, *keys]).alias(f"{c}_near") for c, x in sources.items()])
     joined = near.join(beyond, [CHUNK, *keys], "left")
-    return joined.withColumns(
-        {x.out: F.coalesce(f"{c}_near", f"{c}_beyond") for c, x in sources.items()}
-    ).select(*result)
+    found = [F.coalesce(f"{c}_near", f"{c}_beyond").alias(x.out) for c, x in sources.items()]
+    return joined.select(*kept, *found)
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], cols: list[str], measure: DataFrame | None = None
+    df: DataFrame, keys: list[str], order: list[str], cols: list[str],
+    measure: DataFrame | None = None, keep_chunk: bool = False,
 ) -> DataFrame:
     """Add the struct `prev` with `cols` of the row before; null for the first row of a key."""
-    return look(df, keys, order, Look("prev", F.struct(*cols), inclusive=False), measure=measure)
+    before = Look("prev", F.struct(*cols), inclusive=False)
+    return look(df, keys, order, before, measure=measure, keep_chunk=keep_chunk)
 
 
 def following(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:

@@ -103,9 +103,9 @@ def value_age(log: DataFrame) -> DataFrame:
     )
 
 
-def _with_leader(log: DataFrame) -> DataFrame:
-    """Follower reads with the struct `leader` of the last leader read before, if any."""
-    leader = F.when(F.col("role") == "master_read", F.struct("n", "age_ns"))
+def _with_leader(log: DataFrame, column: str) -> DataFrame:
+    """Follower reads with a column of the last leader read before as struct `leader`, if any."""
+    leader = F.when(F.col("role") == "master_read", F.struct(column))
     rows = look(with_value(log), ["cluster"], ORDER, Look("leader", leader), measure=reads_of(log))
     return rows.where(F.col("role") == "replica_read")
 
@@ -116,7 +116,7 @@ def replica_lag(log: DataFrame) -> DataFrame:
     No row while no leader value above 0 is known. A negative lag is kept. The last leader value
     counts, not the highest: it falls after a failover that lost writes.
     """
-    return _with_leader(log).where(F.col("leader.n") > 0).select(
+    return _with_leader(log, "n").where(F.col("leader.n") > 0).select(
         "seq", "ts", "cluster", "replica",
         F.try_subtract(F.col("leader.n"), F.col("n")).alias("lag"),
     )
@@ -129,7 +129,7 @@ def lag_gauge(log: DataFrame) -> DataFrame:
 
 def age_gap(log: DataFrame) -> DataFrame:
     """How much older a follower's value was than the leader's last seen one, per follower read."""
-    return _with_leader(log).where(F.col("leader").isNotNull()).select(
+    return _with_leader(log, "age_ns").where(F.col("leader").isNotNull()).select(
         "seq", "ts", "cluster", "replica", "age_ns",
         F.col("leader.age_ns").alias("leader_age_ns"),
         F.try_subtract(F.col("age_ns"), F.col("leader.age_ns")).alias("gap_ns"),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import micros, seconds
-from fleetpulse.operators.ordered import following, previous
+from fleetpulse.operators.ordered import CHUNK, following, previous
 from fleetpulse.operators.probes import latest
 
 
@@ -30,7 +30,10 @@ def match(df: DataFrame, label: str, op: str, value: str) -> DataFrame:
 
 
 def _steps_until(us: Column, step: int) -> Column:
-    """The number of the first step at or after an instant, as micros since the epoch."""
+    """The number of the first step at or after an instant in micros since the epoch.
+
+    The division is exact enough: micros fit a double, and a step is at least a microsecond.
+    """
     return F.ceil(us / F.lit(step)).cast("bigint")
 
 
@@ -45,13 +48,14 @@ def _at(step_number: Column, step: int) -> Column:
 def pairs(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbouring samples of a series with the increase between them.
 
-    A fall means that the counter restarted: then the new value is the increase.
+    A fall means that the counter restarted: then the new value is the increase. The column
+    `CHUNK` is kept for grouping in place.
     """
     step = F.when(F.col("value") >= F.col("prev.value"), F.col("value") - F.col("prev.value"))
     return (
-        previous(samples, keys, ["ts", "value"], ["ts", "value"])
+        previous(samples, keys, ["ts", "value"], ["ts", "value"], keep_chunk=True)
         .where(F.col("prev").isNotNull())
-        .select(*keys, "ts", F.col("prev.ts").alias("prev_ts"),
+        .select(*keys, CHUNK, "ts", F.col("prev.ts").alias("prev_ts"),
                 step.otherwise(F.col("value")).alias("increase"))
     )
 
@@ -70,17 +74,17 @@ def rate(samples: DataFrame, keys: list[str], window: str = "1m", step: str = "1
 
     A pair of samples counts where both lie in the window, so a row needs two samples. For a pair
     those steps form one run, from the first step at or after the later sample to the last step
-    less than a window after the earlier one. Pairs with the same run are summed first; only then
-    is the run spread over its steps. No extrapolation to the window's edges.
+    less than a window after the earlier one. Pairs with the same run are summed first, where they
+    are; only then is the run spread over its steps. No extrapolation to the window's edges.
     """
     w, s = micros(window), micros(step)
     first = _steps_until(_us(F.col("ts")), s)
     last = _steps_until(_us(F.col("prev_ts")) + w, s) - 1
     runs = (
         pairs(samples, keys)
-        .select(*keys, "increase", first.alias("first"), last.alias("last"))
+        .select(*keys, CHUNK, "increase", first.alias("first"), last.alias("last"))
         .where(F.col("first") <= F.col("last"))
-        .groupBy(*keys, "first", "last")
+        .groupBy(CHUNK, *keys, "first", "last")
         .agg(F.sum("increase").alias("increase"))
     )
     return (

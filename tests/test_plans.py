@@ -46,10 +46,18 @@ def test_lag_is_one_shuffle(log):
     assert plan.count(") Exchange") == 1 and "Join" not in plan
 
 
-def test_rate_shuffles_series_once_then_small_sums(spark):
+def test_rate_is_one_shuffle(spark):
     series = rates.promote(driver_tables.probe_samples(spark, FOLDER), "probe_writes_total", ["cluster", "status"])
     plan = plan_of(rates.rate(series, ["cluster", "status"]))
-    assert "Join" not in plan and plan.count("partial_sum") >= 2
+    assert "Join" not in plan and plan.count(") Exchange") == 1
+
+
+def test_rate_of_hot_series_groups_runs_in_place(spark, limits):
+    limits(rowsPerTask=20)
+    series = rates.promote(driver_tables.probe_samples(spark, FOLDER), "probe_writes_total", ["cluster", "status"])
+    plan = plan_of(rates.rate(series, ["cluster", "status"]))
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert not any("first#" in line for line in shuffles) and sum("_chunk#" in line for line in shuffles) >= 2
 
 
 BATCH = [n for n in QUERIES if not n.startswith("stream_")]
