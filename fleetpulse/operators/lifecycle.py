@@ -29,33 +29,37 @@ def replay(triggers: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Each cluster's state after its triggers in order; `initial` holds (cluster, state) before.
 
     Failed triggers leave the state alone. A cluster's history is folded in one array while it is
-    short. A long one is cut into chunks, each folded from every possible state at once; what a
-    chunk does to each state is a small array, and these are applied one after the other.
+    short. A long one is cut into chunks, each folded from every possible state at once. What a
+    chunk does to each state is a small array; these are put together a thousand at a time, so no
+    array grows with the history.
     """
     rows = triggers.where(F.col("ok") & F.col("trig").isin([t for _, t, _ in EDGES]))
     rows, chunked = cut(rows.select("cluster", "ts", "seq", "trig"), ["cluster"], ["ts", "seq"], "foldRows")
-    history = F.array_sort(F.collect_list(F.struct("ts", "seq", "trig")))
-    if not chunked:
-        folded = rows.groupBy("cluster").agg(history.alias("steps"))
-        next_state = lambda state, step: after(state, step["trig"])
-    else:
-        starts = F.array(*[F.lit(s) for s in STATES])
-        ends = F.aggregate(
-            "steps", starts, lambda acc, step: F.transform(acc, lambda s: after(s, step["trig"]))
-        )
-        folded = (
-            rows.groupBy("cluster", CHUNK).agg(history.alias("steps"))
-            .select("cluster", CHUNK, ends.alias("ends"))
-            .groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(CHUNK, "ends"))).alias("steps"))
-        )
-        next_state = lambda state, step: F.coalesce(
-            F.get(step["ends"], F.array_position(starts, state).cast("int") - 1), state
-        )
-    if initial is None:
-        start = F.lit(INITIAL)
+    history = F.array_sort(F.collect_list(F.struct("ts", "seq", "trig"))).alias("steps")
+
+    def fire(state: Column, step: Column) -> Column:
+        return after(state, step["trig"])
+
+    def through(state: Column, step: Column) -> Column:
+        return F.coalesce(F.get(step["ends"], F.array_position(starts, state).cast("int") - 1), state)
+
+    def from_every_state(next_state) -> Column:
+        each = F.aggregate("steps", starts, lambda acc, x: F.transform(acc, lambda s: next_state(s, x)))
+        return each.alias("ends")
+
+    starts = F.array(*[F.lit(s) for s in STATES])
+    in_order = F.array_sort(F.collect_list(F.struct(CHUNK, "ends"))).alias("steps")
+    if chunked:
+        parts = rows.groupBy("cluster", CHUNK).agg(history).select("cluster", CHUNK, from_every_state(fire))
+        spans = parts.groupBy("cluster", F.floor(F.col(CHUNK) / 1000).alias("_span")).agg(in_order)
+        spans = spans.select("cluster", F.col("_span").alias(CHUNK), from_every_state(through))
+        folded, next_state = spans.groupBy("cluster").agg(in_order), through
     else:
+        folded, next_state = rows.groupBy("cluster").agg(history), fire
+    start = F.lit(INITIAL)
+    if initial is not None:
         folded = folded.join(initial.select("cluster", F.col("state").alias("start")), "cluster", "left")
-        start = F.coalesce("start", F.lit(INITIAL))
+        start = F.coalesce("start", start)
     return folded.select("cluster", F.aggregate("steps", start, next_state).alias("state"))
 
 

@@ -46,6 +46,11 @@ def data_plane(df: DataFrame) -> DataFrame:
     return df.where(F.col("role_label").isin(DATA_ROLES))
 
 
+def skip_leader(df: DataFrame) -> DataFrame:
+    """All nodes but the one on `leader_port`; all of them where no leader is known."""
+    return df.where(F.col("port") != F.coalesce("leader_port", F.lit(0)))
+
+
 def by_role(df: DataFrame, *roles: str) -> DataFrame:
     return df.where(F.col("role_label").isin(*roles))
 

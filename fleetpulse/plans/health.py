@@ -1,7 +1,7 @@
 """The documented health queries over sampled metrics and the probe log.
 
 Each takes `metric_sample` rows (H4 and H5: the probe log). `window` and `step` default to one
-minute and the evaluation interval.
+minute and the evaluation interval; `prefix` is what the probes' metric names start with.
 """
 
 from pyspark.sql import DataFrame
@@ -19,20 +19,20 @@ def _rate(samples, metric, labels, matcher, window, step) -> DataFrame:
     return rates.rate(series, labels, window, step)
 
 
-def writes_per_second(samples, window="1m", step="15s") -> DataFrame:
+def writes_per_second(samples, window="1m", step="15s", prefix="probe") -> DataFrame:
     """H1: ok writes per second by cluster."""
-    return _rate(samples, "probe_writes_total", ["cluster", "status"], ("status", "=", "ok"), window, step)
+    return _rate(samples, f"{prefix}_writes_total", ["cluster", "status"], ("status", "=", "ok"), window, step)
 
 
-def leader_reads_per_second(samples, window="1m", step="15s") -> DataFrame:
+def leader_reads_per_second(samples, window="1m", step="15s", prefix="probe") -> DataFrame:
     """H2: ok leader reads per second by cluster."""
-    return _rate(samples, "probe_master_reads_total", ["cluster", "status"], ("status", "=", "ok"), window, step)
+    return _rate(samples, f"{prefix}_master_reads_total", ["cluster", "status"], ("status", "=", "ok"), window, step)
 
 
-def follower_reads_per_second(samples, window="1m", step="15s") -> DataFrame:
+def follower_reads_per_second(samples, window="1m", step="15s", prefix="probe") -> DataFrame:
     """H3: ok follower reads per second, summed by follower."""
     labels = ["cluster", "replica", "status"]
-    each = _rate(samples, "probe_replica_reads_total", labels, ("status", "=", "ok"), window, step)
+    each = _rate(samples, f"{prefix}_replica_reads_total", labels, ("status", "=", "ok"), window, step)
     return rates.sum_by(each, ["replica"], "rate", ["ts"])
 
 
@@ -47,17 +47,17 @@ def age_by_follower(log: DataFrame) -> DataFrame:
     return probes.latest(gaps, ["cluster", "replica"], ["age_ns", "leader_age_ns", "gap_ns"], probes.ORDER)
 
 
-def failover_write_errors(samples, window="1m", step="15s") -> DataFrame:
+def failover_write_errors(samples, window="1m", step="15s", prefix="probe") -> DataFrame:
     """H6: write errors of the kinds a failover causes, per second by kind."""
     matcher = ("kind", "=~", "readonly|master_down|loading")
-    each = _rate(samples, "probe_write_errors_total", ["cluster", "kind"], matcher, window, step)
+    each = _rate(samples, f"{prefix}_write_errors_total", ["cluster", "kind"], matcher, window, step)
     return rates.sum_by(each, ["kind"], "rate", ["ts"])
 
 
-def follower_read_errors(samples, window="1m", step="15s") -> DataFrame:
+def follower_read_errors(samples, window="1m", step="15s", prefix="probe") -> DataFrame:
     """H7: follower read errors per second by kind and follower."""
     labels = ["cluster", "replica", "kind"]
-    each = _rate(samples, "probe_replica_read_errors_total", labels, None, window, step)
+    each = _rate(samples, f"{prefix}_replica_read_errors_total", labels, None, window, step)
     return rates.sum_by(each, ["kind", "replica"], "rate", ["ts"])
 
 

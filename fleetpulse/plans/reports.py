@@ -124,7 +124,7 @@ def promotion_plan(nodes: DataFrame, leaders: DataFrame) -> DataFrame:
     rows = topo.data_plane(nodes)
     rows = lookup_join(rows, _facts(rows, leaders), "cluster")
     mixed = (F.col("v6") > 0) & (F.col("v8") > 0)
-    return rows.where((F.col("leader_port") > 0) & (F.col("port") != F.col("leader_port"))).select(
+    return topo.skip_leader(rows.where(F.col("leader_port") > 0)).select(
         "cluster", "name", "port", "version",
         F.when(mixed, priority_for(F.col("version"))).alias("priority"),
         (F.col("version") != 6).alias("candidate"),
@@ -142,7 +142,7 @@ def isolation_plan(nodes: DataFrame, leaders: DataFrame) -> DataFrame:
     """The v6 nodes to detach: all but the leader."""
     rows = topo.data_plane(nodes).where(F.col("version") == 6)
     rows = lookup_join(rows, leaders.select("cluster", "leader_port"), "cluster", "left")
-    return rows.where(F.col("port") != F.coalesce("leader_port", F.lit(0))).select("cluster", "name", "port")
+    return topo.skip_leader(rows).select("cluster", "name", "port")
 
 
 def removal_check(nodes: DataFrame, view: DataFrame) -> DataFrame:
