@@ -18,10 +18,9 @@ RUNS_PER_NODE = 64
 
 def leader_changes(view: DataFrame) -> DataFrame:
     """The polls at which a cluster's leader differs from the poll before, the first one included."""
-    polls = (
-        leader_answers(view).where("told").groupBy("cluster", "poll_ts")
-        .agg(F.min_by("port", "ord").alias("port"))
-    )
+    first = F.min_by("port", F.when(F.col("told"), F.col("ord")))
+    polls = leader_answers(view).groupBy("cluster", "poll_ts").agg(first.alias("port"))
+    polls = polls.where(F.col("port").isNotNull())
     # Written, so that the replies are read and taken apart once.
     steps = previous(written(polls, "polls"), ["cluster"], ["poll_ts"], ["port"])
     return steps.where(F.col("prev").isNull() | (F.col("prev.port") != F.col("port"))).select(

@@ -34,7 +34,8 @@ def replay(triggers: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     array grows with the history.
     """
     rows = triggers.where(F.col("ok") & F.col("trig").isin([t for _, t, _ in EDGES]))
-    rows, chunked = cut(rows.select("cluster", "ts", "seq", "trig"), ["cluster"], ["ts", "seq"], "foldRows")
+    found = cut(rows.select("cluster", "ts", "seq", "trig"), ["cluster"], ["ts", "seq"], "foldRows")
+    rows = found.rows
     history = F.array_sort(F.collect_list(F.struct("ts", "seq", "trig"))).alias("steps")
 
     def fire(state: Column, step: Column) -> Column:
@@ -49,7 +50,7 @@ def replay(triggers: DataFrame, initial: DataFrame | None = None) -> DataFrame:
 
     starts = F.array(*[F.lit(s) for s in STATES])
     in_order = F.array_sort(F.collect_list(F.struct(CHUNK, "ends"))).alias("steps")
-    if chunked:
+    if found.chunked:
         parts = rows.groupBy("cluster", CHUNK).agg(history).select("cluster", CHUNK, from_every_state(fire))
         spans = parts.groupBy("cluster", F.floor(F.col(CHUNK) / 1000).alias("_span")).agg(in_order)
         spans = spans.select("cluster", F.col("_span").alias(CHUNK), from_every_state(through))

@@ -14,6 +14,8 @@ anything is shuffled.
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,30 +26,42 @@ CHUNK = "_chunk"
 CELL_SECONDS = 3600
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Rows with their `CHUNK`, whether a key may have several, and whether a key may be null."""
+
+    rows: DataFrame
+    chunked: bool
+    null_keys: bool
+
+
 def cut(
     df: DataFrame, keys: list[str], order: list[str], limit: str = "rowsPerTask", measure: DataFrame | None = None
-) -> tuple[DataFrame, bool]:
-    """Tag rows with a chunk. Returns the rows and whether there is more than one chunk per key.
+) -> Cut:
+    """Tag rows with a chunk.
 
-    `order` must start with a timestamp and end the ties; keys must not be null. `measure` may
-    give rows that are cheaper to count: at least those of `df`, with the keys and the timestamp.
+    `order` must start with a timestamp and end the ties. `measure` may give rows that are cheaper
+    to count: at least those of `df`, with the keys and the timestamp.
     """
     measure = df if measure is None else measure
     most = limit_of(df.sparkSession, limit)
     hour = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (CELL_SECONDS * 1_000_000))
     per_hour = measure.groupBy(*keys, hour.alias(CHUNK)).agg(F.count("*").alias("rows"))
     per_key = per_hour.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.max("rows").alias("peak"))
+    missing = reduce(or_, [F.col(k).isNull() for k in keys])
     size = per_key.agg(
+        F.coalesce(F.bool_or(missing), F.lit(False)).alias("null_keys"),
         F.coalesce(F.max("rows"), F.lit(0)).alias("key"),
         F.coalesce(F.max("peak"), F.lit(0)).alias("hour"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("all"),
     ).first()
     if size["key"] <= most:
-        return df.withColumn(CHUNK, F.lit(0).cast("bigint")), False
+        return Cut(df.withColumn(CHUNK, F.lit(0).cast("bigint")), False, size["null_keys"])
     if size["hour"] <= most:
-        return df.withColumn(CHUNK, hour.cast("bigint")), True
+        return Cut(df.withColumn(CHUNK, hour.cast("bigint")), True, size["null_keys"])
     pieces = df.repartitionByRange(-(-size["all"] // most) + 1, *keys, *order)
-    return written(pieces.withColumn(CHUNK, F.spark_partition_id().cast("bigint")), "ordered"), True
+    tagged = pieces.withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
+    return Cut(written(tagged, "ordered"), True, size["null_keys"])
 
 
 @dataclass(frozen=True)
@@ -75,7 +89,8 @@ def look(
     """
     sources = {f"_source{i}": x for i, x in enumerate(looks)}
     kept = [*df.columns, CHUNK] if keep_chunk else df.columns
-    rows, chunked = cut(df.withColumns({c: x.value for c, x in sources.items()}), keys, order, measure=measure)
+    found = cut(df.withColumns({c: x.value for c, x in sources.items()}), keys, order, measure=measure)
+    rows = found.rows
 
     def nearest(c: str, first: list[str], by: list[str], x: Look, last: int) -> Column:
         way = [F.col(b).desc() if x.ahead else F.col(b).asc() for b in by]
@@ -85,7 +100,7 @@ def look(
     def inside(c: str, x: Look, first: list[str]) -> Column:
         return nearest(c, first, order, x, 0 if x.inclusive else -1)
 
-    if not chunked:
+    if not found.chunked:
         return rows.select(*kept, *[inside(c, x, keys).alias(x.out) for c, x in sources.items()])
 
     def end(c: str, x: Look) -> Column:
@@ -94,13 +109,19 @@ def look(
 
     ends = rows.groupBy(CHUNK, *keys).agg(*[end(c, x) for c, x in sources.items()])
     beyond = ends.select(
-        CHUNK, *keys,
+        *[F.col(k).alias(f"_beyond_{k}") for k in [CHUNK, *keys]],
         *[nearest(f"{c}_end", keys, [CHUNK], x, -1).alias(f"{c}_beyond") for c, x in sources.items()],
     )
     near = rows.select("*", *[inside(c, x, [CHUNK, *keys]).alias(f"{c}_near") for c, x in sources.items()])
-    joined = near.join(beyond, [CHUNK, *keys], "left")
-    found = [F.coalesce(f"{c}_near", f"{c}_beyond").alias(x.out) for c, x in sources.items()]
-    return joined.select(*kept, *found)
+    # Plain equality keeps the partitioning of the rows; only null keys need the other one.
+    same = [
+        F.col(k).eqNullSafe(F.col(f"_beyond_{k}")) if found.null_keys else F.col(k) == F.col(f"_beyond_{k}")
+        for k in [CHUNK, *keys]
+    ]
+    joined = near.join(beyond, reduce(and_, same), "left")
+    return joined.select(
+        *kept, *[F.coalesce(f"{c}_near", f"{c}_beyond").alias(x.out) for c, x in sources.items()]
+    )
 
 
 def previous(

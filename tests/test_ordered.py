@@ -58,11 +58,19 @@ def test_several_looks(spark, limits, rows):
 def test_pieces_are_even_and_whole(spark, limits, rows):
     limits(rowsPerTask=40)
     df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq int, v int")
-    tagged, chunked = cut(df, ["key"], ["ts", "seq"])
-    sizes = [r["count"] for r in tagged.groupBy(CHUNK, "key").count().collect()]
-    assert chunked and sum(sizes) == len(rows) and max(sizes) <= 80
+    found = cut(df, ["key"], ["ts", "seq"])
+    sizes = [r["count"] for r in found.rows.groupBy(CHUNK, "key").count().collect()]
+    assert found.chunked and not found.null_keys and sum(sizes) == len(rows) and max(sizes) <= 80
 
 
 def test_no_rows(spark):
     df = spark.createDataFrame([], "key string, ts timestamp_ntz, seq int, v int")
     assert look(df, ["key"], ["ts", "seq"], Look("near", F.col("v"))).count() == 0
+
+
+@pytest.mark.parametrize("most", [1000, 250, 40])
+def test_null_keys_are_a_key(spark, limits, rows, most):
+    limits(rowsPerTask=most)
+    df = spark.createDataFrame([(None if k == "hot" else k, *rest) for k, *rest in rows], "key string, ts timestamp_ntz, seq int, v int")
+    got = look(df, ["key"], ["ts", "seq"], Look("near", F.col("v")))
+    assert {r.seq: r.near for r in got.collect()} == expected(rows, True, False)

@@ -2,11 +2,13 @@
 
 import contextlib
 import io
+from datetime import datetime
 
 import pytest
 
 from checks.registered import QUERIES
-from fleetpulse.operators import probes, rates
+from fleetpulse.operators import convergence, probes, rates
+from fleetpulse.plans import reports
 from fleetpulse.sources import driver_tables, readers
 from conftest import FOLDER
 
@@ -60,6 +62,26 @@ def test_rate_of_hot_series_groups_runs_in_place(spark, limits):
     assert not any("first#" in line for line in shuffles) and sum("_chunk#" in line for line in shuffles) >= 2
 
 
+def test_few_intervals_leave_the_commands_where_they_are(spark, tmp_path):
+    path = str(tmp_path / "commands")
+    driver_tables.command_log(spark, FOLDER).write.parquet(path)
+    schema = "cluster string, node string, from_ts timestamp_ntz, to_ts timestamp_ntz"
+    few = spark.createDataFrame([("c1", "node-1", datetime(2024, 1, 1), None)], schema)
+    plan = plan_of(convergence.leader_commands(readers.read_commands(spark, path), few))
+    assert "BroadcastHashJoin" in plan and ") Exchange" not in plan
+
+
+@pytest.mark.parametrize("rows, join", [(500_000, "BroadcastHashJoin"), (3, "SortMergeJoin")])
+def test_small_sides_are_broadcast_by_their_count(spark, limits, rows, join):
+    limits(broadcastRows=rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes, leaders = driver_tables.node_snapshot(spark, FOLDER), driver_tables.leaders_told(spark, FOLDER)
+        assert join in plan_of(reports.instance_table(nodes, leaders))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 BATCH = [n for n in QUERIES if not n.startswith("stream_")]
 
 
