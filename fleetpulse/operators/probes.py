@@ -238,8 +238,21 @@ def to_samples(df: DataFrame, metric: Column, labels: list[str], value: Column,
     )
 
 
+def _counts_by_kind(log: DataFrame) -> DataFrame:
+    """What all counters and histograms are sums of, in one pass: a row per label tuple and kind."""
+    kind = error_kind(F.col("err"), F.col("net_timeout"))
+    counts = [F.count_if(F.col("dur_s") <= b).alias(f"_le{i}") for i, b in enumerate(BOUNDS)]
+    return log.groupBy("cluster", "role", _replica().alias("replica"), kind.alias("kind")).agg(
+        F.count("*").alias("ops"), *counts, F.count("dur_s").alias("count"), F.sum("dur_s").alias("sum")
+    )
+
+
 def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
-    """Every metric of the probe log at one instant, in long form."""
+    """Every metric of the probe log at one instant, in long form.
+
+    Counters and histograms come from one small table, written once, so the log is not read anew
+    for each.
+    """
 
     def name(subject: Column | str, suffix: str) -> Column:
         return F.concat(F.lit(f"{prefix}_"), subject, F.lit(suffix))
@@ -261,10 +274,18 @@ def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
     gauges = [(name(subject, "_value"), F.col("n"), None),
               (name(subject, "_value_age_seconds"), F.round(F.col("age_ns") / 1e9, 6), None)]
     where = ["cluster", "replica"]
+    base = written(_counts_by_kind(log), "counts")
+    status = F.when(F.col("kind").isNull(), "ok").otherwise("error").alias("status")
+    ops = base.groupBy("role", *where, status).agg(F.sum("ops").alias("ops"))
+    errors = base.where(F.col("kind").isNotNull())
+    whole = [c for c in base.columns if c.startswith("_le")] + ["count"]
+    buckets = base.groupBy("role", *where).agg(
+        *[F.sum(c).alias(c) for c in whole], F.round(F.sum("sum"), 6).alias("sum")
+    )
     return (
-        to_samples(op_counts(log), name("role", "s_total"), [*where, "status"], F.col("ops"), ts)
-        .unionByName(to_samples(error_counts(log), name("role", "_errors_total"), [*where, "kind"], F.col("errors"), ts))
-        .unionByName(samples(_bucket_counts(log).select(*where, several(*histogram)), [*where, "le"]))
+        to_samples(ops, name("role", "s_total"), [*where, "status"], F.col("ops"), ts)
+        .unionByName(to_samples(errors, name("role", "_errors_total"), [*where, "kind"], F.col("ops"), ts))
+        .unionByName(samples(buckets.select(*where, several(*histogram)), [*where, "le"]))
         .unionByName(samples(value_gauges(log).select(*where, several(*gauges)), where))
         .unionByName(to_samples(lag_gauge(log), F.lit(f"{prefix}_replica_lag_count"), where, F.col("lag"), ts))
     )

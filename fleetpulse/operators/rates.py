@@ -168,9 +168,12 @@ def subtract(samples: DataFrame, left: str, right: str, on: list[str]) -> DataFr
 def retain(df: DataFrame, retention: str = "2h", ts: str = "ts") -> DataFrame:
     """Rows younger than `retention`, measured from the latest row.
 
-    Where the rows have a `date`, as stored samples do, older folders are not read.
+    Where the rows have a `date`, as stored samples do, the latest row is looked for in the last
+    date's folder only, and older folders than needed are not read.
     """
     age = F.make_dt_interval(secs=F.lit(seconds(retention)).cast("decimal(18,6)"))
-    oldest = df.agg(F.max(ts).alias("newest")).select(F.col("newest") - age).scalar()
+    dated = "date" in df.columns
+    last = df.where(F.col("date") == df.agg(F.max("date")).scalar()) if dated else df
+    oldest = last.agg(F.max(ts).alias("newest")).select(F.col("newest") - age).scalar()
     young = df.where(F.col(ts) > oldest)
-    return young.where(F.col("date") >= oldest.cast("date")) if "date" in df.columns else young
+    return young.where(F.col("date") >= oldest.cast("date")) if dated else young

@@ -397,4 +397,5 @@ def test_samples_are_laid_out_by_metric_and_date(spark, tmp_path):
     back = readers.read_samples(spark, path)
     assert back.count() == 3
     plan = back.where("metric = 'up' and date = DATE'2024-01-02'")._jdf.queryExecution().executedPlan().toString()
+    assert rates.retain(back, "2h").count() == 1 and rates.retain(back, "2d").count() == 3
     assert "PartitionFilters: [isnotnull(metric" in plan and rows_of(rates.promote(back, "keys", ["i"]), "i", "value") == [("1", 5.0)]
