@@ -94,9 +94,10 @@ def _blocks(items: DataFrame):
     return n, (gather(b) for b in range(n))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WORDS, keep_text: bool = False) -> DataFrame:
     """Per document: `doc_id`, `n_words`, `n_hit` words inside an occurrence of a window, `items` that
-    occur, and `spans`, the hit ranges [start, end) in code points of the original text.
+    occur, and `spans`, the hit ranges [start, end) in code points of the original text; with
+    `keep_text` also `text`.
 
     Null text has no words, and a document without words has no hits. A null item id is -1; items
     without words match nothing; equal items are reported each. Rows with a null or repeated
@@ -128,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataF
                     out["hits"].append([{"first": a, "after": b} for a, b in hits])
             return out
 
-        state = mapped(state, find, FOUND if last else f"doc_id BIGINT, text STRING, {HITS}")
+        state = mapped(state, find, FOUND + ", text STRING" * keep_text if last else f"doc_id BIGINT, text STRING, {HITS}")
     return state
 
 
@@ -146,6 +147,17 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with all their columns.
+
+    Rows with the same text have the same verdict, so they are found again by a digest of it."""
+    digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
+    distinct = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    found = contamination(distinct, items, size, keep_text=True).where(contaminated())
+    bad = written(found.select(digest("text").alias("digest")).distinct(), "contaminated")
+    return docs.alias("d").join(bad.hint("shuffle_hash").alias("b"), digest("d.text") == F.col("b.digest"), "left_anti")
+
+
 def op6_decontamination(spark, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))

@@ -267,6 +267,19 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with their spans redacted, and `n_chars`, if there is such a column, counted
+    anew. All other columns stay; a null text stays null."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    found = find_spans(rows, train(rows.select("text")))
+    text = F.when(F.col("row.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
+    found = found.select("row", text.alias("new"))
+    put = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in put:
+        put["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new")).otherwise(put["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[v.alias(c) for c, v in put.items()])
+
+
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

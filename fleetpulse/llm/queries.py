@@ -1,10 +1,19 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
-from fleetpulse.llm import decontamination, simhash, token_counts
+from fleetpulse.llm import (
+    decontamination, packing, private_data, quality, rules, secrets, simhash, substrings, token_counts, toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_quality_rules": rules.op3_quality_rules,
+    "op4_substrings": substrings.op4_substrings,
+    "op5_packing": packing.op5_packing,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_simhash": simhash.op7_simhash,
+    "op8_quality": quality.op8_quality,
+    "op9_private_data": private_data.op9_private_data,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op6_decontamination": decontamination.SQL}

@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.components import components
@@ -50,14 +50,18 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """`doc_id` and the fingerprint `fp` as a long with the same bits, for every row."""
+    """`doc_id`, `text_hash` and the fingerprint `fp` as a long with the same bits, for every row."""
 
     def each(batch):
         made = np.array([fingerprint(t) for t in batch["text"].to_pylist()], dtype=np.uint64)
-        return {"doc_id": batch["doc_id"], "fp": made.view(np.int64)}
+        return {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": made.view(np.int64)}
 
-    return mapped(texts(docs), each, "doc_id BIGINT, fp BIGINT")
+    return mapped(texts(docs, _text_hash("text").alias("text_hash")), each, "doc_id BIGINT, text_hash BIGINT, fp BIGINT")
 
 
 @cache
@@ -196,6 +200,18 @@ def near_links(fps: DataFrame) -> DataFrame:
             return found
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """`doc_id`, `text_hash`, `fp`, the `root` of its component and the component's `component_id`."""
+    made = written(fingerprints(docs), "fingerprints")
+    classes = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(near_links(classes))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return made.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: `doc_id`, `fp` and `component_id`, the smallest `doc_id` that can be reached
     over links between fingerprints at `LINK` or fewer differing bits.
@@ -204,15 +220,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null `doc_id` gets a component like the rest but never names one, unless all of a component are
     null. Repeated rows are each returned; other columns are ignored; an empty table gives no row.
     """
-    made = written(fingerprints(docs), "fingerprints")
-    classes = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(classes))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
-    return made.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without near duplicates, with all their columns: of each component the row
+    with the least `doc_id` stays, a null one last; of several with that id, the text with the least
+    hash, once."""
+    found = _grouped(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    stay = found.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.text_hash").alias("hash"))
+    times = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    stay = stay.join(times, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("id", "hash", "n")
+    stay = written(stay, "stay")
+
+    def rows(ids):
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.id")) & (_text_hash("d.text") == F.col("s.hash"))
+        return docs.alias("d").join(ids.hint("shuffle_hash").alias("s"), same, "left_semi")
+
+    return rows(stay.where("n = 1")).unionAll(rows(stay.where("n > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def op7_simhash(spark, folder: str) -> DataFrame:

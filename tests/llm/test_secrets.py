@@ -1,0 +1,61 @@
+import random
+import re
+
+from fleetpulse.llm import secrets as op
+from fleetpulse.llm.tables import table
+from llm.conftest import ODD
+
+
+def test_candidates(spark, frame):
+    docs = ODD + [(50, 'token = "0123456789abcdef0123"'), (51, "no digits in averylongwordindeedyes but a1b2c3d4e5f6g7h8== has"), (52, "x" * 50000 + "1")]
+    found = op.candidates(frame(docs), frozenset(["long", "word"])).collect()
+    want = []
+    for i, t in docs:
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t or ""):
+            key = re.match(r"[A-Za-z0-9+/_-]*={0,2}", m[0])[0]
+            if re.search("[0-9]", m[0]) and len(key.rstrip("=")) >= 16:
+                want.append((str(i), m.start(), key))
+    assert sorted((str(r.doc_id), r.start, r.value) for r in found) == sorted(want)
+    assert {r.doc_id for r in found if r.assigned} == {50}
+
+
+def test_coverage():
+    words = frozenset(["alpha", "beta", "alphabet"])
+    assert op.covered("alphabeta12", words) == 8 / 11 and op.covered("", words) == 0 and op.covered("zz9", words) == 0
+
+
+def test_forest_removes_false_positives(spark, frame):
+    """Labelled findings of half of the documents; the other half is judged."""
+    rng = random.Random(1)
+    key = lambda: "".join(rng.choice("0123456789abcdefXYZ") for _ in range(32))
+    wordy = lambda: "-".join(rng.choice(["river", "mountain", "forest", "yellow"]) for _ in range(4)) + "-7"
+    docs, labels, truth = [], [], {}
+    for i in range(400):
+        secret = rng.random() < 0.4
+        text = f"river mountain forest yellow {'use' if secret else 'see'} {key() if secret else wordy()} here"
+        docs.append((i, text))
+        start = text.index("use " if secret else "see ") + 4
+        if i % 2:
+            labels.append((i, start, start + len(text) - start - 5, int(secret)))
+        truth[i] = secret
+    findings = spark.createDataFrame(labels, "doc_id BIGINT, start INT, end INT, label INT")
+    found = op.scan(frame(docs), findings).collect()
+    held = [r for r in found if r.doc_id % 2 == 0]
+    assert len(found) == 400 and sum(r.secret == truth[r.doc_id] for r in held) > 0.97 * len(held)
+
+
+def test_no_findings(spark, frame):
+    assert op.scan(frame([])).count() == 0 and op.scan(frame(ODD)).count() == 0
+    one = op.scan(frame([(1, "plain 1234567890123456789 text")])).collect()
+    assert [r.secret for r in one] == [False]
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    found = {(r.doc_id, r.start): r.secret for r in op.op2_secrets(spark, folder).collect()}
+    planted = set()
+    for r in table(spark, folder, "documents").collect():
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text):
+            planted.add((r.doc_id, m.start(1)))
+    assert planted and planted <= {k for k, s in found.items() if s}
+    assert sum(found.values()) <= 1.1 * len(planted)
