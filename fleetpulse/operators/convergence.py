@@ -1,6 +1,6 @@
 """How leadership moves, who led when, and how long a condition takes to hold."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import seconds
@@ -37,32 +37,48 @@ def leader_intervals(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     return runs.join(names, ["cluster", "port"]).select("cluster", "node", "from_ts", "to_ts")
 
 
+def disjoint(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals `[from_ts, to_ts)` of a key put together where they overlap or touch.
+
+    `to_ts` is null while one lasts. Empty intervals and null keys hold nothing and are left out."""
+    given = intervals.where(F.col("to_ts").isNull() | (F.col("from_ts") < F.col("to_ts"))).dropna(subset=[*keys, "from_ts"])
+    order = Window.partitionBy(*keys).orderBy("from_ts", F.col("to_ts").desc_nulls_first())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    lasts = F.coalesce(F.max(F.col("to_ts").isNull()).over(before), F.lit(False))
+    apart = ~lasts & F.coalesce(F.col("from_ts") > F.max("to_ts").over(before), F.lit(True))
+    runs = given.withColumn("_apart", apart.cast("int"))
+    runs = runs.withColumn("_run", F.sum("_apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(
+        F.min("from_ts").alias("from_ts"),
+        F.when(~F.max(F.col("to_ts").isNull()), F.max("to_ts")).alias("to_ts"),
+    ).drop("_run")
+
+
 def leader_commands(commands: DataFrame, intervals: DataFrame) -> DataFrame:
     """Commands of the node that led its cluster when they ran.
 
-    Leadership moves seldom, so the intervals are written and counted, and broadcast while they
-    are few, in all and per node: the commands, the large side, are then not shuffled. Beyond
-    that, commands and starts of leadership are put in one order per cluster and each command
-    looks back.
+    Leadership moves seldom, so the intervals, made disjoint per node, are written and counted, and
+    broadcast while they are few, in all and per node: the commands, the large side, are then not
+    shuffled. Beyond that, commands and the ends of leadership are put in one order per node and
+    each command looks back. Both ways give the same rows.
     """
     spark = commands.sparkSession
-    runs = written(intervals, "intervals")
-    per_node = runs.groupBy("cluster", "node").agg(F.count("*").alias("n"))
+    key = ["cluster", "node"]
+    runs = written(disjoint(intervals, key), "intervals")
+    per_node = runs.groupBy(*key).agg(F.count("*").alias("n"))
     size = per_node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("node")).first()
     if size["all"] <= limit_of(spark, "broadcastRows") and size["node"] <= RUNS_PER_NODE:
         inside = (F.col("ts") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("ts") < F.col("to_ts")))
         led = F.broadcast(runs.withColumnsRenamed({"cluster": "l_cluster", "node": "l_node"}))
         same = (F.col("cluster") == F.col("l_cluster")) & (F.col("node") == F.col("l_node"))
         return commands.join(led, same & inside, "left_semi")
-    ends = runs.where(F.col("to_ts").isNotNull()).select(
-        "cluster", F.col("to_ts").alias("ts"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("led")
-    )
-    starts = runs.select("cluster", F.col("from_ts").alias("ts"), F.lit(1).alias("rank"), F.col("node").alias("led"))
-    marks = starts.unionByName(ends)
-    rows = commands.withColumn("rank", F.lit(2)).unionByName(marks, allowMissingColumns=True)
-    order = ["ts", "rank", "seq"]
-    seen = look(rows, ["cluster"], order, Look("now", F.when(F.col("rank") < 2, F.struct("led"))))
-    return seen.where((F.col("rank") == 2) & (F.col("now.led") == F.col("node"))).select(*commands.columns)
+    ends = runs.where(F.col("to_ts").isNotNull()).select(*key, F.col("to_ts").alias("ts"), F.lit(0).alias("rank"))
+    starts = runs.select(*key, F.col("from_ts").alias("ts"), F.lit(1).alias("rank"))
+    rows = commands.dropna(subset=[*key, "ts"]).withColumn("rank", F.lit(2))
+    rows = rows.unionByName(starts.unionByName(ends), allowMissingColumns=True)
+    now = Look("now", F.when(F.col("rank") < 2, F.struct(F.col("rank").alias("mark"))))
+    seen = look(rows, key, ["ts", "rank", "seq"], now)
+    return seen.where((F.col("rank") == 2) & (F.col("now.mark") == 1)).select(*commands.columns)
 
 
 def time_to(starts: DataFrame, polls: DataFrame, keys: list[str], limit: str) -> DataFrame:

@@ -172,9 +172,12 @@ def regressions(log: DataFrame) -> DataFrame:
 def refreshes(followers: DataFrame) -> DataFrame:
     """Good refreshes as distinct (cluster, poll_ts, addr); `addr` is null for an empty list.
 
-    A failed refresh leaves the set as it was, so it does not count.
+    A failed refresh leaves the set as it was, so it does not count. Of several coordinators' answers
+    at one instant the first good one, by `ord`, is the refresh.
     """
-    return followers.where("ok").select("cluster", "poll_ts", "addr").dropDuplicates()
+    good = followers.where("ok").select("cluster", "poll_ts", "ord", "addr").dropDuplicates()
+    first = good.groupBy("cluster", "poll_ts").agg(F.min("ord").alias("ord"))
+    return good.join(first, ["cluster", "poll_ts", "ord"]).select("cluster", "poll_ts", "addr")
 
 
 def followers_observed(followers: DataFrame) -> DataFrame:

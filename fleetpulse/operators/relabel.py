@@ -1,5 +1,6 @@
 """Relabelling of discovered targets."""
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,12 @@ class Rule:
     action: str = "replace"
 
 
+def _short(replacement: str) -> str:
+    """The long form of a group's number, ``${1}``, in the short one. A digit after it is escaped, so
+    that it stays text."""
+    return re.sub(r"\$\{([0-9]+)\}([0-9]?)", lambda m: f"${m[1]}" + (f"\\{m[2]}" if m[2] else ""), replacement)
+
+
 def relabel(targets: DataFrame, rules: list[Rule], keep: list[str] | None = None) -> DataFrame:
     """Apply `rules` in order to the map column `labels`; other columns are passed on.
 
@@ -36,10 +43,10 @@ def relabel(targets: DataFrame, rules: list[Rule], keep: list[str] | None = None
         if rule.action == "keep":
             kept = kept & text.rlike(pattern)
         elif rule.action == "replace":
-            if (rule.regex, rule.replacement) == ("(.*)", "$1"):
+            if (rule.regex, _short(rule.replacement)) == ("(.*)", "$1"):
                 changed[rule.target] = text
             else:
-                made = F.regexp_replace(text, pattern, rule.replacement)
+                made = F.regexp_replace(text, pattern, _short(rule.replacement))
                 changed[rule.target] = F.when(text.rlike(pattern), made).otherwise(label(rule.target))
         else:
             raise ValueError(f"unknown action {rule.action!r}")

@@ -26,7 +26,7 @@ def label_filter(containers: DataFrame, wanted: dict[str, str], prefix: str = "f
 
 
 def nodes(containers: DataFrame, wanted: dict[str, str] | None = None, prefix: str = "fleet") -> DataFrame:
-    """The inventory with typed columns. A version or port that does not parse is 0."""
+    """The inventory with typed columns. A version or port that does not parse, or fit, is 0."""
 
     def label(name: str) -> Column:
         return F.coalesce(F.try_element_at("labels", F.lit(f"{prefix}.{name}")), F.lit(""))
@@ -35,7 +35,7 @@ def nodes(containers: DataFrame, wanted: dict[str, str] | None = None, prefix: s
         "id",
         F.regexp_replace(F.get("names", F.lit(0)), "^/", "").alias("name"),
         label("role").alias("role_label"),
-        atoi_or_zero(label("version")).cast("int").alias("version"),
+        F.coalesce(atoi_or_zero(label("version")).try_cast("int"), F.lit(0)).alias("version"),
         atoi_or_zero(label("port")).alias("port"),
         label("cluster").alias("cluster"),
         "status",
@@ -173,7 +173,7 @@ def followers(view: DataFrame) -> DataFrame:
 
 def coordinators(view: DataFrame) -> DataFrame:
     """The coordinators seen, with the port at the end of their name."""
-    port = F.substring_index("coordinator", "-", -1).cast("bigint")
+    port = F.substring_index("coordinator", "-", -1).try_cast("bigint")
     return view.select("ord", "coordinator", "version").distinct().withColumn("port", port)
 
 
@@ -205,7 +205,8 @@ def discovered_masters(view: DataFrame) -> DataFrame:
 def pick_leader(listed: DataFrame, name: str | None = None) -> DataFrame:
     """Mark the leader to probe: the named one, or the only one.
 
-    All listed leaders stay as rows, as the choices to offer; `problem` says why none is chosen.
+    All listed leaders stay as rows, as the choices to offer; `problem` says why none is chosen. If
+    nothing is listed, one row without a leader says so.
     """
     wanted = F.lit(True) if name is None else F.col("name") == name
     hits = listed.agg(F.count_if(wanted)).scalar()
@@ -215,7 +216,10 @@ def pick_leader(listed: DataFrame, name: str | None = None) -> DataFrame:
     else:
         problem = F.when(hits == 0, F.concat(F.lit("no such leader: "), F.lit(name)))
         chosen = wanted
-    return listed.select("name", "address", chosen.alias("chosen"), problem.alias("problem"))
+    spark = listed.sparkSession
+    nothing = spark.createDataFrame([(None, None, False, "no leaders are listed")], "name string, address string, chosen boolean, problem string")
+    nothing = nothing.where(listed.agg(F.count("*")).scalar() == 0)
+    return listed.select("name", "address", chosen.alias("chosen"), problem.alias("problem")).unionByName(nothing)
 
 
 def listed_now(view: DataFrame) -> DataFrame:

@@ -33,10 +33,13 @@ def time_to_visible(starts: DataFrame, followers: DataFrame, limit: str = LIMITS
 def time_to_priorities(
     starts: DataFrame, expected: DataFrame, followers: DataFrame, limit: str = LIMITS["priorities"]
 ) -> DataFrame:
-    """Until one refresh shows all of a cluster's expected (port, priority) pairs together."""
+    """Until one coordinator's refresh shows all of a cluster's expected (port, priority) pairs
+    together. A cluster that expects none has not to wait."""
     pair = [*NODE, "priority"]
+    expected = expected.select(*pair).dropDuplicates()
     wanted = expected.groupBy("cluster").agg(F.count("*").alias("wanted"))
-    shown = followers.where("ok").select("poll_ts", *pair).dropDuplicates().join(expected.select(*pair), pair, "left_semi")
-    met = shown.groupBy("cluster", "poll_ts").agg(F.count("*").alias("met")).join(wanted, "cluster")
+    shown = followers.where("ok").select("poll_ts", "ord", *pair).dropDuplicates().join(expected, pair, "left_semi")
+    met = shown.groupBy("cluster", "poll_ts", "ord").agg(F.count("*").alias("met")).join(wanted, "cluster")
     polls = met.where(F.col("met") == F.col("wanted")).select("cluster", F.col("poll_ts").alias("ts"))
-    return time_to(starts, polls, ["cluster"], limit)
+    at_once = starts.join(wanted, "cluster", "left_anti").select("cluster", "ts")
+    return time_to(starts, polls.unionByName(at_once), ["cluster"], limit)

@@ -46,13 +46,15 @@ def run_steps(stream: DataFrame, step: Step, path: str, state: str | None = None
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        before = _state_before(spark, path, batch_id, schema) if schema else None
-        rows, after = step(batch, before)
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        if schema:
-            kept = after.select(*schema.fieldNames()).withColumn("batch", F.lit(batch_id).cast("bigint"))
-            kept.write.mode("overwrite").parquet(_state_place(path, batch_id))
-        batch.unpersist()
+        try:
+            before = _state_before(spark, path, batch_id, schema) if schema else None
+            rows, after = step(batch, before)
+            rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+            if schema:
+                kept = after.select(*schema.fieldNames()).withColumn("batch", F.lit(batch_id).cast("bigint"))
+                kept.write.mode("overwrite").parquet(_state_place(path, batch_id))
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{path}/checkpoint")
     return every(writer, cadence).start()
