@@ -228,9 +228,9 @@ def cut_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def each(batch):
         out: dict = {c: [] for c in ("doc_id", "doc_tokens", "start", "length", "crc", "blocks")}
-        encode = encoder(tokenizer, False).encode
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            ids = encode(text) + end
+        encoded = encoder(tokenizer, False).encode_all(batch["text"].to_pylist())
+        for doc, ids in zip(batch["doc_id"].to_pylist(), encoded):
+            ids += end
             n = len(ids) // 4
             for start in range(0, n, WINDOW):
                 part = ids[4 * start:4 * (start + WINDOW)]

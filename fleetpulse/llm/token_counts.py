@@ -54,8 +54,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, normalise=None) ->
     )
 
     def encode(batch):
-        count = encoder(tokenizer, True).encode
-        return {"digest": batch["digest"], "n_tokens": [count(t) for t in batch["content"].to_pylist()]}
+        counts = encoder(tokenizer, True).encode_all(batch["content"].to_pylist())
+        return {"digest": batch["digest"], "n_tokens": list(counts)}
 
     encoded = mapped(picked.select("digest", "content"), encode, CACHE).dropDuplicates(["digest"])
     encoded.write.mode("append").parquet(path)

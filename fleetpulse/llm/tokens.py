@@ -16,10 +16,9 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
-import numpy as np
-
-PIECES, PIECE_CHARS = 200_000, 64
+PIECES, PIECE_CHARS, AT_ONCE = 300_000, 64, 50
 _ENCODERS: dict = {}
 
 _LED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
@@ -67,10 +66,28 @@ class Encoder:
         self.tokenizer.no_padding()
         self.young: dict = {}
         self.old: dict = {}
+        self.words: dict = {}
 
     def _encode(self, pieces: list[str]) -> list:
-        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        return [len(e) for e in found] if self.counts else [np.array(e.ids, "<u4").tobytes() for e in found]
+        found = self.tokenizer.encode_batch(pieces, add_special_tokens=False) if pieces else []
+        return [len(e) for e in found] if self.counts else [array("I", e.ids).tobytes() for e in found]
+
+    def _new(self, pieces: list[str]) -> list:
+        """Encodes pieces that are in neither generation. Of plain words with a stop or comma behind,
+        the lower-case word and the rest are encoded apart, each once: the tokenizer does the same."""
+        if self.kind != "words":
+            return self._encode(pieces)
+        parts = []
+        for p in pieces:
+            base = p.rstrip(".,")
+            plain = base.isalpha() and max(base) < "\u0250" and "\u0130" not in base
+            parts.append((base.lower(), p[len(base):]) if plain else (p, ""))
+        ask = [x for x in {x for pair in parts for x in pair} if x not in self.words]
+        self.words.update(zip(ask, self._encode(ask)))
+        found = [self.words[a] + self.words[b] for a, b in parts]
+        if len(self.words) > PIECES:
+            self.words.clear()
+        return found
 
     def pieces(self, text: str) -> list[str]:
         if self.kind == "words":
@@ -79,28 +96,32 @@ class Encoder:
             return _LED(text)
         return [text]
 
+    def _some(self, texts: list[str]) -> list:
+        known, held, missing = self.young, [], set()
+        for text in texts:
+            parts = self.pieces(text)
+            found = list(map(known.get, parts))
+            holes = [i for i, x in enumerate(found) if x is None] if None in found else []
+            missing.update(parts[i] for i in holes)
+            held.append((parts, found, holes))
+        fresh = {p: self.old[p] for p in missing if p in self.old}
+        new = [p for p in missing if p not in fresh]
+        fresh.update(zip(new, self._new(new)))
+        for parts, found, holes in held:
+            for i in holes:
+                found[i] = fresh[parts[i]]
+        known.update((p, x) for p, x in fresh.items() if len(p) <= PIECE_CHARS)
+        if len(known) > PIECES:
+            self.old, self.young = known, {}
+        return [sum(found) if self.counts else b"".join(found) for _, found, _ in held]
+
+    def encode_all(self, texts: list[str]):
+        """For each text the number of tokens, or the ids as little-endian unsigned 32-bit numbers."""
+        for k in range(0, len(texts), AT_ONCE):
+            yield from self._some(texts[k:k + AT_ONCE])
+
     def encode(self, text: str):
-        """The number of tokens, or the ids as little-endian unsigned 32-bit numbers."""
-        parts = self.pieces(text)
-        if len(parts) == 1 and parts[0] == text:
-            return self._encode(parts)[0]
-        known = self.young
-        try:
-            found = [known[p] for p in parts]
-        except KeyError:
-            new = []
-            for p in dict.fromkeys(parts):
-                if p not in known:
-                    if p in self.old:
-                        known[p] = self.old[p]
-                    else:
-                        new.append(p)
-            fresh = dict(zip(new, self._encode(new)))
-            known.update((p, x) for p, x in fresh.items() if len(p) <= PIECE_CHARS)
-            found = [fresh[p] if p in fresh else known[p] for p in parts]
-            if len(known) > PIECES:
-                self.old, self.young = known, {}
-        return sum(found) if self.counts else b"".join(found)
+        return self._some([text])[0]
 
 
 def encoder(path: str, counts: bool) -> Encoder:

@@ -10,10 +10,10 @@ from fleetpulse.llm.tokens import Encoder, public_path
 from llm.conftest import ODD
 
 
-def odd_texts(n=400):
+def odd_texts(n=900):
     rng = random.Random(1)
     parts = ["The", "the", "'s", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", " ",
-             "É", "é", "́", "ΣΑΣ", "İ", "12", "3.5", "漢字", "🙂", "<|endoftext|>", "<|startoftext|>", "!!", "</w>", "ﬁ", "_", "\x00"]
+             "É", "é", "́", "ΣΑΣ", "İ", "12", "3.5", "漢字", "🙂", "<|endoftext|>", "<|startoftext|>", "!!", "</w>", "ﬁ", "_", "\x00", "ƒOO.", "Word,.", "ÖÄ,", "ßẞ.", "ΑΣ.", "İ.", ".", ",,"]
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(n)]
 
 
