@@ -18,7 +18,7 @@ import os
 import re
 from array import array
 
-PIECES, PIECE_CHARS, AT_ONCE = 300_000, 64, 50
+PIECES, PIECE_CHARS, AT_ONCE = 600_000, 64, 50
 _ENCODERS: dict = {}
 
 _LED = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
