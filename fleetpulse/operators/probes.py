@@ -169,13 +169,18 @@ def regressions(log: DataFrame) -> DataFrame:
 # -- the followers a probe reads, from coordinators' refreshes ---------------------------------
 
 
+def with_ord(followers: DataFrame) -> DataFrame:
+    """Rows without the coordinator's place `ord` are one coordinator's."""
+    return followers if "ord" in followers.columns else followers.withColumn("ord", F.lit(0))
+
+
 def refreshes(followers: DataFrame) -> DataFrame:
     """Good refreshes as distinct (cluster, poll_ts, addr); `addr` is null for an empty list.
 
     A failed refresh leaves the set as it was, so it does not count. Of several coordinators' answers
     at one instant the first good one, by `ord`, is the refresh.
     """
-    good = followers.where("ok").select("cluster", "poll_ts", "ord", "addr").dropDuplicates()
+    good = with_ord(followers).where("ok").select("cluster", "poll_ts", "ord", "addr").dropDuplicates()
     first = good.groupBy("cluster", "poll_ts").agg(F.min("ord").alias("ord"))
     return good.join(first, ["cluster", "poll_ts", "ord"]).select("cluster", "poll_ts", "addr")
 

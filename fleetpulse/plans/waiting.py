@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import is_synced, replication_state
 from fleetpulse.operators.convergence import LIMITS, time_to
+from fleetpulse.operators.probes import with_ord
 
 NODE = ["cluster", "port"]
 
@@ -38,7 +39,7 @@ def time_to_priorities(
     pair = [*NODE, "priority"]
     expected = expected.select(*pair).dropDuplicates()
     wanted = expected.groupBy("cluster").agg(F.count("*").alias("wanted"))
-    shown = followers.where("ok").select("poll_ts", "ord", *pair).dropDuplicates().join(expected, pair, "left_semi")
+    shown = with_ord(followers).where("ok").select("poll_ts", "ord", *pair).dropDuplicates().join(expected, pair, "left_semi")
     met = shown.groupBy("cluster", "poll_ts", "ord").agg(F.count("*").alias("met")).join(wanted, "cluster")
     polls = met.where(F.col("met") == F.col("wanted")).select("cluster", F.col("poll_ts").alias("ts"))
     at_once = starts.join(wanted, "cluster", "left_anti").select("cluster", "ts")

@@ -66,7 +66,7 @@ def follower_step(batch: DataFrame, sets: DataFrame):
     """
     known = sets.withColumn("ok", F.lit(True)).withColumn("ord", F.lit(0))
     columns = ["cluster", "poll_ts", "ord", "addr", "ok"]
-    both = batch.select(*columns).unionByName(known.select(*columns))
+    both = probes.with_ord(batch).select(*columns).unionByName(known.select(*columns))
     # The set before the batch has no refresh before it here; its members joined earlier.
     old = sets.select("cluster", F.col("poll_ts").alias("ts")).distinct().withColumn("change", F.lit("joined"))
     changes = probes.follower_changes(both).join(old, ["cluster", "ts", "change"], "left_anti")
