@@ -78,12 +78,11 @@ probe("latest_present", f"""SELECT l.* FROM ({LAG_NOW}) l LEFT JOIN
   (SELECT cluster, replica, max(ts) AS gone FROM log WHERE kind = 'other' AND role = 'replica_read' GROUP BY ALL) g
   USING (cluster, replica) WHERE gone IS NULL OR ts > gone""")
 
-PER_SECOND = """SELECT {cols}, t AS ts, count(*) / 21600.0::DOUBLE AS rate FROM log, LATERAL (
+PER_SECOND = """SELECT cluster, role, t AS ts, count(*) / 21600.0::DOUBLE AS rate FROM log, LATERAL (
   SELECT unnest(generate_series(date_trunc('hour', ts), date_trunc('hour', ts) + INTERVAL 6 HOUR, INTERVAL 1 HOUR)) AS t) g
-  WHERE t >= ts AND t - INTERVAL 6 HOUR < ts {more} GROUP BY ALL"""
-probe("op_rate", PER_SECOND.format(cols="cluster, role", more=""))
-probe("stream_op_rate", PER_SECOND.format(cols="cluster, role", more="""
-  AND t <= (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 MICROSECOND) - INTERVAL 2 MINUTE FROM events)"""))
+  WHERE t >= ts AND t - INTERVAL 6 HOUR < ts GROUP BY ALL"""
+for _name in ("op_rate", "stream_op_rate"):
+    probe(_name, PER_SECOND)
 
 probe("probe_metrics", f"""
 SELECT metric, cluster, replica, status, kind, TIMESTAMP '2024-01-01' AS ts, CAST(v AS DOUBLE) AS value, le FROM (
@@ -114,7 +113,7 @@ oracle("regressions", """SELECT seq, ts, cluster, prev_n, n, CASE WHEN n < prev_
 PROBE_SAMPLES = """
 samples AS (
   SELECT *, CASE WHEN kind IS NULL THEN CASE WHEN value > 60 THEN 'error' ELSE 'ok' END END AS status FROM (
-    SELECT ts, (event_id % 500)::DOUBLE AS v, value, 'c' || (user_id % 5) AS cluster, 'r' || (user_id % 15) AS replica,
+    SELECT ts, (event_id % 500)::DOUBLE AS v, value, 'c' || (user_id % 5) AS cluster, 'probe-' || (user_id // 5 % 2) AS instance, 'r' || (user_id % 15) AS replica,
       CASE WHEN event_type IN ('signup', 'purchase') THEN 'writes' WHEN event_type = 'click' THEN 'master_reads'
            WHEN event_type = 'view' THEN 'replica_reads' WHEN event_id % 2 = 0 THEN 'write_errors' ELSE 'replica_errors' END AS metric,
       CASE WHEN event_type = 'error' THEN list_extract(
@@ -122,48 +121,69 @@ samples AS (
     FROM events))"""
 NODE_SAMPLES = """
 samples AS (
-  SELECT ts, metric, event_id, 'redis://node-' || (user_id % 20) || ':' || (6380 + user_id % 20) AS instance,
-    'c' || (user_id % 20 % 5) AS redis_cluster, CASE WHEN user_id % 20 % 3 = 0 THEN '8' ELSE '6' END AS redis_version_major,
-    'db' || (user_id // 20 % 2) AS db,
+  SELECT ts, metric, event_id, 'redis://node-' || node || ':' || (6380 + node) AS instance,
+    'c' || (node % 5) AS redis_cluster, CASE WHEN node % 3 = 0 THEN '8' ELSE '6' END AS redis_version_major,
+    CASE WHEN metric IN ('redis_db_keys', 'redis_commands_processed_total') THEN 'db' || (user_id // 20 % 2) END AS db,
     CASE WHEN metric IN ('redis_up', 'redis_master_link_up') THEN CASE WHEN value < 90 THEN 1 ELSE 0 END
          WHEN metric = 'redis_commands_processed_total' THEN event_id % 500
          WHEN metric = 'redis_master_repl_offset' THEN event_id * 100
          WHEN metric = 'redis_slave_repl_offset' THEN event_id * 100 - user_id
          ELSE floor(value * 10) END::DOUBLE AS v
-  FROM (SELECT *, list_extract(['redis_up', 'redis_connected_clients', 'redis_memory_used_bytes', 'redis_db_keys',
+  FROM (SELECT *, CASE WHEN metric = 'redis_master_repl_offset' THEN user_id % 5 ELSE user_id % 20 END AS node
+    FROM (SELECT *, list_extract(['redis_up', 'redis_connected_clients', 'redis_memory_used_bytes', 'redis_db_keys',
       'redis_commands_processed_total', 'redis_master_link_up', 'redis_master_repl_offset', 'redis_slave_repl_offset'],
-      1 + (event_id + event_id // 8) % 8) AS metric FROM events))"""
+      1 + (event_id + event_id // 8) % 8) AS metric FROM events)))"""
 
 
 def _rates(series: str, where: str) -> str:
+    """Windows (t - 6 h, t] with their samples: first, last, and the increase between neighbours; `rate` goes on to
+    the window's edges, `between` does not. `series` are all labels that the samples have."""
     return f"""
+laid AS (
+  SELECT {series}, t, ts, v, lag(v) OVER (PARTITION BY {series}, t ORDER BY ts) AS prev
+  FROM samples, LATERAL (SELECT unnest(generate_series(date_trunc('hour', ts),
+    date_trunc('hour', ts) + INTERVAL 6 HOUR, INTERVAL 1 HOUR)) AS t) g
+  WHERE t >= ts AND t - INTERVAL 6 HOUR < ts AND {where}),
+windows AS (
+  SELECT {series}, t, sum(CASE WHEN prev IS NULL THEN 0 WHEN v >= prev THEN v - prev ELSE v END) AS up,
+    arg_min(v, ts) AS v0, (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE AS covered,
+    (epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / (count(*) - 1) AS mean,
+    (epoch_us(min(ts)) - epoch_us(t) + 21600000000)::DOUBLE AS before, (epoch_us(t) - epoch_us(max(ts)))::DOUBLE AS behind
+  FROM laid GROUP BY {series}, t HAVING count(*) > 1),
+edges AS (
+  SELECT *, CASE WHEN behind >= 1.1::DOUBLE * mean THEN mean / 2 ELSE behind END AS right_gap,
+    least(CASE WHEN before >= 1.1::DOUBLE * mean THEN mean / 2 ELSE before END,
+      CASE WHEN up > 0 AND v0 >= 0 THEN covered * v0 / up END) AS left_gap FROM windows),
 rates AS (
-  SELECT {series}, t AS ts, sum(CASE WHEN v >= prev THEN v - prev ELSE v END) / 21600.0::DOUBLE AS rate FROM (
-    SELECT {series}, t, v, lag(v) OVER (PARTITION BY {series}, t ORDER BY ts) AS prev
-    FROM samples, LATERAL (SELECT unnest(generate_series(date_trunc('hour', ts),
-      date_trunc('hour', ts) + INTERVAL 6 HOUR, INTERVAL 1 HOUR)) AS t) g
-    WHERE t >= ts AND t - INTERVAL 6 HOUR < ts AND {where})
-  WHERE prev IS NOT NULL GROUP BY ALL)"""
-
-
-oracle("writes_per_second", "SELECT * FROM rates", PROBE_SAMPLES,
-       _rates("cluster, status", "metric = 'writes' AND status = 'ok'"))
-oracle("leader_reads_per_second", "SELECT * FROM rates", PROBE_SAMPLES,
-       _rates("cluster, status", "metric = 'master_reads' AND status = 'ok'"))
-oracle("follower_reads_per_second", "SELECT replica, ts, round(sum(rate), 9) AS rate FROM rates GROUP BY ALL", PROBE_SAMPLES,
-       _rates("cluster, replica, status", "metric = 'replica_reads' AND status = 'ok'"))
-oracle("failover_write_errors", "SELECT kind, ts, round(sum(rate), 9) AS rate FROM rates GROUP BY ALL", PROBE_SAMPLES,
-       _rates("cluster, kind", "metric = 'write_errors' AND kind IN ('readonly', 'master_down', 'loading')"))
-oracle("follower_read_errors", "SELECT kind, replica, ts, round(sum(rate), 9) AS rate FROM rates GROUP BY ALL", PROBE_SAMPLES,
-       _rates("cluster, replica, kind", "metric = 'replica_errors'"))
-oracle("commands_per_second", "SELECT * FROM rates", NODE_SAMPLES,
-       _rates("instance", "metric = 'redis_commands_processed_total'"))
-oracle("matched_errors", """SELECT cluster, kind, round(sum(v), 9) AS value FROM samples
+  SELECT {series}, t AS ts, up / 21600.0::DOUBLE AS between,
+    up * ((covered + left_gap + right_gap) / covered) / 21600.0::DOUBLE AS rate FROM edges)"""
+
+
+def _summed(by: str, value: str = "rate") -> str:
+    return f"SELECT {by}, ts, round(sum({value}), 8) AS rate FROM rates GROUP BY ALL"
+
+
+oracle("writes_per_second", _summed("cluster, status"), PROBE_SAMPLES,
+       _rates("instance, cluster, status", "metric = 'writes' AND status = 'ok'"))
+oracle("writes_per_second_between_samples", _summed("cluster, status", "between"), PROBE_SAMPLES,
+       _rates("instance, cluster, status", "metric = 'writes' AND status = 'ok'"))
+oracle("leader_reads_per_second", _summed("cluster, status"), PROBE_SAMPLES,
+       _rates("instance, cluster, status", "metric = 'master_reads' AND status = 'ok'"))
+oracle("follower_reads_per_second", _summed("replica"), PROBE_SAMPLES,
+       _rates("instance, cluster, replica, status", "metric = 'replica_reads' AND status = 'ok'"))
+oracle("failover_write_errors", _summed("kind"), PROBE_SAMPLES,
+       _rates("instance, cluster, kind", "metric = 'write_errors' AND kind IN ('readonly', 'master_down', 'loading')"))
+oracle("follower_read_errors", _summed("kind, replica"), PROBE_SAMPLES,
+       _rates("instance, cluster, replica, kind", "metric = 'replica_errors'"))
+oracle("commands_per_second", _summed("instance"), NODE_SAMPLES,
+       _rates("instance, db", "metric = 'redis_commands_processed_total'"))
+oracle("matched_errors", """SELECT cluster, kind, sum(v) AS value FROM samples
   WHERE metric = 'write_errors' AND kind IN ('readonly', 'master_down') GROUP BY ALL""", PROBE_SAMPLES)
 
 
 def _now(metric: str, labels: str = "instance, redis_cluster", more: str = "") -> str:
-    return f"""SELECT {labels}, arg_max(v, ts) AS value FROM samples WHERE metric = '{metric}' {more} GROUP BY ALL"""
+    return f"""SELECT {labels}, arg_max(v, ts) AS value FROM samples
+      WHERE metric = '{metric}' AND ts > (SELECT max(ts) FROM samples) - INTERVAL 7 DAY {more} GROUP BY ALL"""
 
 
 oracle("nodes_up", _now("redis_up"), NODE_SAMPLES)
@@ -173,11 +193,13 @@ oracle("database_keys", _now("redis_db_keys", "instance, redis_cluster, db"), NO
 oracle("link_up", _now("redis_master_link_up"), NODE_SAMPLES)
 oracle("nodes_up_of_version", _now(
     "redis_up", "instance, redis_cluster, redis_version_major", "AND redis_version_major = '8'"), NODE_SAMPLES)
-oracle("keys_by_cluster", f"""SELECT redis_cluster, round(sum(value), 9) AS value FROM
+oracle("keys_by_cluster", f"""SELECT redis_cluster, sum(value) AS value FROM
   ({_now("redis_db_keys", "instance, redis_cluster, db")}) GROUP BY ALL""", NODE_SAMPLES)
-for _name, _labels in (("offset_lag", "instance, redis_cluster"), ("offset_lag_by_cluster", "redis_cluster")):
-    oracle(_name, f"""SELECT {_labels}, l.value - r.value AS value
-      FROM ({_now("redis_master_repl_offset", _labels)}) l JOIN ({_now("redis_slave_repl_offset", _labels)}) r USING ({_labels})""",
+for _name, _on, _more in (("offset_lag", "instance, redis_cluster", ""), ("offset_lag_by_cluster", "redis_cluster", ", lefts")):
+    oracle(_name, f"""SELECT r.instance, redis_cluster,
+        CASE WHEN lefts = 1 THEN l.value - r.value END AS value {_more}
+      FROM (SELECT {_on}, count(*) AS lefts, max(value) AS value FROM ({_now("redis_master_repl_offset")}) GROUP BY ALL) l
+      JOIN ({_now("redis_slave_repl_offset")}) r USING ({_on})""",
            NODE_SAMPLES)
 for _name in ("retained_samples", "stream_retained_samples"):
     oracle(_name, """SELECT metric, ts, v AS value FROM samples
@@ -186,14 +208,19 @@ oracle("stored_samples", """SELECT metric, strftime(ts, '%Y-%m-%d') AS day, coun
   FROM samples GROUP BY ALL""", NODE_SAMPLES)
 oracle("counter_increase", """SELECT instance, date_trunc('day', ts)::TIMESTAMP AS ts,
   sum(CASE WHEN v >= prev THEN v - prev ELSE v END) AS increase
-  FROM (SELECT *, lag(v) OVER (PARTITION BY instance ORDER BY ts) AS prev FROM samples WHERE metric = 'redis_commands_processed_total')
+  FROM (SELECT *, lag(v) OVER (PARTITION BY instance, db ORDER BY ts) AS prev FROM samples
+    WHERE metric = 'redis_commands_processed_total')
   WHERE prev IS NOT NULL GROUP BY ALL""", NODE_SAMPLES)
-oracle("resampled", """SELECT instance, t AS ts, (SELECT arg_max(v, s.ts) FROM samples s
-    WHERE s.metric = 'redis_commands_processed_total' AND s.instance = g.instance AND s.ts <= g.t) AS value
-  FROM (SELECT instance, unnest(generate_series(lo, hi, INTERVAL 6 HOUR)) AS t FROM (
-    SELECT instance, time_bucket(INTERVAL 6 HOUR, min(ts) - INTERVAL 1 MICROSECOND) + INTERVAL 6 HOUR AS lo,
-      time_bucket(INTERVAL 6 HOUR, max(ts) - INTERVAL 1 MICROSECOND) + INTERVAL 6 HOUR AS hi
-    FROM samples WHERE metric = 'redis_commands_processed_total' GROUP BY instance)) g""", NODE_SAMPLES)
+oracle("resampled", """
+  SELECT instance, db, t AS ts, value FROM (
+    SELECT g.instance, g.db, g.t, arg_max(v, s.ts) AS value, max(s.step) AS step
+    FROM (SELECT instance, db, unnest(generate_series(lo, hi, INTERVAL 6 HOUR)) AS t FROM (
+      SELECT instance, db, min(step) AS lo, max(step) AS hi FROM stepped GROUP BY instance, db)) g
+    JOIN stepped s ON s.instance = g.instance AND s.db = g.db AND s.ts <= g.t GROUP BY g.instance, g.db, g.t)
+  WHERE t <= step + INTERVAL 2 DAY""", NODE_SAMPLES, """
+stepped AS (
+  SELECT *, time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 1 MICROSECOND) + INTERVAL 6 HOUR AS step
+  FROM samples WHERE metric = 'redis_commands_processed_total')""")
 
 # -- inventory and topology ------------------------------------------------------------------------
 
@@ -241,11 +268,11 @@ oracle("removal_preview", """SELECT name, role AS role_label, concat_ws('  ',
   CASE WHEN cluster <> '' THEN 'cluster=' || cluster END) AS detail FROM fleet""", CONTAINERS)
 oracle("exporter_layout", """SELECT count(*) AS exporters, CASE WHEN count(*) = 0 THEN 'none' ELSE 'per node' END AS layout
   FROM fleet WHERE role = 'redis-exporter'""", CONTAINERS)
-oracle("free_ports", """SELECT cluster, port, slot::INT AS slot FROM (
-    SELECT cluster, port, row_number() OVER (PARTITION BY cluster ORDER BY port) AS slot FROM (
-      SELECT DISTINCT f.cluster, p.port FROM fleet f, (SELECT unnest(range(6380, 6501)) AS port) p
-      WHERE NOT EXISTS (SELECT 1 FROM fleet u WHERE u.cluster = f.cluster AND u.port = p.port)))
-  WHERE slot <= 3""", CONTAINERS)
+oracle("free_ports", """SELECT cluster, port, (turn % 3 + 1)::BIGINT AS slot
+  FROM (SELECT port, row_number() OVER (ORDER BY port) - 1 AS turn FROM (SELECT unnest(range(6380, 6701)) AS port)
+    WHERE port NOT IN (SELECT port FROM fleet WHERE port IS NOT NULL))
+  JOIN (SELECT cluster, row_number() OVER (ORDER BY cluster NULLS FIRST) - 1 AS place FROM (SELECT DISTINCT cluster FROM fleet))
+  ON turn // 3 = place""", CONTAINERS)
 oracle("cluster_counts", "SELECT cluster, count(*) AS nodes FROM plane GROUP BY 1", NODES)
 oracle("version_mix", "SELECT * FROM mix", NODES)
 oracle("any_v6", "SELECT cluster, bool_or(version = 6) AS found FROM plane GROUP BY 1", NODES)

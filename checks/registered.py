@@ -20,11 +20,19 @@ QUERIES = {}
 WINDOW, STEP = "6h", "1h"
 
 
+LOOK_BACK = "7d"
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+def rounded(operator, column: str, places: int):
+    """Two engines add doubles in different orders, so sums are compared to some places only."""
+    return lambda *args, **kwargs: operator(*args, **kwargs).withColumn(column, F.round(column, places))
+
+
 def on(source, name: str, operator, *args, **kwargs) -> None:
     """Register an operator that needs one logical table only."""
     QUERIES[name] = lambda spark, folder: operator(source(spark, folder), *args, **kwargs)
@@ -34,7 +42,7 @@ def on(source, name: str, operator, *args, **kwargs) -> None:
 
 on(tables.probe_log, "op_counts", probes.op_counts)
 on(tables.probe_log, "error_counts", probes.error_counts)
-on(tables.probe_log, "latency_histogram", probes.latency_histogram)
+on(tables.probe_log, "latency_histogram", rounded(probes.latency_histogram, "sum", 6))
 on(tables.probe_log, "value_gauges", probes.value_gauges)
 on(tables.probe_log, "value_age", probes.value_age)
 on(tables.probe_log, "replica_lag", probes.replica_lag)
@@ -57,7 +65,8 @@ def parse_values(spark: SparkSession, folder: str) -> DataFrame:
 def probe_metrics(spark: SparkSession, folder: str) -> DataFrame:
     samples = probes.all_samples(tables.probe_log(spark, folder), F.expr(tables.EPOCH))
     label = lambda name: F.try_element_at("labels", F.lit(name)).alias(name)
-    return samples.select("metric", *[label(n) for n in ("cluster", "replica", "status", "kind")], "ts", "value",
+    return samples.select("metric", *[label(n) for n in ("cluster", "replica", "status", "kind")], "ts",
+                          F.round("value", 6).alias("value"),
                           F.try_element_at("labels", F.lit("le")).cast("double").alias("le"))
 
 
@@ -73,29 +82,38 @@ def latest_present(spark: SparkSession, folder: str) -> DataFrame:
 
 for _name in ("writes_per_second", "leader_reads_per_second", "follower_reads_per_second",
               "failover_write_errors", "follower_read_errors"):
-    on(tables.probe_samples, _name, getattr(health, _name), WINDOW, STEP)
+    on(tables.probe_samples, _name, rounded(getattr(health, _name), "rate", 8), WINDOW, STEP)
+on(tables.probe_samples, "writes_per_second_between_samples",
+   rounded(health.writes_per_second, "rate", 8), WINDOW, STEP, extrapolate=False)
 for _name in ("nodes_up", "connected_clients", "memory_used", "database_keys", "link_up",
               "offset_lag", "nodes_up_of_version", "keys_by_cluster"):
-    on(tables.exporter_samples, _name, getattr(health, _name))
-on(tables.exporter_samples, "commands_per_second", health.commands_per_second, WINDOW, STEP)
-on(tables.exporter_samples, "offset_lag_by_cluster", health.offset_lag, ["redis_cluster"])
+    on(tables.exporter_samples, _name, getattr(health, _name), look_back=LOOK_BACK)
+on(tables.exporter_samples, "commands_per_second", rounded(health.commands_per_second, "rate", 8), WINDOW, STEP)
+on(tables.exporter_samples, "offset_lag_by_cluster", health.offset_lag, ["redis_cluster"], LOOK_BACK)
 on(tables.exporter_samples, "retained_samples",
    lambda s: rates.retain(s, "2d").select("metric", "ts", "value"))
 
 
 def _counter(spark, folder):
-    return rates.promote(tables.exporter_samples(spark, folder), "redis_commands_processed_total", ["instance"])
+    return rates.promote(tables.exporter_samples(spark, folder), "redis_commands_processed_total", ["instance", "db"])
 
 
-on(_counter, "counter_increase", rates.increase, ["instance"], "day")
-on(_counter, "resampled", rates.resample, ["instance"], "6h")
+@query
+def counter_increase(spark: SparkSession, folder: str) -> DataFrame:
+    each = rates.increase(_counter(spark, folder), ["instance", rates.SERIES], "day")
+    return rates.sum_by(each, ["instance"], "increase", ["ts"])
+
+
+@query
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    return rates.resample(_counter(spark, folder), ["instance", "db", rates.SERIES], "6h", "2d").drop(rates.SERIES)
 
 
 @query
 def matched_errors(spark: SparkSession, folder: str) -> DataFrame:
-    series = rates.promote(tables.probe_samples(spark, folder), "probe_write_errors_total", ["cluster", "kind"])
+    series = rates.promote(tables.probe_samples(spark, folder), "probe_write_errors_total", ["workload_cluster", "kind"])
     kept = rates.match(series, "kind", "=~", "read.*|master_down|load")
-    return rates.sum_by(kept, ["cluster", "kind"], "value")
+    return rates.sum_by(kept.withColumnRenamed("workload_cluster", "cluster"), ["cluster", "kind"], "value")
 
 
 @query
@@ -123,7 +141,7 @@ on(_inventory, "cluster_instances", lambda n: topo.by_cluster(topo.data_plane(n)
 on(_inventory, "clusters", topo.clusters)
 on(_inventory, "removal_preview", reports.removal_preview)
 on(_inventory, "exporter_layout", reports.exporter_layout)
-on(_inventory, "free_ports", topo.free_slots, ["cluster"], 6380, 6500, 3)
+on(_inventory, "free_ports", topo.free_slots, ["cluster"], 6380, 6700, 3)
 on(tables.node_snapshot, "cluster_counts", lambda n: topo.cluster_counts(topo.data_plane(n)))
 on(tables.node_snapshot, "version_mix", lambda n: topo.version_mix(topo.data_plane(n)))
 on(tables.node_snapshot, "any_v6", lambda n: topo.has_version(topo.data_plane(n), 6, ["cluster"]))
@@ -403,15 +421,15 @@ def stream_histogram(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     log = tables.probe_log_of(_stream(spark, folder, "events"))
     _finish(running.run_table(probes.latency_histogram(log), path))
-    return running.current(spark, path)
+    return running.current(spark, path).withColumn("sum", F.round("sum", 6))
 
 
 @query
 def stream_op_rate(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     log = tables.probe_log_of(_stream(spark, folder, "events"))
-    _finish(running.run_append(live.rate_stream(log, ["cluster", "role"], WINDOW, STEP), path))
-    return running.results(spark, path)
+    _finish(live.run_rate(log, ["cluster", "role"], path, STEP))
+    return live.rate_now(spark, path, WINDOW, STEP)
 
 
 @query

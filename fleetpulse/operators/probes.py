@@ -42,7 +42,7 @@ def _bucket_counts(log: DataFrame) -> DataFrame:
     """One row per label tuple with a count for each bound. Errors are included."""
     counts = [F.count_if(F.col("dur_s") <= b).alias(f"_le{i}") for i, b in enumerate(BOUNDS)]
     return log.groupBy("cluster", "role", _replica().alias("replica")).agg(
-        *counts, F.count("dur_s").alias("count"), F.round(F.sum("dur_s"), 6).alias("sum")
+        *counts, F.count("dur_s").alias("count"), F.sum("dur_s").alias("sum")
     )
 
 
@@ -280,7 +280,7 @@ def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
     histogram += [(name("role", f"{duration}_{c}"), F.col(c), None) for c in ("sum", "count")]
     subject = F.when(F.col("role") == "master_read", "master").otherwise("replica")
     gauges = [(name(subject, "_value"), F.col("n"), None),
-              (name(subject, "_value_age_seconds"), F.round(F.col("age_ns") / 1e9, 6), None)]
+              (name(subject, "_value_age_seconds"), F.col("age_ns") / 1e9, None)]
     where = ["cluster", "replica"]
     base = written(_counts_by_kind(log), "counts")
     status = F.when(F.col("kind").isNull(), "ok").otherwise("error").alias("status")
@@ -288,7 +288,7 @@ def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
     errors = base.where(F.col("kind").isNotNull())
     whole = [c for c in base.columns if c.startswith("_le")] + ["count"]
     buckets = base.groupBy("role", *where).agg(
-        *[F.sum(c).alias(c) for c in whole], F.round(F.sum("sum"), 6).alias("sum")
+        *[F.sum(c).alias(c) for c in [*whole, "sum"]]
     )
     return (
         to_samples(ops, name("role", "s_total"), [*where, "status"], F.col("ops"), ts)

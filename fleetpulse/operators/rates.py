@@ -1,4 +1,10 @@
-"""Rates, increases, grids and label matching over sampled series."""
+"""Rates, increases, grids and label matching over sampled series.
+
+A series is a metric with its whole label set, which the column `SERIES` stands for. Rates, grids
+and "now" are taken per series; sums by some of the labels come after.
+"""
+
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -7,11 +13,20 @@ from fleetpulse.functions.numbers import micros, seconds
 from fleetpulse.operators.ordered import CHUNK, following, previous
 from fleetpulse.operators.probes import latest
 
+SERIES = "series"
+
+
+def series_id() -> Column:
+    """128 bits for a whole label set, whatever the order of its entries; an empty label is none."""
+    entries = F.filter(F.map_entries("labels"), lambda e: e["value"] != "")
+    return F.md5(F.coalesce(F.to_json(F.array_sort(entries)), F.lit("[]")))
+
 
 def promote(samples: DataFrame, metric: str, labels: list[str]) -> DataFrame:
-    """One metric with the given labels as columns; a missing label is null."""
+    """One metric with its `SERIES` and the given labels as columns; a missing label is null."""
     return samples.where(F.col("metric") == metric).select(
-        *[F.try_element_at("labels", F.lit(name)).alias(name) for name in labels], "ts", "value"
+        *[F.try_element_at("labels", F.lit(name)).alias(name) for name in labels],
+        series_id().alias(SERIES), "ts", "value",
     )
 
 
@@ -55,7 +70,7 @@ def pairs(samples: DataFrame, keys: list[str]) -> DataFrame:
     return (
         previous(samples, keys, ["ts", "value"], ["ts", "value"], keep_chunk=True)
         .where(F.col("prev").isNotNull())
-        .select(*keys, CHUNK, "ts", F.col("prev.ts").alias("prev_ts"),
+        .select(*keys, CHUNK, "ts", F.col("prev.ts").alias("prev_ts"), F.col("prev.value").alias("prev_value"),
                 step.otherwise(F.col("value")).alias("increase"))
     )
 
@@ -69,49 +84,76 @@ def increase(samples: DataFrame, keys: list[str], grain: str) -> DataFrame:
     )
 
 
-def rate(samples: DataFrame, keys: list[str], window: str = "1m", step: str = "15s") -> DataFrame:
-    """Per-second increase over ``(t - window, t]`` at each step `t`.
+def rate(
+    samples: DataFrame, keys: list[str], window: str = "1m", step: str = "15s", extrapolate: bool = False
+) -> DataFrame:
+    """Per-second increase over ``(t - window, t]`` at each step `t`; `keys` must name a series.
 
     A pair of samples counts where both lie in the window, so a row needs two samples. For a pair
     those steps form one run, from the first step at or after the later sample to the last step
     less than a window after the earlier one. Pairs with the same run are summed first, where they
-    are; only then is the run spread over its steps. No extrapolation to the window's edges.
+    are; only then is the run spread over its steps. With `extrapolate` the increase between the
+    first and the last sample is carried on to the window's edges (see `_carried_on`).
     """
     w, s = micros(window), micros(step)
     first = _steps_until(_us(F.col("ts")), s)
     last = _steps_until(_us(F.col("prev_ts")) + w, s) - 1
-    runs = (
-        pairs(samples, keys)
-        .select(*keys, CHUNK, "increase", first.alias("first"), last.alias("last"))
-        .where(F.col("first") <= F.col("last"))
-        .groupBy(CHUNK, *keys, "first", "last")
-        .agg(F.sum("increase").alias("increase"))
+    sums = [F.sum("increase").alias("increase")]
+    more = []
+    if extrapolate:
+        more = ["pairs", "head", "tail"]
+        sums += [F.sum("pairs").alias("pairs"), F.min("head").alias("head"), F.max("tail").alias("tail")]
+    head = F.struct(_us(F.col("prev_ts")).alias("us"), F.col("prev_value").alias("value"))
+    spans = pairs(samples, keys).select(
+        *keys, CHUNK, "increase", first.alias("first"), last.alias("last"),
+        F.lit(1).alias("pairs"), head.alias("head"), _us(F.col("ts")).alias("tail"),
     )
-    return (
-        runs.select(*keys, "increase", F.explode(F.sequence("first", "last")).alias("n"))
+    runs = spans.where(F.col("first") <= F.col("last")).groupBy(CHUNK, *keys, "first", "last").agg(*sums)
+    steps = (
+        runs.select(*keys, "increase", *more, F.explode(F.sequence("first", "last")).alias("n"))
         .groupBy(*keys, "n")
-        .agg((F.sum("increase") / seconds(window)).alias("rate"))
-        .select(*keys, _at(F.col("n"), s).alias("ts"), "rate")
+        .agg(*sums)
     )
+    total = F.col("increase") * _carried_on(F.col("n") * s, w) if extrapolate else F.col("increase")
+    return steps.select(*keys, _at(F.col("n"), s).alias("ts"), (total / seconds(window)).alias("rate"))
+
+
+def _carried_on(t: Column, window: int) -> Column:
+    """What to multiply the increase by, so that it covers all of ``(t - window, t]``.
+
+    As publicly documented for instant rates: up to an edge that is less than 1.1 mean sample
+    distances away, else by half a distance; and back no further than to where the counter was 0.
+    """
+    start, tail = F.col("head.us"), F.col("tail")
+    covered = (tail - start).cast("double")
+    mean = covered / F.col("pairs")
+
+    def gap(us: Column) -> Column:
+        return F.when(us >= 1.1 * mean, mean / 2).otherwise(us.cast("double"))
+
+    grew = (F.col("increase") > 0) & (F.col("head.value") >= 0)
+    since_zero = F.when(grew, covered * F.col("head.value") / F.nullif(F.col("increase"), F.lit(0.0)))
+    whole = covered + F.least(gap(start - (t - window)), since_zero) + gap(t - tail)
+    return F.coalesce(whole / F.nullif(covered, F.lit(0.0)), F.lit(1.0))
 
 
 def sum_by(df: DataFrame, labels: list[str], value: str, at: list[str] | None = None) -> DataFrame:
     """The sum by label, per instant. Rates are summed after they are taken, never before."""
-    return df.groupBy(*labels, *(at or [])).agg(F.round(F.sum(value), 9).alias(value))
+    return df.groupBy(*labels, *(at or [])).agg(F.sum(value).alias(value))
 
 
-def op_rate(log: DataFrame, keys: list[Column | str], window: str = "1m", step: str = "15s") -> DataFrame:
-    """Operations per second over ``(t - window, t]`` straight from the log.
+def ops_per_step(log: DataFrame, keys: list[Column | str], step: str = "15s") -> DataFrame:
+    """Operations per step; `first` is the step's number. Works on streams too."""
+    first = _steps_until(_us(F.col("ts")), micros(step)).alias("first")
+    return log.groupBy(*keys, first).agg(F.count("*").alias("ops"))
 
-    Operations are counted per step first; each count is then added to the steps it belongs to.
-    `window` must be a multiple of `step`.
-    """
+
+def rate_of_counts(per_step: DataFrame, window: str = "1m", step: str = "15s") -> DataFrame:
+    """Operations per second over ``(t - window, t]`` from `ops_per_step`: each count is added to
+    the steps it belongs to. `window` must be a multiple of `step`."""
     w, s = micros(window), micros(step)
     if w % s:
         raise ValueError("window must be a multiple of step")
-    per_step = log.groupBy(*keys, _steps_until(_us(F.col("ts")), s).alias("first")).agg(
-        F.count("*").alias("ops")
-    )
     names = [c for c in per_step.columns if c not in ("first", "ops")]
     spread = F.sequence(F.col("first"), F.col("first") + (w // s - 1))
     return (
@@ -122,11 +164,16 @@ def op_rate(log: DataFrame, keys: list[Column | str], window: str = "1m", step:
     )
 
 
-def resample(samples: DataFrame, keys: list[str], step: str = "15s", stale_after: str | None = None) -> DataFrame:
+def op_rate(log: DataFrame, keys: list[Column | str], window: str = "1m", step: str = "15s") -> DataFrame:
+    """Operations per second over ``(t - window, t]`` straight from the log, counted per step first."""
+    return rate_of_counts(ops_per_step(log, keys, step), window, step)
+
+
+def resample(samples: DataFrame, keys: list[str], step: str = "15s", stale_after: str | None = "5m") -> DataFrame:
     """The value of each series at each step: the last sample at or before it.
 
-    From the step of the first sample to the step of the last one; with `stale_after` a gap is
-    filled no longer than that. Samples are reduced to the last one per step before neighbours are
+    From the step of the first sample to the step of the last one; a gap is filled no longer than
+    `stale_after` (None: wholly). Samples are reduced to the last one per step before neighbours are
     compared.
     """
     s = micros(step)
@@ -142,27 +189,56 @@ def resample(samples: DataFrame, keys: list[str], step: str = "15s", stale_after
     )
 
 
-def instant(samples: DataFrame, metric: str, labels: list[str]) -> DataFrame:
-    """The latest value of each series of a metric."""
-    return latest(promote(samples, metric, labels), labels, ["value"], ["ts"]).select(*labels, "value")
-
-
-def subtract(samples: DataFrame, left: str, right: str, on: list[str]) -> DataFrame:
-    """Latest `left` minus latest `right` for series with equal labels, where both exist.
+def recent(samples: DataFrame, look_back: str = "5m", at: datetime | None = None) -> DataFrame:
+    """Samples of ``(at - look_back, at]``; `at` is by default the newest sample's time.
 
-    Both sides come out of one aggregation, so nothing is joined.
+    A series without such a sample is gone. Of dated samples only the folders needed are read.
     """
-
-    def last(metric: str) -> Column:
-        return F.max_by("value", F.when(F.col("metric") == metric, F.col("ts")))
-
-    both = samples.where(F.col("metric").isin(left, right)).select(
-        "metric", "ts", "value", *[F.try_element_at("labels", F.lit(n)).alias(n) for n in on]
+    if at is None:
+        return retain(samples, look_back)
+    oldest = at - timedelta(seconds=seconds(look_back))
+    young = samples.where((F.col("ts") > F.lit(oldest)) & (F.col("ts") <= F.lit(at)))
+    return young.where(F.col("date").between(oldest.date(), at.date())) if "date" in samples.columns else young
+
+
+def instant(
+    samples: DataFrame, metric: str, labels: list[str], look_back: str = "5m", at: datetime | None = None
+) -> DataFrame:
+    """The value now of each series of a metric (see `recent`), a row for each whole label set."""
+    series = promote(recent(samples, look_back, at), metric, labels)
+    return latest(series, [*labels, SERIES], ["value"], ["ts"]).select(*labels, "value")
+
+
+def subtract(
+    samples: DataFrame, left: str, right: str, on: list[str] | None = None, labels: list[str] | None = None,
+    look_back: str = "5m", at: datetime | None = None,
+) -> DataFrame:
+    """`left` now minus `right` now, where both exist: a row for each series of `right`, with `labels`.
+
+    Without `on` the whole label sets must be equal, and both sides come out of one aggregation.
+    With `on` one `left` series stands against all `right` series of the same labels; `lefts` says
+    how many there were, and the value is null where they were several.
+    """
+    labels = labels or on or []
+    both = recent(samples, look_back, at).where(F.col("metric").isin(left, right)).select(
+        "metric", "ts", "value", series_id().alias(SERIES),
+        *[F.try_element_at("labels", F.lit(n)).alias(n) for n in dict.fromkeys([*(on or []), *labels])]
     )
-    sides = both.groupBy(*on).agg(last(left).alias("_left"), last(right).alias("_right"))
-    return sides.where(F.col("_left").isNotNull() & F.col("_right").isNotNull()).select(
-        *on, (F.col("_left") - F.col("_right")).alias("value")
+    if on is None:
+        def last(metric: str) -> Column:
+            return F.max_by("value", F.when(F.col("metric") == metric, F.col("ts")))
+
+        sides = both.groupBy(*labels, SERIES).agg(last(left).alias("_left"), last(right).alias("_right"))
+        return sides.where(F.col("_left").isNotNull() & F.col("_right").isNotNull()).select(
+            *labels, (F.col("_left") - F.col("_right")).alias("value")
+        )
+    keys = dict.fromkeys([*on, *labels])
+    now = latest(both, ["metric", *keys, SERIES], ["value"], ["ts"])
+    lefts = now.where(F.col("metric") == left).groupBy(*on).agg(
+        F.count("*").alias("lefts"), F.max("value").alias("_left")
     )
+    difference = F.when(F.col("lefts") == 1, F.col("_left") - F.col("value"))
+    return now.where(F.col("metric") == right).join(lefts, on).select(*labels, difference.alias("value"), "lefts")
 
 
 def retain(df: DataFrame, retention: str = "2h", ts: str = "ts") -> DataFrame:

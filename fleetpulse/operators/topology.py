@@ -126,17 +126,22 @@ def majority(n: Column) -> Column:
 
 
 def free_slots(used: DataFrame, groups: list[str], lo: int, hi: int, n: int) -> DataFrame:
-    """The first `n` unused ports of the inclusive range, per group; fewer if fewer are free.
+    """`n` ports of the inclusive range for each group, in the groups' order; none twice.
 
-    A group's window holds at most the range, whatever the number of used ports.
+    A port that any row uses, of whatever group, is taken. When no port is left, the groups that
+    come later get fewer or none. Only as many groups are numbered as the range could serve.
     """
     if lo >= hi:
         raise ValueError("the range's start must be less than its end")
-    taken = used.where(F.col("port").between(lo, hi)).select(*groups, "port")
-    ports = F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))).alias("port")
-    free = used.select(*groups).distinct().select(*groups, ports).join(taken, [*groups, "port"], "left_anti")
-    slot = F.row_number().over(Window.partitionBy(*groups).orderBy("port"))
-    return free.withColumn("slot", slot).where(F.col("slot") <= n)
+    spark = used.sparkSession
+    taken = used.where(F.col("port").between(lo, hi)).select("port")
+    free = spark.range(lo, hi + 1).toDF("port").join(taken, "port", "left_anti")
+    rank = F.row_number().over(Window.orderBy("port")) - 1
+    free = free.withColumn("_rank", rank).select(
+        "port", F.floor(F.col("_rank") / n).alias("_turn"), (F.col("_rank") % n + 1).alias("slot"))
+    served = used.select(*groups).distinct().orderBy(*groups).limit((hi - lo) // n + 1)
+    turns = served.withColumn("_turn", (F.row_number().over(Window.orderBy(*groups)) - 1).cast("bigint"))
+    return turns.join(free, "_turn").select(*groups, "port", "slot")
 
 
 # -- coordinators --------------------------------------------------------------------------------

@@ -300,7 +300,7 @@ def trigger_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def probe_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampled probe counters, one sample per event; each counter restarts now and then."""
+    """Sampled probe counters of two probes per cluster, one sample per event; each counter restarts now and then."""
     e, u = F.col("event_id"), F.col("user_id")
     kind = F.when(F.col("event_type") == "error", _one_of(
         ["readonly", "loading", "master_down", "timeout", "network", "other"], e % 6))
@@ -315,7 +315,8 @@ def probe_samples(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(error_metric)
     )
     entries = F.array(
-        F.struct(F.lit("cluster").alias("key"), cluster.alias("value")),
+        F.struct(F.lit("workload_cluster").alias("key"), cluster.alias("value")),
+        F.struct(F.lit("instance").alias("key"), F.concat(F.lit("probe-"), F.floor(u / 5) % 2).alias("value")),
         F.struct(F.lit("kind").alias("key"), kind.alias("value")),
         F.struct(F.lit("status").alias("key"), F.when(kind.isNull(), status).alias("value")),
         F.struct(F.lit("replica").alias("key"), F.when(metric.startswith("probe_replica"), replica).alias("value")),
@@ -333,10 +334,14 @@ def exporter_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exporter_samples_of(events: DataFrame) -> DataFrame:
-    """Sampled node metrics, one sample per event; works on a batch and on a stream."""
+    """Sampled node metrics, one sample per event; works on a batch and on a stream.
+
+    Leaders' offsets are of one node per cluster; keys and commands are counted per database.
+    """
     e, u = F.col("event_id"), F.col("user_id")
-    node = u % 20
     metric = _one_of(EXPORTER_METRICS, (e + F.floor(e / 8)) % 8)
+    node = u % F.when(metric == "redis_master_repl_offset", 5).otherwise(20)
+    per_db = metric.isin("redis_db_keys", "redis_commands_processed_total")
     value = (
         F.when(metric.isin("redis_up", "redis_master_link_up"), F.when(F.col("value") < 90, 1).otherwise(0))
         .when(metric == "redis_commands_processed_total", e % 500)
@@ -351,7 +356,7 @@ def exporter_samples_of(events: DataFrame) -> DataFrame:
             F.lit("redis_instance"), F.concat(F.lit("node-"), node),
             F.lit("redis_cluster"), F.concat(F.lit("c"), node % 5),
             F.lit("redis_version_major"), F.when(node % 3 == 0, "8").otherwise("6"),
-            F.lit("db"), F.concat(F.lit("db"), F.floor(u / 20) % 2),
+            F.lit("db"), F.when(per_db, F.concat(F.lit("db"), F.floor(u / 20) % 2)),
         ).alias("labels"),
         "ts",
         value.cast("double").alias("value"),

@@ -2,16 +2,16 @@
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.numbers import seconds
 from fleetpulse.operators import probes, rates
 from fleetpulse.operators.convergence import leader_commands
 from fleetpulse.operators.lifecycle import replay, upsert_states
 from fleetpulse.operators.ordered import Look, look
 from fleetpulse.operators.sizing import lookup_join
 from fleetpulse.sources import schemas
+from fleetpulse.streaming import running
 
 LAG_STATE = "cluster string, ts timestamp_ntz, seq bigint, n bigint"
 LIFECYCLE_STATE = "cluster string, state string"
@@ -19,19 +19,17 @@ SAMPLE_STATE = schemas.METRIC_SAMPLE
 FOLLOWER_STATE = "cluster string, poll_ts timestamp_ntz, addr string"
 
 
-def rate_stream(log: DataFrame, keys: list, window: str = "1m", step: str = "15s", late: str = "2m") -> DataFrame:
-    """Operations per second over ``(t - window, t]``; rows more than `late` behind are dropped.
+def run_rate(log: DataFrame, keys: list, path: str, step: str = "15s", cadence: str | None = None):
+    """Start counting operations per step into a running table under `path`.
 
-    A window is final, and comes out, when the watermark passes its end.
+    A late row corrects its step's count, however late it is. `rate_now` gives the rates.
     """
-    at = F.col("ts").cast("timestamp") - F.expr("INTERVAL 1 MICROSECOND")
-    timed = log.withColumn("_at", at).withWatermark("_at", f"{seconds(late)} seconds")
-    over = F.window("_at", f"{seconds(window)} seconds", f"{seconds(step)} seconds")
-    counted = timed.groupBy(over.alias("_over"), *keys).agg(F.count("*").alias("ops"))
-    names = [c for c in counted.columns if c not in ("_over", "ops")]
-    return counted.select(
-        *names, F.col("_over.end").cast("timestamp_ntz").alias("ts"), (F.col("ops") / seconds(window)).alias("rate")
-    )
+    return running.run_table(rates.ops_per_step(log, keys, step), path, cadence)
+
+
+def rate_now(spark: SparkSession, path: str, window: str = "1m", step: str = "15s") -> DataFrame:
+    """Operations per second over ``(t - window, t]`` of all rows so far, as `rates.op_rate` has it."""
+    return rates.rate_of_counts(running.current(spark, path), window, step)
 
 
 def lag_step(batch: DataFrame, leaders: DataFrame):

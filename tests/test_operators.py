@@ -120,6 +120,44 @@ def test_rate_windows(spark):
     assert at(90) in got and at(105) not in got and at(210) not in got
 
 
+def test_rate_carried_on_to_the_edges(spark):
+    # 5 a second, read every 15 s: four samples and 45 s of increase lie in a window of 60 s.
+    rows = [("s", at(t), 1000.0 + 5 * t) for t in range(0, 300, 15)]
+    s = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
+    plain = {r.ts: r.rate for r in rates.rate(s, ["k"]).collect()}
+    whole = {r.ts: r.rate for r in rates.rate(s, ["k"], extrapolate=True).collect()}
+    assert plain[at(150)] == pytest.approx(3.75) and whole[at(150)] == pytest.approx(5.0)
+    # A counter that began at 0 is not carried on to before that: 20 s from 0 to 10, then 40 s at most half a distance.
+    young = spark.createDataFrame([("s", at(40), 0.0), ("s", at(60), 10.0)], "k string, ts timestamp_ntz, value double")
+    assert {r.ts: r.rate for r in rates.rate(young, ["k"], extrapolate=True).collect()}[at(60)] == pytest.approx(10 / 60)
+
+
+def test_rates_are_taken_per_series(spark):
+    from fleetpulse.plans import health
+
+    rows = [("probe_writes_total", {"status": "ok", "workload_cluster": c, "instance": p}, at(t), base + t / 15)
+            for c in ("a", "b") for p, base in (("p", 100.0), ("q", 9000.0)) for t in range(0, 120, 15)]
+    s = spark.createDataFrame(rows, schemas.METRIC_SAMPLE)
+    got = {(r.cluster, r.ts): r.rate for r in health.writes_per_second(s).collect()}
+    assert got["a", at(105)] == got["b", at(105)] == pytest.approx(2 / 15)
+
+
+def test_label_order_and_empty_labels_do_not_make_a_series(spark):
+    rows = [("m", {"a": "1", "b": "2"}, at(0), 1.0), ("m", {"b": "2", "a": "1", "c": ""}, at(1), 2.0),
+            ("m", {"a": "1"}, at(1), 3.0), ("m", None, at(1), 4.0), ("m", {}, at(0), 5.0)]
+    s = spark.createDataFrame(rows, schemas.METRIC_SAMPLE)
+    assert {tuple(r) for r in rates.instant(s, "m", ["a"]).collect()} == {(None, 4.0), ("1", 2.0), ("1", 3.0)}
+
+
+def test_a_series_without_a_recent_sample_is_gone(spark):
+    rows = [("m", {"a": "old"}, at(0), 1.0), ("m", {"a": "new"}, at(3600), 2.0)]
+    s = spark.createDataFrame(rows, schemas.METRIC_SAMPLE)
+    assert rows_of(rates.instant(s, "m", ["a"]), "a", "value") == [("new", 2.0)]
+    assert rows_of(rates.instant(s, "m", ["a"], at=at(200)), "a", "value") == [("old", 1.0)]
+    assert rates.instant(s, "m", ["a"], at=at(300)).count() == 0  # open on the left
+    assert rates.instant(s, "m", ["a"], "2h").count() == 2
+
+
 def test_increase_with_resets(spark):
     rows = [("s", at(t), v) for t, v in [(0, 3.0), (10, 5.0), (20, 1.0), (30, 1.0), (40, 4.0)]]
     s = spark.createDataFrame(rows, "k string, ts timestamp_ntz, value double")
@@ -156,6 +194,18 @@ def test_offset_lag_needs_both_sides(spark):
     assert rows_of(rates.subtract(s, "a_repl", "b_repl", ["i"]), "i", "value") == [("1", 2.0)]
 
 
+def test_one_leader_against_each_follower(spark):
+    def sample(metric, cluster, node, value):
+        return (metric, {"cluster": cluster, "node": node}, at(0), value)
+
+    rows = [sample("lead", "a", "1", 100.0), sample("follow", "a", "2", 90.0), sample("follow", "a", "3", 10.0),
+            sample("lead", "b", "1", 5.0), sample("lead", "b", "2", 6.0), sample("follow", "b", "3", 1.0),
+            sample("follow", "c", "1", 1.0)]
+    s = spark.createDataFrame(rows, schemas.METRIC_SAMPLE)
+    got = rates.subtract(s, "lead", "follow", ["cluster"], ["cluster", "node"])
+    assert {tuple(r) for r in got.collect()} == {("a", "2", 10.0, 1), ("a", "3", 90.0, 1), ("b", "3", None, 2)}
+
+
 # -- topology ------------------------------------------------------------------------------------
 
 
@@ -209,9 +259,12 @@ def test_missing_leader_node(spark):
 
 
 def test_free_slots(spark):
-    used = spark.createDataFrame([("g", 1), ("g", 2), ("g", 4), ("g", 9), ("full", 1), ("full", 2), ("full", 3), ("full", 4), ("full", 5)],
+    used = spark.createDataFrame([("g", 1), ("g", 2), ("g", 4), ("g", 19), ("h", 7), ("i", None), ("j", 5), (None, 6)],
                                  "g string, port bigint")
-    assert rows_of(topo.free_slots(used, ["g"], 1, 5, 2), "g", "port", "slot") == [("g", 3, 1), ("g", 5, 2)]
+    # 3, 8, 9, 10 and 11 are free, for the groups in their order; the last gets none.
+    assert {tuple(r) for r in topo.free_slots(used, ["g"], 1, 11, 2).collect()} == {
+        (None, 3, 1), (None, 8, 2), ("g", 9, 1), ("g", 10, 2), ("h", 11, 1)}
+    assert topo.free_slots(used, ["g"], 4, 7, 2).count() == 0
     with pytest.raises(ValueError):
         topo.free_slots(used, ["g"], 5, 5, 1)
 

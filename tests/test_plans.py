@@ -49,15 +49,15 @@ def test_lag_is_one_shuffle(log):
 
 
 def test_rate_is_one_shuffle(spark):
-    series = rates.promote(driver_tables.probe_samples(spark, FOLDER), "probe_writes_total", ["cluster", "status"])
-    plan = plan_of(rates.rate(series, ["cluster", "status"]))
+    series = rates.promote(driver_tables.probe_samples(spark, FOLDER), "probe_writes_total", ["workload_cluster", "status"])
+    plan = plan_of(rates.rate(series, ["workload_cluster", "status", rates.SERIES]))
     assert "Join" not in plan and plan.count(") Exchange") == 1
 
 
 def test_rate_of_hot_series_groups_runs_in_place(spark, limits):
     limits(rowsPerTask=20)
-    series = rates.promote(driver_tables.probe_samples(spark, FOLDER), "probe_writes_total", ["cluster", "status"])
-    plan = plan_of(rates.rate(series, ["cluster", "status"]))
+    series = rates.promote(driver_tables.probe_samples(spark, FOLDER), "probe_writes_total", ["workload_cluster", "status"])
+    plan = plan_of(rates.rate(series, ["workload_cluster", "status", rates.SERIES]))
     shuffles = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert not any("first#" in line for line in shuffles) and sum("_chunk#" in line for line in shuffles) >= 2
 
