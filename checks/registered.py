@@ -1,7 +1,5 @@
 """The registered queries: which operator runs on which logical table, with which arguments."""
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -453,20 +451,24 @@ def stream_follower_changes(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     polls = topo.followers(tables.follower_polls_of(_stream(spark, folder, "lineitem")))
     _finish(running.run_steps(polls, live.follower_step, path, live.FOLLOWER_STATE))
-    return running.results(spark, path).drop("batch")
+    return live.changes_now(spark, path)
 
 
 @query
 def stream_leader_commands(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     commands = tables.command_log_of(_stream(spark, folder, "lineitem"))
-    _finish(running.run_steps(commands, live.follow_leader(_intervals(spark, folder)), path))
-    return running.results(spark, path).drop("batch")
+
+    def now(session):
+        return live.leadership(tables.coordinator_view(session, folder), tables.node_snapshot(session, folder))
+
+    _finish(running.run_steps(commands, live.follow_leader(now), path, live.COMMAND_STATE))
+    return live.commands_now(spark, path, _intervals(spark, folder))
 
 
 @query
 def stream_retained_samples(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     samples = tables.exporter_samples_of(_stream(spark, folder, "events"))
-    _finish(running.run_steps(samples, partial(live.retention_step, retention="2d"), path, live.SAMPLE_STATE))
-    return running.current(spark, path).select("metric", "ts", "value")
+    _finish(live.run_retained(samples, path, "2d"))
+    return live.retained(spark, path, "2d").select("metric", "ts", "value")

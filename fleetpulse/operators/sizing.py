@@ -9,6 +9,8 @@ Limits can be set in the session (``spark.conf.set``):
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 LIMITS = {"rowsPerTask": 4_000_000, "foldRows": 250_000, "broadcastRows": 500_000}
 
 
+#: The paths made inside `scratch`, None outside.
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def limit_of(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(f"fleetpulse.{name}", str(LIMITS[name])))
 
@@ -31,7 +37,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fleetpulse-")
         spark.conf.set("fleetpulse.localScratch", root)
-    return f"{root.rstrip('/')}/fleetpulse/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/fleetpulse/{name}-{uuid.uuid4().hex}"
+    if _MADE.get() is not None:
+        _MADE.get().append(path)
+    return path
+
+
+def at_path(spark: SparkSession, path: str):
+    """The file system that holds `path`, and the path as it takes it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables written inside are removed at the end, so that no folders pile up where
+    the same is done for every batch of a stream."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            files, place = at_path(spark, path)
+            files.delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

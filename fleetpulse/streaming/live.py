@@ -1,22 +1,26 @@
 """Live metrics, lag, states, follower sets and command tails."""
 
+from datetime import datetime, timedelta
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.numbers import seconds
 from fleetpulse.operators import probes, rates
-from fleetpulse.operators.convergence import leader_commands
+from fleetpulse.operators.convergence import leader_changes, leader_commands, leader_intervals
 from fleetpulse.operators.lifecycle import replay, upsert_states
 from fleetpulse.operators.ordered import Look, look
-from fleetpulse.operators.sizing import lookup_join
+from fleetpulse.operators.sizing import at_path, lookup_join, written
+from fleetpulse.operators.topology import leader_answers
 from fleetpulse.sources import schemas
 from fleetpulse.streaming import running
 
 LAG_STATE = "cluster string, ts timestamp_ntz, seq bigint, n bigint"
 LIFECYCLE_STATE = "cluster string, state string"
-SAMPLE_STATE = schemas.METRIC_SAMPLE
-FOLLOWER_STATE = "cluster string, poll_ts timestamp_ntz, addr string"
+COMMAND_STATE = schemas.COMMAND_LOG
+REPLY = ["cluster", "poll_ts", "ord", "addr", "ok"]
+FOLLOWER_STATE = "cluster string, poll_ts timestamp_ntz, ord int, addr string, ok boolean, closed boolean"
 
 
 def run_rate(log: DataFrame, keys: list, path: str, step: str = "15s", cadence: str | None = None):
@@ -57,32 +61,122 @@ def lifecycle_step(batch: DataFrame, states: DataFrame):
     return changed, upsert_states(states, changed)
 
 
+def _changes_after(sets: DataFrame, later: DataFrame) -> DataFrame:
+    """What joined or left in refreshes `later` than the one that `sets` holds for each cluster."""
+    both = later.select(*REPLY).unionByName(sets.select(*REPLY))
+    # The set itself has no refresh before it here; its members joined earlier.
+    old = sets.select("cluster", F.col("poll_ts").alias("ts")).distinct().withColumn("change", F.lit("joined"))
+    return probes.follower_changes(both).join(old, ["cluster", "ts", "change"], "left_anti")
+
+
 def follower_step(batch: DataFrame, sets: DataFrame):
-    """Followers that joined or left a cluster's set. State: the set of the last good refresh.
+    """Followers that joined or left a cluster's set.
 
-    A refresh that failed changes nothing; an empty one is kept as a row without address.
+    The replies of a refresh may come in several batches, so a cluster's newest refresh stays open
+    until a reply of a later one comes; `changes_now` counts it in. A refresh that failed changes
+    nothing; an empty one is kept as a row without address. Replies to a refresh no later than one
+    that is closed come too late to count.
+
+    State: the set of the last good closed refresh (`closed`), and the replies of the open one.
     """
-    known = sets.withColumn("ok", F.lit(True)).withColumn("ord", F.lit(0))
-    columns = ["cluster", "poll_ts", "ord", "addr", "ok"]
-    both = probes.with_ord(batch).select(*columns).unionByName(known.select(*columns))
-    # The set before the batch has no refresh before it here; its members joined earlier.
-    old = sets.select("cluster", F.col("poll_ts").alias("ts")).distinct().withColumn("change", F.lit("joined"))
-    changes = probes.follower_changes(both).join(old, ["cluster", "ts", "change"], "left_anti")
-    seen = probes.refreshes(both)
+    shut = sets.where("closed")
+    before = shut.groupBy("cluster").agg(F.max("poll_ts").alias("shut_ts"))
+    seen = probes.with_ord(batch).select(*REPLY).unionByName(sets.where("not closed").select(*REPLY)).dropDuplicates()
+    seen = seen.join(before, "cluster", "left").where(F.col("shut_ts").isNull() | (F.col("poll_ts") > F.col("shut_ts")))
+    newest = seen.groupBy("cluster").agg(F.max("poll_ts").alias("newest"))
+    seen = written(seen.join(newest, "cluster").select(*REPLY, "newest"), "replies")
+    whole = seen.where(F.col("poll_ts") < F.col("newest"))
+    sets_now = probes.refreshes(whole.select(*REPLY).unionByName(shut.select(*REPLY)))
+    last = sets_now.groupBy("cluster").agg(F.max("poll_ts").alias("poll_ts"))
+    kept = sets_now.join(last, ["cluster", "poll_ts"], "left_semi").select(
+        "cluster", "poll_ts", F.lit(0).alias("ord"), "addr", F.lit(True).alias("ok"), F.lit(True).alias("closed"))
+    still = seen.where(F.col("poll_ts") == F.col("newest")).select(*REPLY, F.lit(False).alias("closed"))
+    return _changes_after(shut, whole), kept.unionByName(still)
+
+
+def changes_now(spark: SparkSession, path: str) -> DataFrame:
+    """All changes of follower sets so far, those of the refreshes that are still open included."""
+    sets = running.current(spark, path)
+    return running.results(spark, path).drop("batch").unionByName(
+        _changes_after(sets.where("closed"), sets.where("not closed")))
+
+
+def sets_now(spark: SparkSession, path: str) -> DataFrame:
+    """Each cluster's set in its last good refresh, be it open or closed."""
+    seen = probes.refreshes(running.current(spark, path))
     last = seen.groupBy("cluster").agg(F.max("poll_ts").alias("poll_ts"))
-    return changes, seen.join(last, ["cluster", "poll_ts"], "left_semi")
+    return seen.join(last, ["cluster", "poll_ts"], "left_semi")
+
+
+def run_retained(samples: DataFrame, path: str, retention: str = "2h", cadence: str | None = None):
+    """Start appending samples under `path`, by date and hour; hours out of date are deleted whole.
+
+    What is kept is never written again. `retained` cuts at the exact time."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where(F.col("ts").isNotNull()).withColumns(
+            {"date": F.to_date("ts"), "hour": F.hour("ts"), "batch": F.lit(batch_id).cast("bigint")})
+        # A batch that is run again replaces its own files.
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour", "batch").parquet(f"{path}/kept")
+        dates = sorted(name for name in running.folders(spark, f"{path}/kept") if name.startswith("date="))
+        if not dates:
+            return
+        newest = _kept(spark, path).where(F.col("date") == F.lit(dates[-1][5:]).cast("date")).agg(F.max("ts")).first()[0]
+        oldest = newest - timedelta(seconds=float(seconds(retention)))
+        for date in dates:
+            for hour in running.folders(spark, f"{path}/kept/{date}"):
+                end = datetime.fromisoformat(date[5:]) + timedelta(hours=int(hour.split("=")[1]) + 1)
+                if end <= oldest:
+                    files, place = at_path(spark, f"{path}/kept/{date}/{hour}")
+                    files.delete(place, True)
+            if not running.folders(spark, f"{path}/kept/{date}"):
+                files, place = at_path(spark, f"{path}/kept/{date}")
+                files.delete(place, True)
 
+    writer = samples.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{path}/checkpoint")
+    return running.every(writer, cadence).start()
 
-def retention_step(batch: DataFrame, kept: DataFrame, retention: str = "2h"):
-    """The batch's samples. State: the samples not older than `retention` by the latest one."""
-    return batch, rates.retain(kept.unionByName(batch), retention)
 
+def _kept(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.METRIC_SAMPLE}, date date, hour int, batch bigint").parquet(f"{path}/kept")
 
-def command_step(batch: DataFrame, _, intervals: DataFrame):
-    """The batch's commands of the nodes that led their clusters."""
-    return leader_commands(batch, intervals), None
+
+def retained(spark: SparkSession, path: str, retention: str = "2h") -> DataFrame:
+    """The samples not older than `retention` by the latest one."""
+    return rates.retain(_kept(spark, path), retention).drop("date", "hour", "batch")
+
+
+def leadership(view: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who led when, by node, and until when that is known, by cluster (`known_to`)."""
+    known = leader_answers(view).groupBy("cluster").agg(F.max("poll_ts").alias("known_to"))
+    return leader_intervals(leader_changes(view), nodes), known
+
+
+def command_step(batch: DataFrame, waiting: DataFrame, read, patience: str):
+    """The commands of nodes that led their clusters when they ran; see `follow_leader`."""
+    spark = batch.sparkSession
+    intervals, known = read(spark)
+    rows = batch.select(*waiting.columns).unionByName(waiting)
+    wait = F.make_dt_interval(secs=F.lit(seconds(patience)).cast("decimal(18,6)"))
+    at_least = known.agg(F.max("known_to").alias("m")).select(F.col("m") - wait).scalar()
+    rows = lookup_join(rows, known, "cluster", "left").withColumn("known_to", F.greatest("known_to", at_least))
+    early = F.col("ts").isNotNull() & F.coalesce(F.col("ts") > F.col("known_to"), F.lit(True))
+    decided = rows.where(~early).select(*waiting.columns)
+    return leader_commands(decided, intervals), rows.where(early)
+
+
+def follow_leader(read, patience: str = "60s"):
+    """`command_step` with leadership as of each batch: `read` takes the session and returns what
+    `leadership` returns, reading its files anew.
+
+    A command newer than what is known of its cluster waits in the state (`COMMAND_STATE`) until it
+    is known, or until other clusters are known `patience` further; the last leader then counts.
+    """
+    return partial(command_step, read=read, patience=patience)
 
 
-def follow_leader(intervals: DataFrame):
-    """`command_step` for a table of leadership, which is read anew for every batch."""
-    return partial(command_step, intervals=intervals)
+def commands_now(spark: SparkSession, path: str, intervals: DataFrame) -> DataFrame:
+    """All commands of leaders so far, those that wait included, judged by `intervals`."""
+    waiting = leader_commands(running.current(spark, path), intervals)
+    return running.results(spark, path).drop("batch").unionByName(waiting)

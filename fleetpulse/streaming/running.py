@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from fleetpulse.operators.sizing import at_path, scratch
+
 # How often things happen.
 CADENCE = {"probe": "200 milliseconds", "refresh": "10 seconds", "scrape": "15 seconds", "discovery": "5 seconds"}
 
@@ -28,6 +30,20 @@ def _state_place(path: str, batch_id: int) -> str:
     return f"{path}/state/place={batch_id % 2}"
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it does not exist."""
+    files, place = at_path(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def _finish_batch(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Say that the state of a batch is whole; a state without rows cannot say so itself."""
+    files, place = at_path(spark, f"{path}/done/batch={batch_id}")
+    files.mkdirs(place)
+    files, place = at_path(spark, f"{path}/done/batch={batch_id - 2}")
+    files.delete(place, True)
+
+
 def _state_before(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame:
     if batch_id == 0:
         return spark.createDataFrame([], schema)
@@ -47,12 +63,14 @@ def run_steps(stream: DataFrame, step: Step, path: str, state: str | None = None
         spark = batch.sparkSession
         batch.persist()
         try:
-            before = _state_before(spark, path, batch_id, schema) if schema else None
-            rows, after = step(batch, before)
-            rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-            if schema:
-                kept = after.select(*schema.fieldNames()).withColumn("batch", F.lit(batch_id).cast("bigint"))
-                kept.write.mode("overwrite").parquet(_state_place(path, batch_id))
+            with scratch(spark):
+                before = _state_before(spark, path, batch_id, schema) if schema else None
+                rows, after = step(batch, before)
+                rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+                if schema:
+                    kept = after.select(*schema.fieldNames()).withColumn("batch", F.lit(batch_id).cast("bigint"))
+                    kept.write.mode("overwrite").parquet(_state_place(path, batch_id))
+            _finish_batch(spark, path, batch_id)
         finally:
             batch.unpersist()
 
@@ -67,6 +85,7 @@ def run_table(table: DataFrame, path: str, cadence: str | None = None):
         batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
             _state_place(path, batch_id)
         )
+        _finish_batch(batch.sparkSession, path, batch_id)
 
     writer = table.writeStream.outputMode("complete").foreachBatch(on_batch)
     return every(writer.option("checkpointLocation", f"{path}/checkpoint"), cadence).start()
@@ -85,5 +104,5 @@ def results(spark: SparkSession, path: str) -> DataFrame:
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table or state after the last batch."""
-    both = spark.read.parquet(f"{path}/state")
-    return both.where(F.col("batch") == both.agg(F.max("batch")).scalar()).drop("batch", "place")
+    last = max(int(name.split("=")[1]) for name in folders(spark, f"{path}/done"))
+    return spark.read.parquet(_state_place(path, last)).where(F.col("batch") == last).drop("batch")
