@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import seconds
 from fleetpulse.operators.ordered import Look, following, look, previous
-from fleetpulse.operators.sizing import limit_of, written
+from fleetpulse.operators.sizing import few, written
 from fleetpulse.operators.topology import leader_answers
 
 # How long each condition may take.
@@ -62,12 +62,11 @@ def leader_commands(commands: DataFrame, intervals: DataFrame) -> DataFrame:
     shuffled. Beyond that, commands and the ends of leadership are put in one order per node and
     each command looks back. Both ways give the same rows.
     """
-    spark = commands.sparkSession
     key = ["cluster", "node"]
     runs = written(disjoint(intervals, key), "intervals")
     per_node = runs.groupBy(*key).agg(F.count("*").alias("n"))
     size = per_node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("node")).first()
-    if size["all"] <= limit_of(spark, "broadcastRows") and size["node"] <= RUNS_PER_NODE:
+    if size["node"] <= RUNS_PER_NODE and few(runs, size["all"]):
         inside = (F.col("ts") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("ts") < F.col("to_ts")))
         led = F.broadcast(runs.withColumnsRenamed({"cluster": "l_cluster", "node": "l_node"}))
         same = (F.col("cluster") == F.col("l_cluster")) & (F.col("node") == F.col("l_node"))

@@ -4,7 +4,8 @@ Limits can be set in the session (``spark.conf.set``):
 
 * ``fleetpulse.rowsPerTask``: most rows of one key that one task may hold in order;
 * ``fleetpulse.foldRows``: the same where the rows become one array in memory;
-* ``fleetpulse.broadcastRows``: most rows of a table that is broadcast.
+* ``fleetpulse.broadcastRows``: most rows of a table that is broadcast;
+* ``fleetpulse.broadcastBytes``: most bytes, as Parquet, of such a table.
 """
 
 import tempfile
@@ -15,7 +16,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIMITS = {"rowsPerTask": 4_000_000, "foldRows": 250_000, "broadcastRows": 500_000}
+LIMITS = {"rowsPerTask": 4_000_000, "foldRows": 250_000, "broadcastRows": 500_000, "broadcastBytes": 64 << 20}
 
 
 #: The paths made inside `scratch`, None outside.
@@ -72,14 +73,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(table: DataFrame, rows: int | None = None) -> bool:
+    """Whether a `written` table, of `rows` rows if that is known, may be broadcast."""
+    spark = table.sparkSession
+    sizes = (files.getFileStatus(place).getLen() for files, place in (at_path(spark, f) for f in table.inputFiles()))
+    if sum(sizes) > limit_of(spark, "broadcastBytes"):
+        return False
+    return (table.count() if rows is None else rows) <= limit_of(spark, "broadcastRows")
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join `rows` with a `table` that has few rows per key.
 
-    The table is written once and counted. Within ``broadcastRows`` it is broadcast and `rows`
-    are not shuffled. Beyond that both sides are shuffled, and adaptive execution splits hot keys.
+    The table is written once and counted. Within ``broadcastRows`` and ``broadcastBytes`` it is
+    broadcast and `rows` are not shuffled. Beyond that both sides are shuffled, and adaptive execution splits hot keys.
     """
-    spark = rows.sparkSession
     table = written(table, "lookup")
-    if table.count() <= limit_of(spark, "broadcastRows"):
+    if few(table):
         table = F.broadcast(table)
     return rows.join(table, on, how)

@@ -3,8 +3,9 @@
 from datetime import datetime as T
 
 import pytest
+from pyspark.sql import functions as F
 
-from fleetpulse.operators import convergence, probes, relabel
+from fleetpulse.operators import convergence, probes, relabel, sizing
 from fleetpulse.operators import topology as topo
 from fleetpulse.plans import waiting
 
@@ -64,3 +65,15 @@ def test_long_form_of_groups(spark):
     df = spark.createDataFrame([({"a": "x:1"},)], "labels map<string,string>")
     rules = [relabel.Rule(("a",), "(.+):(.+)", "b", "${2}0-${1}"), relabel.Rule(("a",), target="c", replacement="${1}")]
     assert relabel.relabel(df, rules).first().labels == {"a": "x:1", "b": "10-x", "c": "x:1"}
+
+
+def test_a_table_of_many_bytes_is_not_broadcast(spark, limits):
+    rows = spark.range(20).select((F.col("id") % 3).alias("k"), "id")
+    table = spark.range(3).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 10).alias("v"))
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    limits(broadcastBytes=1)
+    assert not sizing.few(sizing.written(table, "wide"))
+    assert sorted(map(tuple, sizing.lookup_join(rows, table, "k").collect())) == want
+    limits(broadcastBytes=1 << 20, broadcastRows=2)
+    assert not sizing.few(sizing.written(table, "long"))
+    assert sizing.few(sizing.written(table, "known"), 2)
