@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of `LEAST` or more key characters with a digit. Each is described by its length,
-how often its characters change class, how much of it words of a dictionary cover, its path (here the
+Candidates are runs of `LEAST` or more key characters with a digit, or with a capital after a small
+letter, and whatever is assigned to a name of a secret, of any length and alphabet. A '=' parts a name
+from its value; only at the end of a run is it padding. Each candidate is described by its length, how often its characters change class, how much of it words of a dictionary cover, its path (here the
 source of the document) and the words beside it. The forest is trained on labelled findings, a bounded
 sample; every candidate of every document is then scored.
 """
@@ -19,10 +20,20 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.tables import bounded_sample, mapped, table, written
 
 LEAST, SAMPLE, TREES, DEPTH, SEED, WORDS, WORD_DOCS, NEAR, PLACES = 16, 4000, 30, 6, 3, 2000, 2000, 40, 8
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+KEYS = "[A-Za-z0-9+/_-]"
+CANDIDATE = re.compile(
+    rf"(?<!{KEYS})(?={KEYS}*[0-9]|[A-Z+/_-]*[a-z][a-z+/_-]*[A-Z]){KEYS}{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+)
 #: Words that name a secret when a value is assigned to them.
 NAMES = "token secret key password passwd pwd credential auth bearer".split()
 ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?$")
+#: A name with what may follow in it (`password_for_service`, `keyId`) and its sign, then the value: in
+#: quotes, or up to a blank, a quote or the next field (`&page=`, `,user:`).
+NAMED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})s?(?:(?-i:[A-Z0-9_.-])[\w.-]{{0,40}})?[\"']?\s{{0,3}}[=:]{{1,3}}>?")
+VALUE = re.compile(
+    r"\s{0,3}(?:\"(?P<a>(?:\\.|[^\"\\\n])+)\"|'(?P<b>(?:\\.|[^'\\\n])+)')"
+    r"|[^\S\n]{0,3}[\"'`]?(?P<c>(?:(?![&,;#][\"']?\w[\w.-]{0,64}[\"']?[=:])[^\s\"'`<>])+)"
+)
 FOUND = "doc_id BIGINT, start INT, end INT, value STRING, features ARRAY<DOUBLE>, assigned BOOLEAN"
 
 
@@ -59,6 +70,22 @@ def features(text: str, start: int, end: int, path: str, words: frozenset) -> li
     ]
 
 
+def places(text: str) -> dict[tuple[int, int], bool]:
+    """Where candidates start and end, in order, and whether a name of a secret is assigned each."""
+    out = {}
+    for name in NAMED.finditer(text):
+        m = VALUE.match(text, name.end())
+        if m:
+            start = m.start(m.lastgroup)
+            length = len(m[m.lastgroup] if m.lastgroup != "c" else m["c"].rstrip(".,;:!?)]}"))
+            if length:
+                out[start, start + length] = True
+    starts = {start for start, _ in out}
+    for m in CANDIDATE.finditer(text):
+        out[m.span()] = m.start() in starts or bool(ASSIGNED.search(text, max(0, m.start() - NEAR), m.start()))
+    return dict(sorted(out.items()))
+
+
 def candidates(docs: DataFrame, words: frozenset) -> DataFrame:
     """Every candidate: `doc_id`, `start`, `end`, `value`, `features` and whether a name of a secret
     is assigned it."""
@@ -67,8 +94,8 @@ def candidates(docs: DataFrame, words: frozenset) -> DataFrame:
     def each(batch):
         out: dict = {c: [] for c in ("doc_id", "start", "end", "value", "features", "assigned")}
         for doc, text, path in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "path"))):
-            for m in CANDIDATE.finditer(text or ""):
-                row = (doc, m.start(), m.end(), m[0], features(text, m.start(), m.end(), path, shared.value), bool(ASSIGNED.search(text, max(0, m.start() - NEAR), m.start())))
+            for (start, end), assigned in places(text or "").items():
+                row = (doc, start, end, text[start:end], features(text, start, end, path, shared.value), assigned)
                 for c, v in zip(out, row):
                     out[c].append(v)
         return out
