@@ -7,8 +7,10 @@ can be toxic together. The pair sum takes linear time: half of the square of the
 squares.
 
 The model is fitted on a bounded sample of labelled documents. Places in fewer than `LEAST` of them
-have no weight, nor have places that are neither frequent nor more or less frequent in toxic ones than
-chance has it, so that a rare word can't stand for a label. All documents are then scored whole, in
+have no weight, nor have those that tell nothing, so that a rare word can't stand for a label. A place
+tells something if it is frequent, if it is more or less frequent in toxic documents than chance has it,
+or if its pairs, learnt from one half of the sample with factors for every place, tell in the other
+half what the places of the first two kinds leave open. All documents are then scored whole, in
 one pass without a shuffle.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import bounded_sample, mapped, table, texts
 
-SAMPLE, BITS, FACTORS, LEAST, SHARE, APART, STEM, EPOCHS, SEED = 12000, 20, 4, 6, 5, 3.0, 4, 12, 11
+SAMPLE, BITS, FACTORS, LEAST, SHARE, APART, PAIRED, STEM, EPOCHS, SEED = 12000, 20, 4, 6, 5, 3.0, 4.0, 4, 12, 11
 TERMS = re.compile(r"[^\W\d_]+").findall
 TERM_CACHE = 200_000
 _PLACES: dict = {}
@@ -82,24 +84,58 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _counts(documents: list[np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate([np.zeros(0, np.int32), *documents]), minlength=1 << BITS)
+
+
 def _telling(documents: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Places that get weights: in `LEAST` documents or more, and either in one of `SHARE` of all or in
-    toxic ones `APART` standard deviations more or less often than chance."""
+    """Places that tell taken alone: in `LEAST` documents or more, and either in one of `SHARE` of all or
+    in toxic ones `APART` standard deviations more or less often than chance."""
     if not documents:
         return np.zeros(0, np.int64)
-    count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=1 << BITS)
-    seen, share = count(documents), toxic.mean()
-    bad = count([d for d, t in zip(documents, toxic) if t])
+    seen, share = _counts(documents), toxic.mean()
+    bad = _counts([d for d, t in zip(documents, toxic) if t])
     apart = np.abs(bad - share * seen) / np.sqrt(share * (1 - share) * seen + 1e-9)
     return np.flatnonzero((seen >= LEAST) & ((apart >= APART) | (seen >= len(documents) / SHARE)))
 
 
+def _paired(documents: list[np.ndarray], toxic: np.ndarray, telling: np.ndarray, *how) -> np.ndarray:
+    """Places in `LEAST` documents or more that tell by their pairs. Each half of the documents gives
+    factors to all of them; a place is kept whose pair sums go, in the other half, with what a model of
+    the `telling` places gets wrong, `PAIRED` standard deviations above chance."""
+    every, half = np.flatnonzero(_counts(documents) >= LEAST), np.random.default_rng(SEED).permutation(len(documents)) % 2
+    along, square = np.zeros(len(every)), np.full(len(every), 1e-12)
+    for k in (0, 1):
+        learnt, y = [d for d, h in zip(documents, half) if h == k], toxic[half == k]
+        if not len(y) or y.all() or not y.any():
+            return every[:0]
+        judged = [d for d, h in zip(documents, half) if h != k]
+        left = toxic[half != k] - _descend(Model(telling), learnt, y, *how).scores(judged)
+        model = _descend(Model(every), learnt, y, *how)
+        at, ends = model.rows(judged)
+        sizes, v = np.diff(ends), model.factors[at]
+        own = (v * (np.repeat(model.raw(at, ends)[1], sizes, axis=0) - v)).sum(axis=1)
+        own -= (np.bincount(at, own, len(every)) / np.maximum(np.bincount(at, minlength=len(every)), 1))[at]
+        own *= np.repeat(left, sizes)
+        along += np.bincount(at, own, len(every))
+        square += np.bincount(at, own ** 2, len(every))
+    return every[along / np.sqrt(square) >= PAIRED]
+
+
 def fit(documents: list[np.ndarray], toxic: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-3, seed: int = SEED) -> Model:
-    """Minibatch AdaGrad on the logistic loss."""
-    model, rng = Model(_telling(documents, toxic)), np.random.default_rng(seed)
+    """The model of the places that tell, alone or by their pairs."""
+    telling = _telling(documents, toxic)
     if not len(documents) or toxic.all() or not toxic.any():
+        model = Model(telling)
         model.bias = 30.0 if len(documents) and toxic.all() else -30.0
         return model
+    how = epochs, rate, decay, seed
+    return _descend(Model(np.union1d(telling, _paired(documents, toxic, telling, *how))), documents, toxic, *how)
+
+
+def _descend(model: Model, documents: list[np.ndarray], toxic: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> Model:
+    """Minibatch AdaGrad on the logistic loss."""
+    rng = np.random.default_rng(seed)
     model.bias = float(np.log(toxic.mean() / (1 - toxic.mean())))
     model.factors[:] = rng.normal(0, 0.01, model.factors.shape)
     w2, f2, b2 = np.full(len(model.weight), 1e-6), np.full(model.factors.shape, 1e-6), 1e-6

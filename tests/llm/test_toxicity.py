@@ -34,6 +34,26 @@ def test_pairs_that_no_weight_can_tell():
     assert right.mean() > 0.95
 
 
+def test_rare_pairs():
+    """Two terms, each in 3% of documents: harmless alone, toxic together, and half of those with either
+    toxic, as of all others, so that neither tells anything taken alone."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(1500)]
+
+    def rows(n):
+        kinds = rng.choices(["insult", "group", "insult group", "curse", ""], [1.5, 1.5, 1.5, 47.75, 47.75], k=n)
+        docs = [op.places(" ".join([k, *rng.choices(words, k=40)])) for k in kinds]
+        return docs, np.array([float(k in ("insult group", "curse")) for k in kinds]), np.array(kinds)
+
+    docs, toxic, _ = rows(8000)
+    pair = set(np.concatenate([op.places("insult"), op.places("group")]).tolist())
+    assert not pair & set(op._telling(docs, toxic).tolist())
+    model = op.fit(docs, toxic)
+    docs, toxic, kinds = rows(4000)
+    right = (model.scores(docs) >= 0.5) == (toxic == 1)
+    assert all(right[kinds == k].mean() > 0.95 for k in set(kinds))
+
+
 def test_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     rows = op.op10_toxicity(spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out").collect()
