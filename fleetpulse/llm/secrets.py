@@ -3,12 +3,13 @@
 Candidates are runs of `LEAST` or more key characters with a digit, or with a capital after a small
 letter, and whatever is assigned to a name of a secret, of any length and alphabet. A '=' parts a name
 from its value; only at the end of a run is it padding. Each candidate is described by its length, how often its characters change class, how much of it words of a dictionary cover, its path (here the
-source of the document) and the words beside it. The forest is trained on labelled findings, a bounded
+source of the document) and the words beside it. The dictionary is counted over all documents. The forest is trained on labelled findings, a bounded
 sample; every candidate of every document is then scored.
 """
 
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import bounded_sample, mapped, table, written
+from fleetpulse.operators.sizing import limit_of
 
-LEAST, SAMPLE, TREES, DEPTH, SEED, WORDS, WORD_DOCS, NEAR, PLACES = 16, 4000, 30, 6, 3, 2000, 2000, 40, 8
+LEAST, SAMPLE, TREES, DEPTH, SEED, NEAR, PLACES = 16, 4000, 30, 6, 3, 40, 8
+#: Words of the dictionary: their letters, and the least share of all documents that have one.
+SHORT, LONG, SHARE = 4, 32, 1e-4
 KEYS = "[A-Za-z0-9+/_-]"
 CANDIDATE = re.compile(
     rf"(?<!{KEYS})(?={KEYS}*[0-9]|[A-Z+/_-]*[a-z][a-z+/_-]*[A-Z]){KEYS}{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
@@ -45,7 +49,7 @@ def covered(value: str, words: frozenset) -> float:
     """Share of the letters and digits that words of the dictionary cover, longest first at each place."""
     low, at, out = value.lower(), 0, 0
     while at < len(low):
-        n = next((n for n in range(min(12, len(low) - at), 3, -1) if low[at:at + n] in words), 0)
+        n = next((n for n in range(min(LONG, len(low) - at), SHORT - 1, -1) if low[at:at + n] in words), 0)
         out += n
         at += n or 1
     return out / max(len(low), 1)
@@ -104,13 +108,52 @@ def candidates(docs: DataFrame, words: frozenset) -> DataFrame:
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", path.alias("path")), each, FOUND)
 
 
-def dictionary(docs: DataFrame, most_docs: int = WORD_DOCS, most: int = WORDS) -> frozenset:
-    """The `most` words of four letters or more in most of a bounded sample of documents."""
-    some = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("id")), most_docs, "id").distinct()
-    rows = docs.join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("id"), "left_semi")
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{4,12}"), F.lit(0)))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most)
-    return frozenset(r.w for r in top.collect())
+def _plain(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+def dictionary(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """`w`: the words in at least `share` of all documents, and in two, with and without accents."""
+    least = max(2, math.ceil(share * docs.count()))
+    low = F.regexp_replace(F.lower("text"), r"\p{M}+", "")
+    found = F.regexp_extract_all(low, F.lit(rf"(?<!\p{{L}})\p{{L}}{{{SHORT},{LONG}}}(?!\p{{L}})"), F.lit(0))
+    words = docs.select(F.explode(F.array_distinct(found)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def each(batch):
+        return {"w": [x for w in batch["w"].to_pylist() for x in {w, _plain(w)}]}
+
+    return mapped(words.where(F.col("n") >= least).select("w"), each, "w STRING").distinct()
+
+
+def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """`found` with the dictionary's coverage, by a join of the values' parts with the words."""
+
+    def parts(batch):
+        out: dict = {"value": [], "w": []}
+        for value in batch["value"].to_pylist():
+            runs = re.findall(r"[^\W\d_]+", value.lower())
+            some = {r[i:i + n] for r in runs for i in range(len(r)) for n in range(SHORT, min(LONG, len(r) - i) + 1)}
+            out["value"] += [value] * len(some)
+            out["w"] += some
+        return out
+
+    def each(batch):
+        values = batch["value"].to_pylist()
+        return {"value": values, "coverage": [covered(v, frozenset(w or ())) for v, w in zip(values, batch["words"].to_pylist())]}
+
+    values = found.select("value").distinct()
+    hits = mapped(values, parts, "value STRING, w STRING").join(words, "w", "left_semi").groupBy("value").agg(F.collect_set("w").alias("words"))
+    coverage = mapped(values.join(hits, "value", "left"), each, "value STRING, coverage DOUBLE")
+    own = F.concat(F.slice("features", 1, 2), F.array("coverage"), F.slice("features", 4, 1000))
+    return found.join(coverage, "value").withColumn("features", own).select(*found.columns)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """The candidates with the coverage by the dictionary of all documents, broadcast if it is small."""
+    words = written(dictionary(docs), "words")
+    if words.count() <= limit_of(docs.sparkSession, "broadcastRows"):
+        return written(candidates(docs, frozenset(r.w for r in words.collect())), "candidates")
+    return written(with_coverage(written(candidates(docs, frozenset()), "places"), words), "candidates")
 
 
 def seeds(found: DataFrame) -> DataFrame:
@@ -126,7 +169,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPL
     null or repeated `doc_id` are each scanned; other columns are ignored; an empty table gives no row.
     If the findings are all of one label, so is every candidate; without any, none is a secret.
     """
-    found = written(candidates(docs, dictionary(docs)), "candidates")
+    found = described(docs)
     labels = (seeds(found) if findings is None else findings).where("label IS NOT NULL").dropDuplicates(["doc_id", "start", "end"])
     some = bounded_sample(labels.select("doc_id", "start", "end", F.col("label").cast("double").alias("label")), sample, "doc_id", "start", "end")
     rows = found.join(F.broadcast(some), ["doc_id", "start", "end"]).select("label", array_to_vector("features").alias("x"))

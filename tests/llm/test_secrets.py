@@ -42,6 +42,22 @@ def test_coverage():
     assert op.covered("alphabeta12", words) == 8 / 11 and op.covered("", words) == 0 and op.covered("zz9", words) == 0
 
 
+def test_dictionary_of_all_documents(spark, frame, limits):
+    """More words than a driver's handful, each in two documents, whole whatever their accents."""
+    name = lambda i: "qu" + "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    words = [name(i) for i in range(3000)]
+    docs = [(i, " ".join(words[i % 30 * 100:i % 30 * 100 + 100])) for i in range(60)]
+    docs += [(70 + i, f"la qualité cafe\u0301s {words[i]}-{words[2999 - i]}-12 secret='{words[7]} qualité'") for i in range(3)]
+    docs += [(80, "once only"), (81, None)]
+    found = {r.w for r in op.dictionary(frame(docs)).collect()}
+    assert {*words, "qualité", "qualite", "cafes"} <= found and not {"once", "qualit"} & found
+    rows = lambda: sorted((r.doc_id, r.start, r.end, r.value, tuple(r.features), r.assigned) for r in op.described(frame(docs)).collect())
+    broadcast = rows()
+    assert len(broadcast) == 6 and all(r[4][2] > 0.7 for r in broadcast)
+    limits(broadcastRows=1)
+    assert rows() == broadcast
+
+
 def test_forest_removes_false_positives(spark, frame):
     """Labelled findings of half of the documents; the other half is judged."""
     rng = random.Random(1)
