@@ -37,7 +37,7 @@ def _place(text: str) -> int:
 def _shape_place(word: str) -> int:
     got = _SHAPES.get(word)
     if got is None:
-        shape = word[:64]
+        shape = word
         for pattern, sign in _RUNS:
             shape = pattern.sub(sign, shape)
         got = _place(shape)

@@ -21,6 +21,12 @@ def test_logistic_is_at_the_minimum():
             assert loss(got + d * np.eye(5)[k]) >= loss(got) - 1e-9
 
 
+def test_long_words_have_whole_shapes():
+    for tail in ("!7B", "漢字。カナ", "%%;" * 3000):
+        long, short = "x" * 5000 + tail, "xx" + tail
+        assert op._shape_place(long) == op._shape_place(short) != op._shape_place("xx")
+
+
 def test_each_view_teaches_the_other():
     """One view is labelled by a feature that no labelled row of the other view shows."""
     rng = np.random.default_rng(2)
