@@ -1,7 +1,8 @@
 """The registered queries of these operators, and the SQL of those that SQL can express."""
 
 from fleetpulse.llm import (
-    decontamination, packing, private_data, quality, rules, secrets, simhash, substrings, token_counts, toxicity,
+    byte_bpe, decontamination, divergence, manifest, packing, private_data, quality, rules, secrets, simhash, substrings,
+    token_counts, toxicity,
 )
 
 QUERIES = {
@@ -15,5 +16,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_private_data": private_data.op9_private_data,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_manifest": manifest.op12_manifest,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
+}
+ORACLES = {
+    "op6_decontamination": decontamination.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_manifest": manifest.SQL,
 }
-ORACLES = {"op6_decontamination": decontamination.SQL}
