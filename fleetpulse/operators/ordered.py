@@ -3,10 +3,15 @@
 A window over a key needs all its rows in one task. Here the rows are first measured, and a key
 with too many is cut into chunks that follow each other in time:
 
-* no key above the limit: one chunk, a plain window;
-* no hour of a key above the limit: the chunk is the hour, again one shuffle;
-* else: a range partitioning on key and order, whose pieces are about equal whatever the skew
-  (even if a third of the rows share one instant), written once so that the pieces stay fixed.
+* a key within the limit is one chunk, a plain window;
+* a key above it is cut by the hour, again one shuffle, as long as the hour is within the limit;
+* the rows of a key's hour above the limit (a third of all rows may share one instant), and these
+  alone, go through a range partitioning on key and order, whose pieces are about equal whatever the
+  skew, and which is written once so that the pieces stay fixed.
+
+All three are united: a key may have quiet hours and hot ones. Keys and hours above the limit are
+few, at most all rows over the limit, and the rows are told by a join with them that is a broadcast
+while they are counted small.
 
 Within a chunk a window finds the nearest row. What it cannot see, the last value of the chunks
 before, comes from one row per key and chunk, which a partial aggregation makes small before
@@ -20,10 +25,12 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.sizing import limit_of, written
+from fleetpulse.operators.sizing import few, limit_of, written
 
 CHUNK = "_chunk"
 CELL_SECONDS = 3600
+# Pieces of an hour are numbered below this; their chunks lie between those of the hours around.
+PIECES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -57,11 +64,27 @@ def cut(
     ).first()
     if size["key"] <= most:
         return Cut(df.withColumn(CHUNK, F.lit(0).cast("bigint")), False, size["null_keys"])
+    marked = _mark(df, per_key.where(F.col("rows") > most), keys, "_hot")
+    chunk = F.when(F.col("_hot"), hour * PIECES).otherwise(0).cast("bigint")
     if size["hour"] <= most:
-        return Cut(df.withColumn(CHUNK, hour.cast("bigint")), True, size["null_keys"])
-    pieces = df.repartitionByRange(-(-size["all"] // most) + 1, *keys, *order)
-    tagged = pieces.withColumn(CHUNK, F.spark_partition_id().cast("bigint"))
-    return Cut(written(tagged, "ordered"), True, size["null_keys"])
+        return Cut(marked.withColumn(CHUNK, chunk).drop("_hot"), True, size["null_keys"])
+    heavy = per_hour.where(F.col("rows") > most)
+    marked = _mark(marked.withColumn(CHUNK, hour), heavy, [*keys, CHUNK], "_heavy").withColumn(CHUNK, chunk)
+    quiet = marked.where(~F.col("_heavy")).drop("_hot", "_heavy")
+    rest = marked.where("_heavy").drop("_hot", "_heavy")
+    many = heavy.agg(F.sum("rows")).first()[0]
+    pieces = rest.repartitionByRange(-(-many // most) + 1, *keys, *order)
+    pieces = written(pieces.withColumn(CHUNK, F.col(CHUNK) + F.spark_partition_id()), "ordered")
+    return Cut(quiet.unionByName(pieces), True, size["null_keys"])
+
+
+def _mark(df: DataFrame, few_rows: DataFrame, on: list[str], name: str) -> DataFrame:
+    """`df` with the boolean `name`: whether a row's `on`, nulls included, is among the counted ones."""
+    table = written(few_rows.select(*[F.col(c).alias(f"_of_{c}") for c in on], F.lit(True).alias(name)), "hot")
+    if few(table):
+        table = F.broadcast(table)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on])
+    return df.join(table, same, "left").select(*df.columns, F.coalesce(name, F.lit(False)).alias(name))
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from fleetpulse.operators.ordered import Look, look
 from fleetpulse.operators.sizing import at_path, lookup_join, written
 from fleetpulse.operators.topology import leader_answers
 from fleetpulse.sources import schemas
-from fleetpulse.streaming import running
+from fleetpulse.streaming import running, steps
 
 LAG_STATE = "cluster string, ts timestamp_ntz, seq bigint, n bigint"
 LIFECYCLE_STATE = "cluster string, state string"
@@ -23,17 +23,24 @@ REPLY = ["cluster", "poll_ts", "ord", "addr", "ok"]
 FOLLOWER_STATE = "cluster string, poll_ts timestamp_ntz, ord int, addr string, ok boolean, closed boolean"
 
 
-def run_rate(log: DataFrame, keys: list, path: str, step: str = "15s", cadence: str | None = None):
-    """Start counting operations per step into a running table under `path`.
+def run_rate(
+    log: DataFrame, keys: list, path: str, step: str = "15s", span: str = "1h", lateness: str = "10m", cadence: str | None = None
+):
+    """Start counting operations per step under `path`, see `steps.run_counts`.
 
     A late row corrects its step's count, however late it is. `rate_now` gives the rates.
     """
-    return running.run_table(rates.ops_per_step(log, keys, step), path, cadence)
+    return steps.run_counts(log, keys, path, step, span, lateness, cadence)
 
 
-def rate_now(spark: SparkSession, path: str, window: str = "1m", step: str = "15s") -> DataFrame:
-    """Operations per second over ``(t - window, t]`` of all rows so far, as `rates.op_rate` has it."""
-    return rates.rate_of_counts(running.current(spark, path), window, step)
+def rate_now(spark: SparkSession, path: str, window: str = "1m", step: str = "15s", since: str | None = None, span: str = "1h") -> DataFrame:
+    """Operations per second over ``(t - window, t]`` of all rows so far, as `rates.op_rate` has it; with
+    `since`, from that time on, for which only the folders of these ranges and the window before are read."""
+    if since is None:
+        return rates.rate_of_counts(steps.counts_now(spark, path), window, step)
+    before = datetime.fromisoformat(since) - timedelta(seconds=seconds(window))
+    counts = steps.counts_now(spark, path, before.isoformat(), span)
+    return rates.rate_of_counts(counts, window, step).where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
 
 
 def lag_step(batch: DataFrame, leaders: DataFrame):

@@ -1,12 +1,15 @@
 """Looking back and ahead, against a plain loop, on rows where one key and one instant are hot."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from fleetpulse.operators import ordered
 from fleetpulse.operators.ordered import CHUNK, Look, cut, look
+from fleetpulse.operators.sizing import written
 
 START = datetime(2024, 1, 1)
 
@@ -63,6 +66,34 @@ def test_pieces_are_even_and_whole(spark, limits, rows):
     assert found.chunked and not found.null_keys and sum(sizes) == len(rows) and max(sizes) <= 80
 
 
+@pytest.mark.parametrize("most, hot_hour", [(40, True), (250, False)])
+def test_only_what_is_hot_is_cut(spark, limits, rows, monkeypatch, most, hot_hour):
+    """One hour of one key is above the limit: no other row is range-partitioned, and keys within the
+    limit stay whole."""
+    dealt = []
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "ordered":
+            dealt.append(out)
+        return out
+
+    monkeypatch.setattr(ordered, "written", kept)
+    limits(rowsPerTask=most)
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, seq int, v int").repartition(5)
+    found = cut(df, ["key"], ["ts", "seq"]).rows
+    per_hour = Counter((r[0], r[1].replace(minute=0)) for r in rows)
+    heavy = {k for k, n in per_hour.items() if n > most}
+    assert len(dealt) == hot_hour and bool(heavy) == hot_hour
+    if hot_hour:
+        moved = {(r.key, r.ts.replace(minute=0)) for r in dealt[0].collect()}
+        assert moved == heavy and dealt[0].count() == sum(per_hour[k] for k in heavy) < len(rows)
+    per_key = Counter(r[0] for r in rows)
+    chunks = {r.key: r.n for r in found.groupBy("key").agg(F.countDistinct(CHUNK).alias("n")).collect()}
+    assert all((chunks[k] == 1) == (n <= most) for k, n in per_key.items())
+    assert found.count() == len(rows)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "key string, ts timestamp_ntz, seq int, v int")
     assert look(df, ["key"], ["ts", "seq"], Look("near", F.col("v"))).count() == 0

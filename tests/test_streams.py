@@ -1,6 +1,6 @@
 """Streams over several files and restarts give what one batch over everything gives."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Window
@@ -181,9 +181,54 @@ def test_rate_over_several_batches(spark, files, tmp_path):
     # The last part comes first, so most rows are days late.
     for part in (PARTS, *range(1, PARTS)):
         add(part)
-        drain(live.run_rate(one_file(spark, readers.read_probe_log, path), ["cluster", "role"], out, "1h"))
+        drain(live.run_rate(one_file(spark, readers.read_probe_log, path), ["cluster", "role"], out, "1h", span="1d", lateness="1d"))
     whole = rates.op_rate(log, ["cluster", "role"], "6h", "1h")
     assert rows_of(live.rate_now(spark, out, "6h", "1h")) == rows_of(whole) and whole.count()
+    some = live.rate_now(spark, out, "6h", "1h", since="2024-01-20T00:00:00", span="1d")
+    assert rows_of(some) == rows_of(whole.where("ts >= timestamp_ntz'2024-01-20 00:00:00'")) and some.count()
+
+
+def test_rate_writes_what_a_batch_touches(spark, tmp_path):
+    """Twenty batches of five minutes, in each one row that is hours late: what a batch writes and what is
+    open stays the same however long the stream has run, and no count is lost or taken twice."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp_ntz, cluster string"
+    every, wrote, opened = [], [], []
+    for i in range(20):
+        now = datetime(2024, 1, 1) + timedelta(minutes=5 * i)
+        rows = [(now + timedelta(seconds=s), f"c{s % 3}") for s in range(0, 300, 20)] + [(now - timedelta(hours=i % 7), "c0"), (None, "c1")]
+        every += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        drain(live.run_rate(stream, ["cluster"], out, "15s", "30m", "10m"))
+        files = [str(f) for f in (tmp_path / "out").rglob("*.parquet")]
+        wrote.append(sum(f"batch={i}/" in f or f"upto={i}/" in f for f in files))
+        opened.append(len(running.folders(spark, f"{out}/open")))
+        if i == 19:
+            whole = rates.op_rate(spark.createDataFrame(every, schema).where("ts IS NOT NULL"), ["cluster"], "1m", "15s")
+            assert rows_of(live.rate_now(spark, out)) == rows_of(whole)
+    assert max(wrote[10:]) <= max(wrote[:10]) <= 6 and max(opened) <= 6
+    # A sum stands for its range alone, and a range is one file again once it is closed.
+    assert all(len(running.folders(spark, f"{out}/closed/{s}")) <= 2 for s in running.folders(spark, f"{out}/closed") if "=" in s)
+
+
+def test_rate_batch_run_again(spark, tmp_path):
+    """The same batch once more, after its folders were written and summed but before it was committed."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp_ntz, cluster string"
+    every = []
+    for i in range(4):
+        rows = [(datetime(2024, 1, 1, 2 * i), "a"), (datetime(2024, 1, 1, 0, 1), "b")]
+        every += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for again in range(2):
+            drain(live.run_rate(spark.readStream.schema(schema).parquet(path), ["cluster"], out, "15s", "30m", "10m"))
+            if not again:
+                (tmp_path / "out" / "checkpoint" / "commits" / str(i)).unlink()
+                for crc in (tmp_path / "out" / "checkpoint" / "commits").glob(f".{i}.*"):
+                    crc.unlink()
+        whole = rates.op_rate(spark.createDataFrame(every, schema), ["cluster"], "1m", "15s")
+        assert rows_of(live.rate_now(spark, out)) == rows_of(whole)
 
 
 def test_command_tail(spark, tmp_path):
