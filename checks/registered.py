@@ -10,7 +10,7 @@ from fleetpulse.operators.sizing import scratch_path
 from fleetpulse.plans import health, reports, waiting
 from fleetpulse.sources import driver_tables as tables
 from fleetpulse.sources import readers, writers
-from fleetpulse.streaming import live, running
+from fleetpulse.streaming import live, running, tail
 
 QUERIES = {}
 
@@ -393,82 +393,81 @@ def relabelled_targets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# -- streams: each runs over all there is and stops ----------------------------------------------
+# -- streams: each runs over all there is, one file a batch, and stops -----------------------------
 
+BATCHES = 3
 
-def _stream(spark, folder, name):
-    schema = tables.table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(folder)
 
+def _run(spark: SparkSession, folder: str, sources: dict[str, str], start) -> str:
+    """Lay tables out in parts that follow each other by an expression, and run a stream after each part: one
+    batch per part, each from the checkpoint of the one before. `start` takes the streams and the
+    folder of results, which is returned."""
+    out, paths = scratch_path(spark, "stream"), {name: scratch_path(spark, f"files-{name}") for name in sources}
+    given = {name: tables.table(spark, folder, name) for name in sources}
+    shares = [k / BATCHES for k in range(1, BATCHES)]
+    # The place in the order, and the places between parts; equal ones stay together.
+    at = {name: F.expr(order).cast("double") for name, order in sources.items()}
+    bounds = {name: [float("-inf"), *given[name].select(at[name].alias("at")).approxQuantile("at", shares, 0.01), float("inf")] for name in sources}
+    for k in range(BATCHES):
+        for name in sources:
+            part = (at[name] > F.lit(bounds[name][k])) & (at[name] <= F.lit(bounds[name][k + 1]))
+            given[name].where(part).write.mode("append").parquet(paths[name])
+        start(*[spark.readStream.schema(given[name].schema).parquet(paths[name]) for name in sources], out).awaitTermination()
+    return out
 
-def _finish(started):
-    started.awaitTermination()
+
+EVENTS, ORDERS, LINES = {"events": "event_id"}, {"orders": "o_orderkey"}, {"lineitem": "l_orderkey"}
 
 
 @query
 def stream_op_counts(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    log = tables.probe_log_of(_stream(spark, folder, "events"))
-    _finish(running.run_table(probes.op_counts(log), path))
-    return running.current(spark, path)
+    start = lambda e, out: running.run_table(probes.op_counts(tables.probe_log_of(e)), out)
+    return running.current(spark, _run(spark, folder, EVENTS, start))
 
 
 @query
 def stream_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    log = tables.probe_log_of(_stream(spark, folder, "events"))
-    _finish(running.run_table(probes.latency_histogram(log), path))
-    return running.current(spark, path).withColumn("sum", F.round("sum", 6))
+    start = lambda e, out: running.run_table(probes.latency_histogram(tables.probe_log_of(e)), out)
+    return running.current(spark, _run(spark, folder, EVENTS, start)).withColumn("sum", F.round("sum", 6))
 
 
 @query
 def stream_op_rate(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    log = tables.probe_log_of(_stream(spark, folder, "events"))
-    _finish(live.run_rate(log, ["cluster", "role"], path, STEP))
-    return live.rate_now(spark, path, WINDOW, STEP)
+    start = lambda e, out: live.run_rate(tables.probe_log_of(e), ["cluster", "role"], out, STEP, "7d", "1d")
+    return live.rate_now(spark, _run(spark, folder, EVENTS, start), WINDOW, STEP)
 
 
 @query
 def stream_lag(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    log = tables.probe_log_of(_stream(spark, folder, "events"))
-    _finish(running.run_steps(log, live.lag_step, path, live.LAG_STATE))
-    return running.results(spark, path).drop("batch")
+    start = lambda e, out: running.run_steps(tables.probe_log_of(e), live.lag_step, out, live.LAG_STATE)
+    return running.results(spark, _run(spark, folder, EVENTS, start)).drop("batch")
 
 
 @query
 def stream_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    log = tables.trigger_log_of(_stream(spark, folder, "orders"))
-    _finish(running.run_steps(log, live.lifecycle_step, path, live.LIFECYCLE_STATE))
-    return running.current(spark, path)
+    start = lambda o, out: running.run_steps(tables.trigger_log_of(o), live.lifecycle_step, out, live.LIFECYCLE_STATE)
+    return running.current(spark, _run(spark, folder, {"orders": "unix_micros(cast(o_orderdate AS timestamp))"}, start))
 
 
 @query
 def stream_follower_changes(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    polls = topo.followers(tables.follower_polls_of(_stream(spark, folder, "lineitem")))
-    _finish(running.run_steps(polls, live.follower_step, path, live.FOLLOWER_STATE))
-    return live.changes_now(spark, path)
+    def start(lines, out):
+        return running.run_steps(topo.followers(tables.follower_polls_of(lines)), live.follower_step, out, live.FOLLOWER_STATE)
+
+    return live.changes_now(spark, _run(spark, folder, LINES, start))
 
 
 @query
 def stream_leader_commands(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    commands = tables.command_log_of(_stream(spark, folder, "lineitem"))
-
-    def now(session):
-        return live.leadership(tables.coordinator_view(session, folder), tables.node_snapshot(session, folder))
+    def start(lines, orders, out):
+        stream = tail.both(tables.command_log_of(lines), tables.leader_polls_of(orders))
+        step = tail.follow_leader(lambda session: tables.node_snapshot(session, folder))
+        return running.run_steps(stream, step, out, tail.TAIL_STATE)
 
-    _finish(running.run_steps(commands, live.follow_leader(now), path, live.COMMAND_STATE))
-    return live.commands_now(spark, path, _intervals(spark, folder))
+    return tail.commands_now(spark, _run(spark, folder, {**LINES, **ORDERS}, start), _intervals(spark, folder))
 
 
 @query
 def stream_retained_samples(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_path(spark, "stream")
-    samples = tables.exporter_samples_of(_stream(spark, folder, "events"))
-    _finish(live.run_retained(samples, path, "2d"))
-    return live.retained(spark, path, "2d").select("metric", "ts", "value")
+    start = lambda e, out: live.run_retained(tables.exporter_samples_of(e), out, "2d")
+    return live.retained(spark, _run(spark, folder, EVENTS, start), "2d").select("metric", "ts", "value")

@@ -198,13 +198,17 @@ def coordinator_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def leader_polls(spark: SparkSession, folder: str) -> DataFrame:
+    return leader_polls_of(table(spark, folder, "orders"))
+
+
+def leader_polls_of(orders: DataFrame) -> DataFrame:
     """One reply per poll on a cluster's leader, from `orders`. The leader moves every 40 polls."""
     o, c = F.col("o_orderkey"), F.col("o_custkey") % 25
     port = 6380 + c + 25 * (F.floor(o / 40) % 3)
     said = F.when(o % 29 == 0, "n/a").otherwise(port.cast("string"))
     ok = F.col("o_orderstatus") != "P"
     cluster = F.concat(F.lit("c"), c)
-    return table(spark, folder, "orders").select(
+    return orders.select(
         poll_time(o).alias("poll_ts"),
         (o % 3).cast("int").alias("ord"),
         F.concat(F.lit("fleet-sentinel-"), 26379 + o % 3).alias("coordinator"),

@@ -1,24 +1,20 @@
-"""Live metrics, lag, states, follower sets and command tails."""
+"""Live metrics, lag, states, follower sets and retained samples."""
 
 from datetime import datetime, timedelta
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import seconds
 from fleetpulse.operators import probes, rates
-from fleetpulse.operators.convergence import leader_changes, leader_commands, leader_intervals
 from fleetpulse.operators.lifecycle import replay, upsert_states
 from fleetpulse.operators.ordered import Look, look
 from fleetpulse.operators.sizing import at_path, lookup_join, written
-from fleetpulse.operators.topology import leader_answers
 from fleetpulse.sources import schemas
 from fleetpulse.streaming import running, steps
 
 LAG_STATE = "cluster string, ts timestamp_ntz, seq bigint, n bigint"
 LIFECYCLE_STATE = "cluster string, state string"
-COMMAND_STATE = schemas.COMMAND_LOG
 REPLY = ["cluster", "poll_ts", "ord", "addr", "ok"]
 FOLLOWER_STATE = "cluster string, poll_ts timestamp_ntz, ord int, addr string, ok boolean, closed boolean"
 
@@ -118,14 +114,15 @@ def sets_now(spark: SparkSession, path: str) -> DataFrame:
 def run_retained(samples: DataFrame, path: str, retention: str = "2h", cadence: str | None = None):
     """Start appending samples under `path`, by date and hour; hours out of date are deleted whole.
 
-    What is kept is never written again. `retained` cuts at the exact time."""
+    What is kept is never written again. `retained` cuts at the exact time. A sample without time has no
+    age and belongs to no hour: it is dropped."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.where(F.col("ts").isNotNull()).withColumns(
             {"date": F.to_date("ts"), "hour": F.hour("ts"), "batch": F.lit(batch_id).cast("bigint")})
         # A batch that is run again replaces its own files.
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour", "batch").parquet(f"{path}/kept")
+        rows.hint("rebalance", "date", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour", "batch").parquet(f"{path}/kept")
         dates = sorted(name for name in running.folders(spark, f"{path}/kept") if name.startswith("date="))
         if not dates:
             return
@@ -152,38 +149,3 @@ def _kept(spark: SparkSession, path: str) -> DataFrame:
 def retained(spark: SparkSession, path: str, retention: str = "2h") -> DataFrame:
     """The samples not older than `retention` by the latest one."""
     return rates.retain(_kept(spark, path), retention).drop("date", "hour", "batch")
-
-
-def leadership(view: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Who led when, by node, and until when that is known, by cluster (`known_to`)."""
-    known = leader_answers(view).groupBy("cluster").agg(F.max("poll_ts").alias("known_to"))
-    return leader_intervals(leader_changes(view), nodes), known
-
-
-def command_step(batch: DataFrame, waiting: DataFrame, read, patience: str):
-    """The commands of nodes that led their clusters when they ran; see `follow_leader`."""
-    spark = batch.sparkSession
-    intervals, known = read(spark)
-    rows = batch.select(*waiting.columns).unionByName(waiting)
-    wait = F.make_dt_interval(secs=F.lit(seconds(patience)).cast("decimal(18,6)"))
-    at_least = known.agg(F.max("known_to").alias("m")).select(F.col("m") - wait).scalar()
-    rows = lookup_join(rows, known, "cluster", "left").withColumn("known_to", F.greatest("known_to", at_least))
-    early = F.col("ts").isNotNull() & F.coalesce(F.col("ts") > F.col("known_to"), F.lit(True))
-    decided = rows.where(~early).select(*waiting.columns)
-    return leader_commands(decided, intervals), rows.where(early)
-
-
-def follow_leader(read, patience: str = "60s"):
-    """`command_step` with leadership as of each batch: `read` takes the session and returns what
-    `leadership` returns, reading its files anew.
-
-    A command newer than what is known of its cluster waits in the state (`COMMAND_STATE`) until it
-    is known, or until other clusters are known `patience` further; the last leader then counts.
-    """
-    return partial(command_step, read=read, patience=patience)
-
-
-def commands_now(spark: SparkSession, path: str, intervals: DataFrame) -> DataFrame:
-    """All commands of leaders so far, those that wait included, judged by `intervals`."""
-    waiting = leader_commands(running.current(spark, path), intervals)
-    return running.results(spark, path).drop("batch").unionByName(waiting)

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fleetpulse.operators import lifecycle, probes, rates
+from fleetpulse.operators import convergence, lifecycle, probes, rates
 from fleetpulse.operators import topology as topo
 from fleetpulse.sources import driver_tables, readers, schemas, writers
-from fleetpulse.streaming import live, running
+from fleetpulse.streaming import live, running, tail
 from conftest import FOLDER
 
 PARTS = 4
@@ -115,25 +115,65 @@ def test_a_refresh_over_two_batches(spark):
     assert rows_of(state.where("closed").select("addr", "poll_ts")) == [("a", at(2))]
 
 
-def test_commands_wait_for_leadership(spark, tmp_path):
-    known = {"intervals": [("c", "n1", at(0), None)], "until": [("c", at(1)), ("d", at(1))]}
+def tail_batch(spark, commands=(), replies=()):
+    given = spark.createDataFrame([(t, i, n, c, "x") for t, i, n, c in commands], schemas.COMMAND_LOG)
+    view = [(t, o, f"s{o}", 6, c, "master", True, ["name", c, "ip", "h", "port", p]) for t, o, c, p in replies]
+    return tail.both(given, spark.createDataFrame(view, schemas.COORDINATOR_VIEW))
 
-    def read(session):
-        return (session.createDataFrame(known["intervals"], "cluster string, node string, from_ts timestamp_ntz, to_ts timestamp_ntz"),
-                session.createDataFrame(known["until"], "cluster string, known_to timestamp_ntz"))
 
-    def commands(*rows):
-        return spark.createDataFrame(list(rows), schemas.COMMAND_LOG).select(*[c.split(" ")[0] for c in schemas.COMMAND_LOG.split(", ")])
+def inventory(session):
+    return session.createDataFrame([("n1", "c", 1), ("n2", "c", 2), ("m1", "d", 1)], "name string, cluster string, port bigint")
 
-    step = live.follow_leader(read)
-    given = commands((at(1), 1, "n1", "c", "x"), (at(2), 2, "n2", "c", "y"), (at(2), 3, "n1", "c", "z"), (None, 4, "n1", "c", "w"))
-    rows, state = step(given, spark.createDataFrame([], live.COMMAND_STATE))
-    state = state.select("ts", "seq", "node", "cluster", "line")
-    assert [r.seq for r in rows.collect()] == [1] and sorted(r.seq for r in state.collect()) == [2, 3]
-    known["intervals"] = [("c", "n1", at(0), at(1, 30)), ("c", "n2", at(1, 30), None)]
-    known["until"] = [("c", at(3)), ("d", at(3))]
-    rows, state = step(commands(), state)
-    assert [r.seq for r in rows.collect()] == [2] and state.count() == 0
+
+def test_commands_wait_for_leadership(spark):
+    step = tail.follow_leader(inventory)
+    state = spark.createDataFrame([], tail.TAIL_STATE)
+
+    def run(commands=(), replies=()):
+        nonlocal state
+        rows, after = step(tail_batch(spark, commands, replies), state)
+        found = sorted((r.seq, r.late) for r in rows.collect())
+        state = spark.createDataFrame(after.collect(), tail.TAIL_STATE)
+        return found, sorted(r.seq for r in state.where("kind = 'wait'").collect())
+
+    assert run([(at(1), 1, "n1", "c"), (at(2), 2, "n2", "c"), (None, 3, "n1", "c")], [(at(0), 0, "c", "1"), (at(1), 1, "c", "2"), (at(1), 0, "d", "1")]) == ([], [1, 2])
+    # The first coordinator of the poll at 1 comes a batch later and has the last word.
+    assert run([], [(at(1), 0, "c", "1"), (at(2), 0, "c", "x")]) == ([(1, False)], [2])
+    assert run([(at(1, 59), 4, "n1", "c")], [(at(1, 30), 0, "c", "2")]) == ([(4, False)], [2])  # too late a reply
+    # 2 is known to be led by n1 at 2, and n2 leads from 3 on.
+    assert run([(at(3), 5, "n2", "c"), (at(3), 6, "n1", "c")], [(at(3), 0, "c", "2"), (at(4), 0, "c", "2")]) == ([(5, False)], [])
+    # d is not polled again, but c is known a minute further.
+    assert run([(at(4), 7, "m1", "d")], [(at(6), 0, "c", "2")]) == ([(7, False)], [])
+
+
+def test_late_commands_are_marked(spark, tmp_path):
+    step = tail.follow_leader(inventory, keep="5m")
+    _, state = step(tail_batch(spark, [], [(at(m), 0, "c", str(1 + m // 10 % 2)) for m in range(41)]), spark.createDataFrame([], tail.TAIL_STATE))
+    state = spark.createDataFrame(state.collect(), tail.TAIL_STATE)
+    rows, _ = step(tail_batch(spark, [(at(1), 1, "n1", "c"), (at(39), 2, "n2", "c"), (at(31), 3, "n1", "c")]), state)
+    assert sorted((r.seq, r.late) for r in rows.collect()) == [(1, True), (2, False)]
+    assert state.where("kind = 'run'").count() == 1 and state.where("kind = 'cut'").first().ts == at(30)
+
+
+def test_tail_state_stays_small(spark, tmp_path):
+    """Twelve batches with a new leader every poll: the state holds what `keep` asks for, not the past."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = tail.both(spark.createDataFrame([], schemas.COMMAND_LOG), spark.createDataFrame([], schemas.COORDINATOR_VIEW)).schema
+    sizes, commands, replies = [], [], []
+    for i in range(12):
+        now = datetime(2024, 1, 1) + timedelta(minutes=i)
+        mine = [(now + timedelta(seconds=s), i * 60 + s, f"n{1 + s % 2}", "c") for s in range(0, 60, 7)]
+        told = [(now + timedelta(seconds=s), 0, "c", str(1 + s // 20 % 2)) for s in range(0, 60, 20)]
+        commands, replies = commands + mine, replies + told
+        tail_batch(spark, mine, told).coalesce(1).write.mode("append").parquet(path)
+        drain(running.run_steps(spark.readStream.schema(schema).parquet(path), tail.follow_leader(inventory, keep="3m"), out, tail.TAIL_STATE))
+        sizes.append(running.current(spark, out).count())
+    assert max(sizes[6:]) <= max(sizes[:6]) <= 30
+    whole = tail_batch(spark, commands, replies)
+    view = whole.where("what = 'reply'")
+    intervals = convergence.leader_intervals(convergence.leader_changes(view), inventory(spark))
+    want = convergence.leader_commands(whole.where("what = 'command'").select(*tail.COMMAND), intervals)
+    assert rows_of(tail.commands_now(spark, out, intervals)) == rows_of(want) and want.count()
 
 
 def test_retention_deletes_hours(spark, tmp_path):
