@@ -372,16 +372,19 @@ ANSWERS = """
 answers AS (
   SELECT *, ok AND port IS NOT NULL AS told FROM (
     SELECT TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 10) AS poll_ts, (o_orderkey % 3)::INT AS ord,
-      'fleet-sentinel-' || (26379 + o_orderkey % 3) AS coordinator, 'c' || (o_custkey % 25) AS cluster, o_orderstatus <> 'P' AS ok,
+      'fleet-sentinel-' || CASE WHEN o_orderkey % 3 = 1 AND o_orderkey < 900 THEN 26370 WHEN o_orderkey % 3 = 0 AND o_orderkey < 300 THEN 26380
+        ELSE 26379 + o_orderkey % 3 END AS coordinator, 'c' || (o_custkey % 25) AS cluster, o_orderstatus <> 'P' AS ok,
       CASE WHEN o_orderstatus = 'P' OR (o_orderkey % 5 <> 0 AND o_orderkey % 41 = 0) THEN '' ELSE 'c' || (o_custkey % 25) END AS name,
       CASE WHEN o_orderstatus = 'P' THEN '' ELSE '10.0.0.' || (o_custkey % 25) END AS ip,
       CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 29 <> 0 THEN 6380 + o_custkey % 25 + 25 * (o_orderkey // 40 % 3) END AS port
     FROM orders)),
-told_now AS (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY cluster, ord ORDER BY poll_ts DESC) = 1),
+aseen AS (SELECT ord, coordinator, max(poll_ts) AS to_ts FROM answers GROUP BY ALL),
+ahere AS (SELECT ord, coordinator FROM aseen s WHERE to_ts > (SELECT max(to_ts) - INTERVAL 5 MINUTE FROM aseen)
+  AND to_ts = (SELECT max(to_ts) FROM aseen o WHERE o.ord = s.ord) AND to_ts = (SELECT max(to_ts) FROM aseen o WHERE o.coordinator = s.coordinator)),
+told_now AS (SELECT * FROM answers WHERE (ord, coordinator) IN (SELECT (ord, coordinator) FROM ahere) QUALIFY row_number() OVER (PARTITION BY cluster, ord ORDER BY poll_ts DESC) = 1),
 leader_now AS (SELECT cluster, ip AS leader_host, port AS leader_port, ord AS told_by FROM told_now WHERE told
   QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY ord) = 1),
-named AS (SELECT ord, coordinator, name, ip || ':' || coalesce(port, 0) AS address FROM answers WHERE ok AND name <> ''
-  QUALIFY row_number() OVER (PARTITION BY ord, name ORDER BY poll_ts DESC) = 1),
+named AS (SELECT ord, coordinator, name, ip || ':' || coalesce(port, 0) AS address FROM told_now WHERE ok AND name <> ''),
 moves AS (SELECT cluster, poll_ts, port, prev_port FROM (
     SELECT *, lag(port) OVER (PARTITION BY cluster ORDER BY poll_ts) AS prev_port FROM answers WHERE told)
   WHERE prev_port IS DISTINCT FROM port),
@@ -391,7 +394,8 @@ LISTED = """
 listed AS (
   SELECT *, CASE WHEN ip <> '' AND port <> 0 THEN ip || ':' || port END AS addr FROM (
     SELECT TIMESTAMP '2024-01-01' + to_seconds(l_orderkey * 10) AS poll_ts, (l_orderkey % 3)::INT AS ord,
-      'fleet-sentinel-' || (26379 + l_orderkey % 3) AS coordinator, 'c' || (l_orderkey % 25) AS cluster, l_orderkey % 10 <> 0 AS ok,
+      'fleet-sentinel-' || CASE WHEN l_orderkey % 3 = 1 AND l_orderkey < 900 THEN 26370 WHEN l_orderkey % 3 = 0 AND l_orderkey < 300 THEN 26380
+        ELSE 26379 + l_orderkey % 3 END AS coordinator, 'c' || (l_orderkey % 25) AS cluster, l_orderkey % 10 <> 0 AS ok,
       CASE WHEN l_orderkey % 10 = 0 OR l_partkey % 50 = 0 THEN '' ELSE '10.0.1.' || (l_suppkey % 8) END AS ip,
       CASE WHEN l_orderkey % 10 <> 0 AND l_partkey % 50 <> 1 THEN 6380 + l_orderkey % 25 + 25 * (l_suppkey % 8) END AS port,
       CASE WHEN l_orderkey % 10 = 0 THEN 0 WHEN l_quantity > 25 THEN 100 ELSE 1 END::BIGINT AS priority
@@ -405,15 +409,19 @@ lost AS (SELECT g.cluster, g.addr, r.next_ts AS gone_ts FROM good g JOIN rounds
 joined AS (SELECT g.cluster, g.addr, g.poll_ts AS ts FROM good g JOIN rounds r USING (cluster, poll_ts)
   WHERE g.addr IS NOT NULL AND NOT EXISTS (
     SELECT 1 FROM good o WHERE o.cluster = g.cluster AND o.poll_ts = r.prev_ts AND o.addr = g.addr)),
-first_now AS (SELECT * FROM listed WHERE ok QUALIFY ord = min(ord) OVER (PARTITION BY cluster)
-  AND poll_ts = max(poll_ts) OVER (PARTITION BY cluster, ord))"""
+lseen AS (SELECT ord, coordinator, max(poll_ts) AS to_ts FROM listed GROUP BY ALL),
+lhere AS (SELECT ord, coordinator FROM lseen s WHERE to_ts > (SELECT max(to_ts) - INTERVAL 5 MINUTE FROM lseen)
+  AND to_ts = (SELECT max(to_ts) FROM lseen o WHERE o.ord = s.ord) AND to_ts = (SELECT max(to_ts) FROM lseen o WHERE o.coordinator = s.coordinator)),
+last_now AS (SELECT * FROM listed WHERE (ord, coordinator) IN (SELECT (ord, coordinator) FROM lhere)
+  QUALIFY poll_ts = max(poll_ts) OVER (PARTITION BY cluster, ord)),
+first_now AS (SELECT * FROM last_now WHERE ok QUALIFY ord = min(ord) OVER (PARTITION BY cluster))"""
 oracle("leader_answers", "SELECT poll_ts, ord, cluster, ok, name, ip, port, told FROM answers", ANSWERS)
 oracle("followers", "SELECT poll_ts, ord, coordinator, cluster, ok, ip, port, priority, addr FROM listed", LISTED)
 oracle("current_leader", "SELECT * FROM leader_now", ANSWERS)
 oracle("masters_by_coordinator", "SELECT * FROM named", ANSWERS)
-oracle("discovered_masters", "SELECT name, address FROM named WHERE ord = (SELECT min(ord) FROM answers WHERE ok)", ANSWERS)
+oracle("discovered_masters", "SELECT name, address FROM named WHERE ord = (SELECT min(ord) FROM told_now WHERE ok)", ANSWERS)
 oracle("pick_leader", """SELECT name, address, name = 'c7' AS chosen, NULL::VARCHAR AS problem FROM named
-  WHERE ord = (SELECT min(ord) FROM answers WHERE ok)""", ANSWERS)
+  WHERE ord = (SELECT min(ord) FROM told_now WHERE ok)""", ANSWERS)
 oracle("leader_changes", "SELECT * FROM moves", ANSWERS)
 oracle("leader_intervals", "SELECT * FROM led", ANSWERS)
 oracle("followers_observed", """SELECT cluster, poll_ts, count(addr) AS observed FROM good
@@ -470,7 +478,7 @@ both_shown AS (
   GROUP BY cluster, poll_ts HAVING bool_or(port = base + 25 AND priority = 100) AND bool_or(port = base + 50 AND priority = 1))""")
 oracle("time_to_visible", """SELECT cluster, port, id, ts, waited AS waited_us, waited IS NULL AS timed_out FROM (
   SELECT s.*, (SELECT min(epoch_us(p.poll_ts) - epoch_us(s.ts)) FROM listed p WHERE p.cluster = s.cluster AND p.port = s.port
-    AND p.addr IS NOT NULL AND p.poll_ts >= s.ts AND p.poll_ts <= s.ts + INTERVAL 10 MINUTE) AS waited
+    AND p.ok AND p.poll_ts >= s.ts AND p.poll_ts <= s.ts + INTERVAL 10 MINUTE) AS waited
   FROM (SELECT 'c' || (o_orderkey % 25) AS cluster, 6380 + o_orderkey % 25 + 25 * (o_custkey % 8) AS port, o_orderkey AS id,
     TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 10) AS ts FROM orders) s)""", LISTED)
 oracle("failover_outcome", """SELECT cluster, id, ts, old_port, promoted.port AS promoted_port,
@@ -507,3 +515,14 @@ oracle("relabelled_targets", """SELECT label, count(value) AS targets, count(DIS
     FROM (SELECT *, CASE WHEN version = 0 THEN 'six' ELSE version::VARCHAR END AS v,
         CASE WHEN port > 0 THEN 'redis://' || name || ':' || port END AS uri FROM containers WHERE plane))
   WHERE value IS NOT NULL GROUP BY label""", CONTAINERS)
+oracle("stored_states", "SELECT * FROM states", REPLAY)
+oracle("stored_clusters", "SELECT cluster FROM states", REPLAY)
+ORACLES["stored_probe_log"] = ORACLES["op_counts"]
+oracle("stored_targets", "SELECT job, redis_version_major, count(*) AS targets FROM jobs WHERE job = 'redis-instances' GROUP BY ALL", CONTAINERS, TARGETS)
+oracle("version_groups", """SELECT cluster, CASE WHEN version = 6 THEN 'v6' ELSE 'v8' END AS version_group, count(*) AS nodes
+  FROM plane GROUP BY ALL""", NODES)
+LINES = """SELECT 'c' || (l_orderkey % 25) AS cluster, 'node-' || (l_orderkey % 25 + 25 * (l_suppkey % 3)) AS node,
+    '[0 10.0.0.1:6000] "SET" "k' || l_partkey || '"' AS line FROM lineitem"""
+ORACLES["stream_command_lines"] = f"SELECT cluster, node, count(*) AS lines, count(DISTINCT line) AS distinct_lines FROM ({LINES}) GROUP BY ALL"
+ORACLES["printed_commands"] = f"SELECT line, count(*) AS times FROM ({LINES}) GROUP BY ALL"
+ORACLES["stream_cadence"] = "SELECT 'probe' AS cadence, '200 milliseconds' AS every, true AS several_batches, count(*) AS rows FROM events"

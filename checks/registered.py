@@ -366,6 +366,16 @@ def state_delete(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.drop_states(states, topo.clusters(tables.node_snapshot(spark, folder)))
 
 
+def _state_files(spark, folder):
+    path = scratch_path(spark, "state-files")
+    writers.write_state_files(_states(spark, folder), path)
+    return readers.read_states(spark, path)
+
+
+QUERIES["stored_states"] = _state_files
+on(_state_files, "stored_clusters", readers.state_clusters)
+
+
 @query
 def clusters_with_state(spark: SparkSession, folder: str) -> DataFrame:
     found = readers.state_clusters(tables.trigger_log(spark, folder))
@@ -393,6 +403,31 @@ def relabelled_targets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# -- stored tables, read back ----------------------------------------------------------------------
+
+
+@query
+def stored_probe_log(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "probe-log")
+    tables.probe_log(spark, folder).write.parquet(path)
+    return probes.op_counts(readers.read_probe_log(spark, path))
+
+
+@query
+def stored_targets(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "targets")
+    tables.discovered_target(spark, folder).write.parquet(path)
+    # Only this job's targets are found by being under management.
+    found = relabel.scrape_targets(readers.read_targets(spark, path)).where("job = 'redis-instances'")
+    return found.groupBy("job", "redis_version_major").agg(F.count("*").alias("targets"))
+
+
+@query
+def version_groups(spark: SparkSession, folder: str) -> DataFrame:
+    group = fn.version_group(F.col("version")).alias("version_group")
+    return topo.data_plane(tables.node_snapshot(spark, folder)).groupBy("cluster", group).agg(F.count("*").alias("nodes"))
+
+
 # -- streams: each runs over all there is, one file a batch, and stops -----------------------------
 
 BATCHES = 3
@@ -471,3 +506,45 @@ def stream_leader_commands(spark: SparkSession, folder: str) -> DataFrame:
 def stream_retained_samples(spark: SparkSession, folder: str) -> DataFrame:
     start = lambda e, out: live.run_retained(tables.exporter_samples_of(e), out, "2d")
     return live.retained(spark, _run(spark, folder, EVENTS, start), "2d").select("metric", "ts", "value")
+
+
+def _command_lines(spark, folder):
+    path = scratch_path(spark, "command-lines")
+    writers.write_command_lines(tables.command_log(spark, folder), path)
+    return path
+
+
+@query
+def stream_command_lines(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "stream")
+    lines = readers.read_command_lines(spark, _command_lines(spark, folder), stream=True, maxFilesPerTrigger=40)
+    running.run_append(lines, out).awaitTermination()
+    return running.results(spark, out).groupBy("cluster", "node").agg(F.count("*").alias("lines"), F.countDistinct("line").alias("distinct_lines"))
+
+
+@query
+def printed_commands(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch_path(spark, "stream")
+    lines = readers.read_command_lines(spark, _command_lines(spark, folder), stream=True)
+    writers.tail_commands(lines, "parquet", path=f"{out}/rows", checkpointLocation=f"{out}/checkpoint").awaitTermination()
+    return running.results(spark, out).groupBy("line").agg(F.count("*").alias("times"))
+
+
+@query
+def stream_cadence(spark: SparkSession, folder: str) -> DataFrame:
+    """Two parts of the log at the cadence of a probe: the query stays up, and says what it took at which tick."""
+    path, out = scratch_path(spark, "files-events"), scratch_path(spark, "stream")
+    events = tables.table(spark, folder, "events")
+    half = F.col("event_id") % 2 == 0
+    events.where(half).write.parquet(path)
+    log = tables.probe_log_of(spark.readStream.schema(events.schema).parquet(path))
+    running_query = running.run_steps(log, live.lag_step, out, live.LAG_STATE, cadence="probe")
+    try:
+        running_query.processAllAvailable()
+        events.where(~half).write.mode("append").parquet(path)
+        running_query.processAllAvailable()
+        told = running.ticks(running_query)
+    finally:
+        running_query.stop()
+    row = ("probe", running.CADENCE["probe"], len(told) >= 2, sum(t["rows"] for t in told))
+    return spark.createDataFrame([row], "cadence string, every string, several_batches boolean, rows bigint")

@@ -1,11 +1,14 @@
 """Inventory, scopes, coordinators' answers and per-cluster facts."""
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions import addr, atoi, atoi_or_zero, kv_get, replication_state
+from fleetpulse.functions.numbers import seconds
 from fleetpulse.operators.probes import latest
-from fleetpulse.operators.sizing import lookup_join
+from fleetpulse.operators.sizing import few, written
 
 # The roles of the data plane, and those of probes, current one first.
 DATA_ROLES = ["master", "replica"]
@@ -13,6 +16,9 @@ PROBE_ROLES = ["client-workload", "client-enqueuer", "client-dequeuer"]
 COORDINATOR_ROLE = "sentinel"
 EXPORTER_ROLE = "redis-exporter"
 
+#: A coordinator that was asked nothing for so long is gone.
+LOOK_BACK = "5m"
+
 
 # -- inventory -----------------------------------------------------------------------------------
 
@@ -176,35 +182,73 @@ def followers(view: DataFrame) -> DataFrame:
     )
 
 
-def coordinators(view: DataFrame) -> DataFrame:
-    """The coordinators seen, with the port at the end of their name."""
-    port = F.substring_index("coordinator", "-", -1).try_cast("bigint")
-    return view.select("ord", "coordinator", "version").distinct().withColumn("port", port)
+def validity(view: DataFrame) -> DataFrame:
+    """From when to when each coordinator was asked at each place; only narrow columns are read."""
+    return view.groupBy("ord", "coordinator", "version").agg(
+        F.min("poll_ts").alias("from_ts"), F.max("poll_ts").alias("to_ts")
+    )
+
+
+def coordinators(view: DataFrame, at: datetime | None = None, look_back: str | None = LOOK_BACK) -> DataFrame:
+    """The coordinators there are at `at` (by default the newest poll), with the port at the end of their name.
+
+    One that was not asked within `look_back` is gone. One that has moved is at its last place alone,
+    and a place has its last coordinator alone. A listing without `poll_ts` is of now."""
+    if "poll_ts" not in view.columns:
+        return view.select("ord", "coordinator", "version").distinct().withColumn("port", _port_of("coordinator"))
+    seen = validity(view if at is None else view.where(F.col("poll_ts") <= F.lit(at)))
+    now = seen.agg(F.max("to_ts")).scalar() if at is None else F.lit(at)
+    if look_back is not None:
+        seen = seen.where(F.col("to_ts") > now - F.make_dt_interval(secs=F.lit(seconds(look_back)).cast("decimal(18,6)")))
+    # A few rows: one for each coordinator and place that ever was.
+    of_name = Window.partitionBy("coordinator").orderBy(F.desc("to_ts"), F.desc("from_ts"), "ord")
+    seen = seen.withColumn("_place", F.row_number().over(of_name)).where("_place = 1")
+    of_place = Window.partitionBy("ord").orderBy(F.desc("to_ts"), F.desc("from_ts"), "coordinator")
+    here = seen.withColumn("_turn", F.row_number().over(of_place)).where("_turn = 1")
+    return here.select("ord", "coordinator", "version", _port_of("coordinator").alias("port"))
 
 
-def current_leader(view: DataFrame) -> DataFrame:
-    """Each cluster's leader as told by the first coordinator, in order, whose last reply tells it."""
-    answers = leader_answers(view)
-    last = latest(answers, ["cluster", "ord"], ["told", "ip", "port"], ["poll_ts"])
-    first = F.min_by(F.struct("ip", "port", "ord"), F.when(F.col("told"), F.col("ord")))
-    return last.groupBy("cluster").agg(first.alias("first")).where(F.col("first").isNotNull()).select(
+def _port_of(name: str) -> Column:
+    return F.substring_index(name, "-", -1).try_cast("bigint")
+
+
+def last_replies(view: DataFrame, kind: str, at: datetime | None = None, look_back: str | None = LOOK_BACK) -> DataFrame:
+    """The replies of each cluster's last poll of a kind at every coordinator there is.
+
+    Which polls these are is found in narrow columns first, and written: replies older than the oldest
+    of them are skipped where they are stored, and only those that meet the last polls are taken apart.
+    """
+    asked = view.where(F.col("kind") == kind) if at is None else view.where((F.col("kind") == kind) & (F.col("poll_ts") <= F.lit(at)))
+    place = ["cluster", "ord", "coordinator"]
+    last = asked.groupBy(*place).agg(F.max("poll_ts").alias("poll_ts"))
+    last = written(last.join(coordinators(view, at, look_back), ["ord", "coordinator"], "left_semi").select(*place, "poll_ts"), "last-polls")
+    oldest = last.agg(F.min("poll_ts")).first()[0]
+    recent = asked.where(F.col("poll_ts") >= F.lit(oldest).cast("timestamp_ntz"))
+    return recent.join(F.broadcast(last) if few(last) else last, [*place, "poll_ts"], "left_semi")
+
+
+def current_leader(view: DataFrame, at: datetime | None = None, look_back: str | None = LOOK_BACK) -> DataFrame:
+    """Each cluster's leader as told by the first coordinator there is, in order, whose last reply tells it."""
+    told = leader_answers(last_replies(view, "master", at, look_back)).where("told")
+    return told.groupBy("cluster").agg(F.min_by(F.struct("ip", "port", "ord"), "ord").alias("first")).select(
         "cluster", F.col("first.ip").alias("leader_host"), F.col("first.port").alias("leader_port"),
         F.col("first.ord").alias("told_by"),
     )
 
 
-def masters(view: DataFrame) -> DataFrame:
-    """Leaders by coordinator, from its last good reply on each; unnamed ones are dropped."""
-    rows = leader_answers(view).where("ok and name <> ''")
+def masters(view: DataFrame, at: datetime | None = None, look_back: str | None = LOOK_BACK) -> DataFrame:
+    """Leaders by coordinator, from its last reply on each cluster if that is good; unnamed ones are dropped."""
+    rows = leader_answers(last_replies(view, "master", at, look_back)).where("ok and name <> ''")
     last = latest(rows, ["ord", "coordinator", "name"], ["ip", "port"], ["poll_ts"])
     host_port = addr(F.col("ip"), F.coalesce(F.col("port"), F.lit(0)))
     return last.select("ord", "coordinator", "name", host_port.alias("address"))
 
 
-def discovered_masters(view: DataFrame) -> DataFrame:
-    """The leaders that the first coordinator with a good reply lists, even if it lists few."""
-    first = leader_answers(view).where("ok").agg(F.min("ord"))
-    return masters(view).where(F.col("ord") == first.scalar()).select("name", "address")
+def discovered_masters(view: DataFrame, at: datetime | None = None, look_back: str | None = LOOK_BACK) -> DataFrame:
+    """The leaders that the first coordinator with a good last reply lists, even if it lists few."""
+    replies = written(last_replies(view, "master", at, look_back), "last-replies")
+    first = replies.where("ok").agg(F.min("ord"))
+    return masters(replies, at, None).where(F.col("ord") == first.scalar()).select("name", "address")
 
 
 def pick_leader(listed: DataFrame, name: str | None = None) -> DataFrame:
@@ -227,19 +271,14 @@ def pick_leader(listed: DataFrame, name: str | None = None) -> DataFrame:
     return listed.select("name", "address", chosen.alias("chosen"), problem.alias("problem")).unionByName(nothing)
 
 
-def listed_now(view: DataFrame) -> DataFrame:
-    """The followers in the last good refresh of each cluster's first coordinator.
-
-    Which refresh that is takes no look into the replies; only its own are then taken apart.
-    """
-    rows = followers(view).where("ok")
-    last = rows.groupBy("cluster", "ord").agg(F.max("poll_ts").alias("poll_ts"))
-    first = last.groupBy("cluster").agg(F.min_by(F.struct("ord", "poll_ts"), "ord").alias("f"))
-    return lookup_join(rows, first.select("cluster", "f.*"), ["cluster", "ord", "poll_ts"])
+def listed_now(view: DataFrame, at: datetime | None = None, look_back: str | None = LOOK_BACK) -> DataFrame:
+    """The followers that each cluster's first coordinator with a good last refresh lists."""
+    rows = followers(last_replies(view, "replicas", at, look_back)).where("ok")
+    return rows.withColumn("_first", F.min("ord").over(Window.partitionBy("cluster"))).where("ord = _first").drop("_first")
 
 
 def visible(expected: DataFrame, view: DataFrame) -> DataFrame:
-    """Expected (cluster, port) rows that the first coordinator lists as followers."""
+    """Expected (cluster, port) rows that the first coordinator with a good last refresh lists as followers."""
     return expected.join(listed_now(view).select("cluster", "port"), ["cluster", "port"], "left_semi")
 
 

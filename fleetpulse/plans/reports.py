@@ -147,8 +147,7 @@ def isolation_plan(nodes: DataFrame, leaders: DataFrame) -> DataFrame:
 
 def removal_check(nodes: DataFrame, view: DataFrame) -> DataFrame:
     """Whether each node may be removed, and why not."""
-    last = topo.latest(topo.leader_answers(view), ["cluster", "ord"], ["told", "port"], ["poll_ts"])
-    led = last.where("told").select("cluster", "port").distinct().withColumn("leads", F.lit(True))
+    led = topo.leader_answers(topo.last_replies(view, "master")).where("told").select("cluster", "port").distinct().withColumn("leads", F.lit(True))
     rows = nodes.join(led, ["cluster", "port"], "left")
     reason = (
         F.when(F.col("role_label") == topo.COORDINATOR_ROLE, "coordinator")
@@ -269,8 +268,9 @@ def registration_plan(states: DataFrame, view: DataFrame, coordinators: DataFram
     coordinator tells is skipped; there is no plan at all without new or prior coordinators.
     """
     is_new = F.col("version") == new_version
-    prior = coordinators.where(~is_new).select("ord")
-    known = topo.current_leader(view.join(prior, "ord", "left_semi"))
+    prior = coordinators.where(~is_new).select("ord", "coordinator")
+    # Who is there is known already, so nothing is too old.
+    known = topo.current_leader(view.join(prior, ["ord", "coordinator"], "left_semi"), look_back=None)
     new_ports, prior_ports = _ports(coordinators, is_new), _ports(coordinators, ~is_new)
     ready = states.where(F.col("state") == "V6Destroyed").select("cluster")
     plan = ready.join(known, "cluster", "left").select(

@@ -26,9 +26,12 @@ def time_to_synced(starts: DataFrame, polls: DataFrame, limit: str = LIMITS["syn
 
 
 def time_to_visible(starts: DataFrame, followers: DataFrame, limit: str = LIMITS["visible"]) -> DataFrame:
-    """Until a coordinator lists a node. `followers`: see `operators.topology.followers`."""
-    seen = followers.where(F.col("addr").isNotNull()).select(*NODE, F.col("poll_ts").alias("ts"))
-    return time_to(starts, seen, NODE, limit)
+    """Until the coordinator that is asked lists a node's port; of several that answered at one poll, the
+    first by `ord` is the one. `followers`: see `operators.topology.followers`."""
+    rows = with_ord(followers).where("ok")
+    first = rows.groupBy("cluster", "poll_ts").agg(F.min("ord").alias("ord"))
+    seen = rows.where(F.col("port").isNotNull()).join(first, ["cluster", "poll_ts", "ord"], "left_semi")
+    return time_to(starts, seen.select(*NODE, F.col("poll_ts").alias("ts")), NODE, limit)
 
 
 def time_to_priorities(

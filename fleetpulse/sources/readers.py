@@ -30,6 +30,20 @@ def read_commands(spark: SparkSession, path: str, stream: bool = False, **option
     return _read(spark, path, schemas.COMMAND_LOG, stream, options)
 
 
+def read_command_lines(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
+    """Commands as the plain lines that nodes print, in files under ``cluster=<cluster>/node=<node>/``.
+
+    A line says nothing but itself: node and cluster come from its path, and `ts` is the time the file
+    arrived. `seq` is null, as lines of one file have no order in a table."""
+    reader = (spark.readStream if stream else spark.read).options(recursiveFileLookup=True, **options)
+    lines = reader.text(path)
+    place = lambda name: F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=([^/]+)/", 1).alias(name)
+    return lines.select(
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ts"), F.lit(None).cast("bigint").alias("seq"),
+        place("node"), place("cluster"), F.col("value").alias("line"),
+    )
+
+
 def read_coordinator_view(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
     return _read(spark, path, schemas.COORDINATOR_VIEW, stream, options)
 
@@ -54,7 +68,9 @@ def read_states(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.schema("state string").option("multiLine", True).option("mode", "FAILFAST")
         .option("pathGlobFilter", "*.json").json(folder)
     )
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json\z", 1)
+    # The name is given as in a URL, but for its plus signs.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(name, r"(?s)^(.*)\.json\z", 1)
     return documents.select(name.alias("cluster"), "state")
 
 

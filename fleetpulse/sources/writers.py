@@ -1,8 +1,13 @@
 """Sinks: samples, state snapshots and command lines."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.operators.sizing import at_path
+from fleetpulse.streaming.running import every
+
 
 def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Write samples by metric and date.
@@ -19,6 +24,31 @@ def write_states(states: DataFrame, path: str) -> None:
     states.select("cluster", "state").write.mode("errorifexists").parquet(path)
 
 
-def tail_commands(commands: DataFrame, sink: str = "console", **options):
-    """Start printing a stream of commands line by line; returns the running query."""
-    return commands.select("line").writeStream.format(sink).options(truncate=False, **options).start()
+def write_state_files(states: DataFrame, folder: str) -> None:
+    """Write a state table as one JSON document per cluster, ``<folder>/<cluster>.json``.
+
+    Spark writes the documents, each in a folder of its own; giving them their names is one move per
+    cluster, of which a fleet has thousands, not millions."""
+    spark = states.sparkSession
+    made = f"{folder.rstrip('/')}/_made"
+    states.select("cluster", "state").repartition("cluster").write.partitionBy("cluster").json(made)
+    files, place = at_path(spark, made)
+    for found in files.globStatus(at_path(spark, f"{made}/cluster=*/part-*")[1]):
+        part = found.getPath()
+        cluster = unquote(part.getParent().getName().removeprefix("cluster="))
+        files.rename(part, at_path(spark, f"{folder.rstrip('/')}/{cluster}.json")[1])
+    files.delete(place, True)
+
+
+def write_command_lines(commands: DataFrame, path: str) -> None:
+    """Write commands as plain lines under ``cluster=<cluster>/node=<node>/``, as `read_command_lines` reads them."""
+    commands.select("cluster", "node", "line").hint("rebalance", "cluster", "node").write.partitionBy("cluster", "node").text(path)
+
+
+def tail_commands(commands: DataFrame, sink: str = "console", cadence: str | None = None, **options):
+    """Start printing a stream of commands line by line; returns the running query. With a Parquet `sink` the
+    lines are kept under the option `path`. Without a cadence it takes all there is and stops."""
+    writer = commands.select("line").writeStream.format(sink)
+    if sink == "console":
+        writer = writer.option("truncate", False)
+    return every(writer.options(**options), cadence).start()

@@ -7,6 +7,7 @@ state in two places in turn. A batch that is run again, after a crash or the los
 reads the same state as before and overwrites only its own rows: each batch counts once.
 """
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,3 +107,9 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     """The table or state after the last batch."""
     last = max(int(name.split("=")[1]) for name in folders(spark, f"{path}/done"))
     return spark.read.parquet(_state_place(path, last)).where(F.col("batch") == last).drop("batch")
+
+
+def ticks(query) -> list[dict]:
+    """The batches of a running query that took rows, as it reports them: number, start, rows."""
+    told = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+    return [{"batch": p["batchId"], "at": p["timestamp"], "rows": p["numInputRows"]} for p in told if p["numInputRows"]]

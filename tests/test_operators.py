@@ -452,3 +452,65 @@ def test_samples_are_laid_out_by_metric_and_date(spark, tmp_path):
     plan = back.where("metric = 'up' and date = DATE'2024-01-02'")._jdf.queryExecution().executedPlan().toString()
     assert rates.retain(back, "2h").count() == 1 and rates.retain(back, "2d").count() == 3
     assert "PartitionFilters: [isnotnull(metric" in plan and rows_of(rates.promote(back, "keys", ["i"]), "i", "value") == [("1", 5.0)]
+
+
+def polled(spark, rows):
+    """(minute, ord, coordinator, version, cluster, kind, ok, items) as a view."""
+    start = datetime(2024, 1, 1)
+    return spark.createDataFrame(
+        [(start + timedelta(minutes=m), o, n, v, c, k, ok, kv) for m, o, n, v, c, k, ok, kv in rows], schemas.COORDINATOR_VIEW)
+
+
+def led(minute, ord, name, cluster, port, ok=True, version=6):
+    return minute, ord, name, version, cluster, "master", ok, ["name", cluster, "ip", "h", "port", str(port)] if ok else None
+
+
+FLEET = [
+    # Removed after the second minute, in its place another; stale: not asked for ten minutes.
+    led(0, 0, "s-1", "c", 1), led(1, 0, "s-1", "c", 1), led(2, 0, "s-9", "c", 9), led(10, 2, "s-3", "c", 3),
+    # Moved from place 3 to place 1.
+    led(5, 3, "s-2", "c", 7), led(19, 1, "s-2", "c", 2), led(20, 1, "s-2", "c", 2),
+    # There, but its last reply on c is bad.
+    led(12, 4, "s-4", "c", 4), led(20, 4, "s-4", "c", 4, ok=False), led(20, 4, "s-4", "d", 44), led(20, 5, "s-5", "d", 55, version=8),
+]
+
+
+def test_coordinators_there_are_now(spark):
+    view = polled(spark, FLEET)
+    assert rows_of(topo.coordinators(view), "ord", "coordinator", "port") == [(1, "s-2", 2), (4, "s-4", 4), (5, "s-5", 5)]
+    then = datetime(2024, 1, 1, 0, 2)
+    assert rows_of(topo.coordinators(view, then), "ord", "coordinator") == [(0, "s-9")]
+    whole = rows_of(topo.coordinators(view, look_back=None), "ord", "coordinator")
+    assert whole == [(0, "s-9"), (1, "s-2"), (2, "s-3"), (4, "s-4"), (5, "s-5")]
+    seen = {(r.ord, r.coordinator): (r.from_ts.minute, r.to_ts.minute) for r in topo.validity(view).collect()}
+    assert seen[0, "s-1"] == (0, 1) and seen[3, "s-2"] == (5, 5) and seen[1, "s-2"] == (19, 20)
+
+
+def test_only_coordinators_of_now_tell_leaders(spark):
+    view = polled(spark, FLEET)
+    assert rows_of(topo.current_leader(view), "cluster", "leader_port", "told_by") == [("c", 2, 1), ("d", 44, 4)]
+    assert rows_of(topo.masters(view), "ord", "name", "address") == [(1, "c", "h:2"), (4, "d", "h:44"), (5, "d", "h:55")]
+    assert rows_of(topo.discovered_masters(view), "name", "address") == [("c", "h:2")]
+    nodes = spark.createDataFrame([("n9", "c", 9, "replica"), ("n2", "c", 2, "replica"), ("n44", "d", 44, "master")], "name string, cluster string, port bigint, role_label string")
+    assert rows_of(reports.removal_check(nodes, view), "name", "may_go") == [("n2", False), ("n44", False), ("n9", True)]
+    states = spark.createDataFrame([("c", "V6Destroyed"), ("d", "V6Destroyed"), ("e", "V6Destroyed")], "cluster string, state string")
+    plan = reports.registration_plan(states, view, topo.coordinators(view))
+    assert rows_of(plan, "cluster", "leader_port", "quorum") == [("c", 2, 2), ("d", 44, 2), ("e", None, 2)]
+
+
+def test_followers_of_the_first_good_refresh(spark):
+    def lists(minute, ord, name, port, ok=True):
+        return minute, ord, name, 6, "c", "replicas", ok, ["ip", "h", "port", str(port)] if ok else None
+
+    view = polled(spark, [lists(0, 0, "old", 1), lists(19, 0, "s-1", 2), lists(20, 0, "s-1", 0, ok=False), lists(18, 1, "s-2", 8), lists(20, 1, "s-2", 3), lists(20, 2, "s-3", 4)])
+    assert rows_of(topo.listed_now(view), "ord", "port") == [(1, 3)]
+
+
+def test_last_replies_are_found_before_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "view")
+    polled(spark, FLEET).write.parquet(path)
+    view = readers.read_coordinator_view(spark, path)
+    plan = topo.last_replies(view, "master")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "GreaterThanOrEqual(poll_ts" in plan
+    narrow = topo.coordinators(view)._jdf.queryExecution().executedPlan().toString()
+    assert "kv" not in narrow

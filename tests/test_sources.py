@@ -4,7 +4,7 @@ import pytest
 
 from fleetpulse.operators import relabel
 from fleetpulse.operators import topology as topo
-from fleetpulse.sources import driver_tables, readers
+from fleetpulse.sources import driver_tables, readers, writers
 from conftest import FOLDER
 
 TABLES = [
@@ -42,3 +42,27 @@ def test_targets_under_management(spark, tmp_path):
     assert targets.count() == 2 * managed
     assert relabel.scrape_targets(targets).where("job = 'redis-instances'").count() == topo.data_plane(
         topo.nodes(driver_tables.node_labels(spark, FOLDER))).count()
+
+
+def test_state_files(spark, tmp_path):
+    folder = str(tmp_path / "states")
+    states = spark.createDataFrame([("c1", "AllV6"), ("c 2=x", "Done")], "cluster string, state string")
+    writers.write_state_files(states, folder)
+    assert sorted(f.name for f in (tmp_path / "states").glob("*.json")) == ["c 2=x.json", "c1.json"]
+    assert sorted(map(tuple, readers.read_states(spark, folder).collect())) == [("c 2=x", "Done"), ("c1", "AllV6")]
+    (tmp_path / "states" / "broken.json").write_text("{\n \"state\": ")
+    with pytest.raises(Exception, match="broken.json|FAILFAST|Malformed"):
+        readers.read_states(spark, folder).collect()
+
+
+def test_command_lines_as_text(spark, tmp_path):
+    path, out = str(tmp_path / "lines"), str(tmp_path / "out")
+    commands = spark.createDataFrame([("c", "n1", "a b"), ("c", "n2", ""), ("d", "n1", "x")], "cluster string, node string, line string")
+    writers.write_command_lines(commands, path)
+    back = readers.read_command_lines(spark, path)
+    assert back.columns == ["ts", "seq", "node", "cluster", "line"]
+    assert sorted(map(tuple, back.select("cluster", "node", "line").collect())) == [("c", "n1", "a b"), ("c", "n2", ""), ("d", "n1", "x")]
+    assert back.where("ts IS NULL").isEmpty()
+    query = writers.tail_commands(readers.read_command_lines(spark, path, stream=True), "parquet", path=out, checkpointLocation=f"{out}-c")
+    query.awaitTermination()
+    assert sorted(r.line for r in spark.read.parquet(out).collect()) == ["", "a b", "x"]
