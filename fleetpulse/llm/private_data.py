@@ -52,23 +52,71 @@ CONTEXT = {
 AGAINST = r"(?i)\b(?:version|section|chapter|isbn|token|order|build|page|no)\b"
 LABELERS = ("pattern", "gazetteer", "context")
 ROUNDS, BELIEF, BELIEVED = 300, 20, (0.9, 0.6, 0.5)
+#: No match of any pattern is shorter.
+SHORTEST = 3
+MATCH = "struct<start:int,end:int,found:string,before:string>"
+
+
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is computed once for a row, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _before(values: Column, zero: Column, put) -> Column:
+    """For each of an array of numbers, `put` of all before it, from `zero` on.
+
+    Runs of about the root of the length are put together first, so that the work is the length times its root."""
+    total = lambda part: F.aggregate(part, zero, put)
+
+    def over_runs(runs):
+        totals = F.transform(runs, total)
+        first = _let(totals, lambda t: F.transform(t, lambda _, r: total(F.slice(t, F.lit(1), r))))
+        inside = lambda start: lambda run, r: F.transform(run, lambda _, i: put(F.get(start, r), total(F.slice(run, F.lit(1), i))))
+        return _let(first, lambda f: F.flatten(F.transform(runs, inside(f))))
+
+    def whole(x):
+        width = F.ceil(F.sqrt(F.size(x))).cast("int")
+        starts = lambda w: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / w).cast("int"))
+        runs = _let(width, lambda w: F.transform(starts(w), lambda r: F.slice(x, r * w + 1, w)))
+        return _let(runs, over_runs)
+
+    return _let(values, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(F.array().cast("array<int>")))
+
+
+def _of(name: str):
+    return lambda x: x[name]
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _matches(text: Column, pattern: str, has: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end, found)."""
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    """Leftmost non-overlapping matches as an array of (start, end, found, before); `before` is what stands
+    just before, up to `NEAR` characters: at most of `NEAR` div `SHORTEST` matches and the text between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    last = lambda c: F.right(c, F.lit(NEAR))
+
+    def pair(m, g):
+        near = last(F.concat(last(g), m))
+        return F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("found"), last(g).alias("led"), near.alias("near"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(p):
+        first = lambda i: F.greatest(i - NEAR // SHORTEST, F.lit(0))
+        near = lambda i: F.array_join(F.transform(F.slice(p, first(i) + 1, i - first(i)), lambda q: q["near"]), "")
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(has), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+        def match(at):
+            return lambda m, i: F.struct(
+                (F.get(at, i) + m["gap"]).cast("int").alias("start"), (F.get(at, i) + m["gap"] + m["size"]).cast("int").alias("end"),
+                m["found"].alias("found"), last(F.concat(near(i), m["led"])).alias("before"),
+            )
+
+        lengths = F.transform(p, lambda m: m["gap"] + m["size"])
+        return _let(_before(lengths, F.lit(0), _add), lambda at: F.transform(p, match(at)))
+
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), pair)
+    return F.when(text.rlike(has), _let(pairs, placed)).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def _digits(c: Column) -> Column:
@@ -114,13 +162,11 @@ def _gazetteer(kind: str, c: Column) -> Column:
     return F.when(c.rlike(r"^(?:\+|00)[1-9]"), 1).otherwise(0)
 
 
-def _loose(text: Column, kind: str, base: Column) -> Column:
-    """Candidates with votes, shape (0 plain, 1 with separators, 2 written around) and whether they
-    overlap a base span of any kind."""
+def _loose(matches: Column, kind: str) -> Column:
+    """Candidates of a kind with votes and shape (0 plain, 1 with separators, 2 written around)."""
 
     def judge(m):
-        c = m["found"]
-        before = F.substring(text, F.greatest(m["start"] - NEAR + 1, F.lit(1)), F.least(m["start"], F.lit(NEAR)))
+        c, before = m["found"], m["before"]
         fits = c.rlike(f"^(?:{BASE[kind].replace(chr(92) + 'G|', '')})$") & _valid(kind, c)
         votes = {
             "pattern": F.when(fits, 1).otherwise(-1),
@@ -128,13 +174,12 @@ def _loose(text: Column, kind: str, base: Column) -> Column:
             "context": F.when(before.rlike(CONTEXT[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0),
         }
         shape = F.when(c.rlike(r"[(\[](?:at|dot|\.)[)\]]"), 2).when(c.rlike(r"[\x20()]"), 1).otherwise(0)
-        taken = F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
         return F.struct(
             F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-            *[v.cast("int").alias(n) for n, v in votes.items()], shape.alias("shape"), taken.alias("taken"),
+            *[v.cast("int").alias(n) for n, v in votes.items()], shape.alias("shape"),
         )
 
-    return F.transform(_matches(text, LOOSE[kind], LOOSE_HAS[kind]), judge)
+    return F.transform(matches, judge)
 
 
 def _spans_of(text: Column) -> Column:
@@ -145,9 +190,47 @@ def _spans_of(text: Column) -> Column:
     return F.concat(*[F.transform(_base(text, k), named(k)) for k in KINDS])
 
 
+def _event(pos: Column, turn: int, starts: int, ends: int, at: Column) -> Column:
+    parts = {"pos": pos, "turn": F.lit(turn), "starts": F.lit(starts), "ends": F.lit(ends), "at": at}
+    return F.struct(*[v.cast("int").alias(n) for n, v in parts.items()])
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """`rows` with `taken` in their candidates `loose`: whether they overlap a base span of any kind.
+
+    That is so if more base spans start before a candidate's end than end by its start. Both are counted
+    in one order of all starts and ends: at one place ends come first, and then starts. Each step is a
+    column of its own, so that none is computed again for each element of another."""
+    names, nobody = rows.columns, F.lit(-1)
+    rows = rows.withColumn("_events", F.when((F.size("base") > 0) & (F.size("loose") > 0), F.array_sort(F.concat(
+        F.transform("base", lambda b: _event(b["start"], 1, 1, 0, nobody)), F.transform("base", lambda b: _event(b["end"], 0, 0, 1, nobody)),
+        F.transform("loose", lambda c, i: _event(c["start"], 1, 0, 0, 2 * i)), F.transform("loose", lambda c, i: _event(c["end"], 0, 0, 0, 2 * i + 1)),
+    ))))
+    counts = {f"_{f}": _before(F.transform("_events", _of(f)), F.lit(0), _add) for f in ("starts", "ends")}
+    rows = rows.select("*", *[v.alias(n) for n, v in counts.items()])
+    # Zipped, not looked up from inside: a column that a lambda refers to may be put there whole.
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    told = F.zip_with(F.zip_with("_events", "_starts", pair), "_ends", lambda x, ends: F.struct(
+        x["a"]["at"].alias("at"), F.when(x["a"]["at"] % 2 == 0, ends).otherwise(x["b"]).alias("n")))
+    rows = rows.withColumn("_told", F.array_sort(F.filter(told, lambda x: x["at"] >= 0)))
+    side = lambda odd: F.filter("_told", lambda x: x["at"] % 2 == odd)
+    taken = F.zip_with(side(1), side(0), lambda starts, ends: starts["n"] > ends["n"])
+    taken = F.coalesce(taken, F.transform("loose", lambda c: F.lit(False)))
+    mark = lambda c, t: F.struct(*[c[f].alias(f) for f in ("kind", "start", "end", *LABELERS, "shape")], t.alias("taken"))
+    return rows.withColumn("loose", F.zip_with("loose", taken, mark)).select(*names)
+
+
 def _judged(docs: DataFrame) -> DataFrame:
-    rows = docs.withColumn("base", _spans_of(F.col("text")))
-    return rows.withColumn("loose", F.concat(*[_loose(F.col("text"), k, F.col("base")) for k in KINDS]))
+    """`docs` with the base spans of a text and its candidates, as `base` and `loose`."""
+    return _marked(_candidates(docs, _spans_of(F.col("text")).alias("base")))
+
+
+def _candidates(docs: DataFrame, *more: Column) -> DataFrame:
+    """`docs` with `more` columns and the candidates of all kinds, as `loose`."""
+    found = [_matches(F.col("text"), LOOSE[k], LOOSE_HAS[k]).alias(f"_{k}") for k in KINDS]
+    rows = docs.select("*", *more, *found)
+    loose = F.concat(*[_loose(F.col(f"_{k}"), k) for k in KINDS])
+    return rows.select(*[c for c in rows.columns if c not in {f"_{k}" for k in KINDS}], loose.alias("loose"))
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -193,7 +276,8 @@ def classifier(rows: list[tuple[tuple[int, ...], int, int]], rounds: int = 400,
 
 def train(docs: DataFrame) -> dict[str, list[float]]:
     """The weights of each kind that has candidates, from the counts of vote patterns of all documents."""
-    votes = _judged(docs).select(F.explode("loose").alias("c")).select("c.*")
+    # Outer, as else a filter on the size of the array is added, which finds all candidates twice.
+    votes = _candidates(docs.select("text")).select(F.explode_outer("loose").alias("c")).where("c IS NOT NULL").select("c.*")
     counts = votes.groupBy("kind", *LABELERS, "shape").agg(F.count("*").alias("n")).collect()
     out = {}
     for kind in KINDS:
@@ -224,18 +308,14 @@ def _accepts(weights: dict[str, list[float]], c: Column) -> Column:
 
 def find_spans(docs: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
     """Adds `base` and `spans`, arrays of (kind, start, end) in the order of kinds, then starts."""
-    rows = _judged(docs)
     new = F.filter("loose", lambda c: ~c["taken"] & _accepts(weights, c))
     added = F.transform(new, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    every = F.concat(F.col("base"), added)
-
-    def of(kind):
-        return F.filter(every, lambda s: s["kind"] == kind)
-
+    rows = _judged(docs).withColumn("_every", F.concat("base", added))
     by_start = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-    ordered = F.concat(*[F.array_sort(F.transform(of(k), by_start)) for k in KINDS])
+    of = lambda kind: F.array_sort(F.transform(F.filter("_every", lambda s: s["kind"] == kind), by_start))
+    ordered = F.concat(*[of(k) for k in KINDS])
     spans = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.withColumn("spans", spans).drop("loose")
+    return rows.select(*docs.columns, "base", spans.alias("spans"))
 
 
 def private_data(docs: DataFrame) -> DataFrame:
@@ -253,18 +333,21 @@ def redacted(text: Column, spans: Column) -> Column:
     begins first stands for all, or the longest of them."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
 
-    def step(acc, s):
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        piece = F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], -s["less"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"),
-        )
+    def pieces(o):
+        def piece(at):
+            def one(s, i):
+                start = F.get(at, i)
+                words = F.concat(F.substring(text, start + 1, s["start"] - start), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.when(s["start"] < start, "").otherwise(words)
+
+            return one
+
+        ends = F.transform(o, lambda s: -s["less"])
+        rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+        done = _let(_before(ends, F.lit(0), lambda a, b: F.greatest(a, b)), lambda at: F.transform(o, piece(at)))
+        return F.concat(F.array_join(done, ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(order, pieces)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from conftest import FOLDER
 from fleetpulse.llm import private_data as op
@@ -89,3 +90,30 @@ def test_query_is_native(spark):
         want = plain_spans(r.text)
         assert found[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [found[r.doc_id][f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in want) for k in PLAIN]
+
+
+def test_repetitive_texts_take_time_in_proportion(spark, frame):
+    """A contact list of 20,000 addresses, and one whose candidates are not base spans, in seconds."""
+    texts = ["x@y.com " * 20_000, "mail joe (at) home (dot) org, " * 5_000, "1.2.3.4 +1 301 555 0346 4111 1111 1111 1111 " * 3_000]
+    rows = frame([(i, t) for i, t in enumerate(texts)])
+    start = time.monotonic()
+    weights = op.train(rows)
+    trained = time.monotonic()
+    found = {r.doc_id: r for r in op.find_spans(rows, weights).select("doc_id", "base", "spans").collect()}
+    assert trained - start < 60 and time.monotonic() - trained < 60
+    for i in (0, 2):
+        assert [tuple(s) for s in found[i].base] == plain_spans(texts[i])
+    assert found[0].spans == found[0].base and len(found[1].base) == 0
+    shown = op.find_spans(rows.where("doc_id = 0"), weights)
+    assert shown.select(op.redacted(shown.text, shown.spans).alias("t")).first().t == "[EMAIL] " * 20_000
+
+
+def test_overlaps_as_pairs_say(spark):
+    rng = random.Random(8)
+    spans = lambda n: [(k, s, s + rng.randint(1, 6)) for k, s in sorted((rng.choice(["email", "ip"]), rng.randrange(60)) for _ in range(n))]
+    rows = [(i, spans(rng.randrange(9)), [(*c, 1, 0, -1, 2) for c in spans(rng.randrange(9))]) for i in range(200)]
+    kind = "kind string, start int, end int"
+    df = spark.createDataFrame(rows, f"id int, base array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>, "
+                               "loose array<struct<kind:string,start:int,end:int,pattern:int,gazetteer:int,context:int,shape:int>>")
+    for r in df.select("id", "base", "loose").transform(lambda d: op._marked(d)).withColumnRenamed("loose", "marked").collect():
+        assert [m.taken for m in r.marked] == [any(b.start < m.end and m.start < b.end for b in r.base) for m in r.marked]
