@@ -27,8 +27,8 @@ def limit_of(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(f"fleetpulse.{name}", str(LIMITS[name])))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder shared by all executors, ``spark.checkpoint.dir``.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """The path of what outlasts a run, in the folder shared by all executors, ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own.
     """
@@ -38,7 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fleetpulse-")
         spark.conf.set("fleetpulse.localScratch", root)
-    path = f"{root.rstrip('/')}/fleetpulse/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/fleetpulse/{name}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
     if _MADE.get() is not None:
         _MADE.get().append(path)
     return path
