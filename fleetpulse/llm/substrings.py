@@ -6,19 +6,24 @@ document or before in the same one. Sorting every suffix would move each byte `S
 Every string of `SIZE` bytes contains an anchor, and equal strings contain the same ones, so an equal
 string is found at an anchor with as much equal text on both sides.
 
-1. The anchors' keys are range-partitioned (Spark samples the splitters) by key and text, so that a
-   key in a third of all documents is spread over many tasks. Each bucket is sorted and equal
-   neighbours are marked; a key at the border of a batch or bucket is kept too, as its equal may be
-   across. What is left are the keys found twice, and perhaps a few more.
+1. The anchors' keys are dealt by hash, sorted, and equal neighbours are marked; a key at the border of a
+   batch is kept too, as its equal may be across. A key that a sample of documents already shows in two
+   texts is known to be found twice, needs no neighbour, and is dealt by its text: so a key in a third of
+   all documents is spread over all tasks. What is left are the keys found twice, and perhaps a few more.
 2. Copies of whole texts are told by digest: the first stands for all, the others are removed whole.
    Texts that stand for themselves and hold such keys are the candidates.
 3. Only these anchors get their context: `SIZE` bytes to the right and `SIZE - KEY` to the left.
-   Contexts that are wholly equal are reduced to the earliest within a task before they are moved.
-4. Suffixes are range-partitioned by their leading `KEY` bytes. Buckets are sorted by multikey
-   quicksort (eight bytes at a time, only among suffixes that are still tied), to the right and to the
-   left. What neighbours have in common gives, for each split of `SIZE` into left and right bytes, the
-   classes of equal strings; all but the earliest of a class are found again. A key with over `CROWD`
-   contexts is not sorted in one task: its strings are dealt out one by one and aggregated.
+   Contexts that are wholly equal to an earlier one of the task are settled there, and what they cover is
+   moved as merged ranges.
+4. Suffixes are range-partitioned by their leading `KEY` bytes; the splitters come from the suffixes of a
+   sample of candidates, so nothing is computed twice. Buckets are sorted by multikey quicksort (eight bytes
+   at a time, only among suffixes that are still tied), to the right and to the left. What neighbours have
+   in common gives, for each split of `SIZE` into left and right bytes, the classes of equal strings; all
+   but the earliest of a class are found again. No class crosses the border of a bucket, as equal leading
+   bytes have one bucket. A key with over `CROWD` suffixes is not sorted in one task: its strings are dealt
+   out one by one and aggregated. Where the sample shows such a key, its suffixes are spread before that.
+
+The samples decide where rows go, never what is found.
 
 Texts are moved compressed, and told apart by a 64-bit hash.
 """
@@ -27,12 +32,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import mapped, small_batches, table, texts, written
 
 SIZE, KEY, CROWD, AT_ONCE = 100, 24, 200_000, 60_000
+#: Documents that are looked at to deal rows out, most keys and leading strings that are taken from them,
+#: times that a key must be seen to be taken for a crowd, and rows of a bucket.
+LOOKED, TAKEN, SEEN, BUCKET = 4_000, 100_000, 10, 200_000
 LEFT = SIZE - KEY
 _MIX, MASK64 = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
@@ -167,18 +176,28 @@ def found_again(right, left, n_right, n_left, before) -> tuple[np.ndarray, np.nd
 
 # ---- rows ------------------------------------------------------------------------------------------
 
-MARK = "h BIGINT, uid BIGINT, twice BOOLEAN, salt INT"
+MARK = "h BIGINT, uid BIGINT, times TINYINT"
 PLACE = "uid BIGINT, ord BIGINT, pos INT"
-SUFFIX = f"{PLACE}, lead BINARY, rest BINARY, back BINARY, lo INT, hi INT"
+SUFFIX = f"{PLACE}, lead BINARY, rest BINARY, back BINARY, lo INT, hi INT, crowd BOOLEAN"
+#: How often a key is known to occur: once in its text, more than once, or in several texts.
+ONCE, TWICE, KNOWN = 0, 1, 2
 
 
-def _marks(batch):
-    out: tuple = ([], [], [], [])
-    for text, uid, salt in zip(batch["text"].to_pylist(), batch["uid"].to_pylist(), batch["salt"].to_pylist()):
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in `known`, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _marks(batch, known):
+    out: tuple = ([], [], [])
+    for text, uid in zip(batch["text"].to_pylist(), batch["uid"].to_pylist()):
         hashes, times = np.unique(anchors(_bytes(text))[1], return_counts=True)
-        for x, v in zip(out, (hashes.view(np.int64), np.full(len(hashes), uid), times > 1, np.full(len(hashes), salt, np.int32))):
+        for x, v in zip(out, (hashes.view(np.int64), np.full(len(hashes), uid), times > 1)):
             x.append(v)
-    return {c: np.concatenate(v) for c, v in zip(("h", "uid", "twice", "salt"), out)}
+    h, uid, twice = map(np.concatenate, out)
+    return {"h": h, "uid": uid, "times": np.where(_among(h, known), KNOWN, twice).astype(np.int8)}
 
 
 def _twice(batches):
@@ -190,26 +209,26 @@ def _twice(batches):
             run = np.concatenate([[0], np.cumsum(~same)])
             mixed = np.bincount(run[1:], same & other, run[-1] + 1) > 0
             mixed[[0, -1]] = True  # may go on across the border
-            keep = mixed[run] | batch.column("twice").to_numpy(zero_copy_only=False)
+            keep = mixed[run] | (batch.column("times").to_numpy() > ONCE)
             yield pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(h[keep])], names=["uid", "h"])
 
 
-def _suffixes(batch):
-    """The suffixes at a candidate's anchors that other texts may share, or what is known to be found
-    again: the range (`lo`, `hi`) around an anchor whose context occurs before in this batch."""
+def _suffixes(batch, splitters, crowded, buckets):
+    """The suffixes at a candidate's anchors that other texts may share, each with its bucket, and what is
+    known to be found again: ranges (`lo`, `hi`) around anchors whose context occurs before in this batch."""
     import zstandard
 
     parts: list = []
     unpack = zstandard.ZstdDecompressor().decompress
     by_order = sorted(zip(*(batch[c].to_pylist() for c in ("ord", "uid", "z", "hs"))), key=lambda r: (r[0], r[1]))
-    for order, uid, z, hs in by_order:
+    for k, (order, uid, z, hs) in enumerate(by_order):
         data = np.frombuffer(unpack(z), np.uint8)
         at, hashes = anchors(data)
         at = at[np.isin(hashes, np.array(hs, np.int64).view(np.uint64))]
         again = seen_before(data, at)
         right, back, n_right, n_left = contexts(data, at)
-        parts.append((np.full(len(at), uid), np.full(len(at), order), at, again, right, back, n_right, n_left))
-    uid, order, at, again, right, back, n_right, n_left = (np.concatenate(x) for x in zip(*parts))
+        parts.append((np.full(len(at), k), np.full(len(at), uid), np.full(len(at), order), at, again, right, back, n_right, n_left))
+    doc, uid, order, at, again, right, back, n_right, n_left = (np.concatenate(x) for x in zip(*parts))
     whole = np.flatnonzero((n_right == SIZE) & (n_left == LEFT))
     if len(whole):
         rows = np.ascontiguousarray(np.concatenate([right[whole], back[whole]], axis=1)).view(f"V{SIZE + LEFT}").ravel()
@@ -218,76 +237,115 @@ def _suffixes(batch):
         here = np.arange(len(whole))
         same = (uid[whole][first] == uid[whole]) & (at[whole][first] == at[whole])
         again[whole] |= (first != here) & ~same  # a repeated row is not an earlier string
-    lead = [None if x else r[:KEY].tobytes() for x, r in zip(again, right)]
-    rest = [None if x else r[KEY:n].tobytes() for x, r, n in zip(again, right, n_right)]
-    near = [None if x else r[:n].tobytes() for x, r, n in zip(again, back, n_left)]
-    lo = [max(a - LEFT, 0) if x else None for x, a in zip(again.tolist(), at.tolist())]
-    hi = [a + SIZE if x else None for x, a in zip(again.tolist(), at.tolist())]
-    # What is settled needs no bucket of its own; a leading string spreads it evenly.
-    lead = [x if x is not None else int(u * 31 + a & MASK64).to_bytes(8, "little") for x, u, a in zip(lead, uid.tolist(), at.tolist())]
-    return {"uid": uid, "ord": order, "pos": at.astype(np.int32), "lead": lead, "rest": rest, "back": near, "lo": lo, "hi": hi}
-
-
-def _matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    # What is settled, as runs of ranges that meet; anchors ascend within a document.
+    done = np.flatnonzero(again)
+    lo, hi = np.maximum(at[done] - LEFT, 0), at[done] + SIZE
+    new = np.flatnonzero(np.concatenate([[True], (doc[done][1:] != doc[done][:-1]) | (lo[1:] > hi[:-1])])[:len(done)])
+    last = np.concatenate([new[1:], [len(done)]]).astype(np.int64)[:len(new)] - 1
+    runs, open_ = done[new], np.flatnonzero(~again)
+    leads = np.ascontiguousarray(right[open_, :KEY]).view(f"S{KEY}").ravel()
+    crowd = _among(leads, crowded)
+    spread = ((uid[open_] ^ at[open_]).view(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64) % buckets
+    bucket = np.where(crowd, spread, np.searchsorted(splitters, leads, side="right"))
+    none = [None] * len(runs)
+    return {
+        "uid": np.concatenate([uid[runs], uid[open_]]), "ord": np.concatenate([order[runs], order[open_]]),
+        "pos": np.concatenate([at[runs], at[open_]]).astype(np.int32),
+        "lead": none + [r.tobytes() for r in right[open_, :KEY]],
+        "rest": none + [r[KEY:n].tobytes() for r, n in zip(right[open_], n_right[open_])],
+        "back": none + [r[:n].tobytes() for r, n in zip(back[open_], n_left[open_])],
+        "lo": lo[new].tolist() + [None] * len(open_), "hi": hi[last].tolist() + [None] * len(open_),
+        "crowd": np.concatenate([np.zeros(len(runs), bool), crowd]),
+        "bucket": np.concatenate([uid[runs] % buckets, bucket]).astype(np.int32),
+    }
+
+
+def _matrix(parts: pa.BinaryArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of zero-padded bytes, and their sizes."""
+    ends = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset:parts.offset + len(parts) + 1]
+    flat, sizes = parts.buffers()[2], np.diff(ends).astype(np.int64)
     out = np.zeros((len(parts), width), np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    if flat is not None:
+        out[np.arange(width)[None, :] < sizes[:, None]] = np.frombuffer(flat, np.uint8)[ends[0]:ends[-1]]
     return out, sizes
 
 
-def _settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """Of suffixes with whole groups of leading bytes: (uid, lo, hi) that are found again."""
-    places = np.array([(r[1], r[0], r[2]) for r in rows], dtype=np.int64)
-    order = np.lexsort(places.T[::-1])
+def _starts(lead: pa.BinaryArray) -> np.ndarray:
+    """Where runs of equal leading strings start."""
+    rows, _ = _matrix(lead, KEY)
+    return np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[:len(rows)])
+
+
+def _settle(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of suffixes with whole groups of leading bytes: uid, lo, hi of what is found again."""
+    uid, order, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("uid", "ord", "pos"))
+    by = np.lexsort((pos, uid, order))
     # A row that is there twice is one place.
-    places = places[order]
-    new = np.concatenate([[True], (places[1:] != places[:-1]).any(axis=1)])
-    order, places = order[new], places[new]
-    right, n_right = _matrix([rows[i][3] + rows[i][4] for i in order], SIZE)
-    back, n_left = _matrix([rows[i][5] for i in order], LEFT)
-    before, after = found_again(right, back, n_right, n_left, np.arange(len(order)))
+    new = np.concatenate([[True], np.any([x[by[1:]] != x[by[:-1]] for x in (uid, order, pos)], axis=0)])
+    by = by[new]
+    lead, _ = _matrix(rows.column("lead"), KEY)
+    rest, n_rest = _matrix(rows.column("rest"), SIZE - KEY)
+    back, n_left = _matrix(rows.column("back"), LEFT)
+    before, after = found_again(
+        np.concatenate([lead, rest], axis=1)[by], back[by], n_rest[by] + KEY, n_left[by], np.arange(len(by))
+    )
     some = np.flatnonzero(after)
-    return [(int(places[i, 1]), int(places[i, 2] - before[i]), int(places[i, 2] + after[i])) for i in some]
+    at = by[some]
+    return uid[at], pos[at] - before[some], pos[at] + after[some]
 
 
 def _buckets(batches):
     """Sorted suffixes in, ranges found again out; those of a crowded key go on as they are."""
-    names = ["uid", "ord", "pos", "lead", "rest", "back", "lo", "hi"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-
-    def out(rows):
-        columns = list(zip(*rows)) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    def again(rows):
-        return [(u, None, None, None, None, None, a, b) for u, a, b in _settle(rows)] if rows else []
-
-    held: list[tuple] = []  # whole groups of equal leading strings
-    group: list[tuple] = []  # the group at hand; given out, and then left empty, once it is a crowd
-    lead, crowd = None, False
+    names = ["uid", "ord", "pos", "lead", "rest", "back", "lo", "hi", "crowd"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+
+    def settled(rows: pa.RecordBatch):
+        """Of whole groups: ranges found again, and the suffixes of crowds."""
+        starts = _starts(rows.column("lead"))
+        size = np.diff(np.append(starts, rows.num_rows))
+        size = np.repeat(size, size)
+        if (size > CROWD).any():
+            yield rows.filter(pa.array(size > CROWD))
+        rows = rows.filter(pa.array((size > 1) & (size <= CROWD)))
+        if rows.num_rows:
+            uid, lo, hi = _settle(rows)
+            own = {"uid": uid, "lo": lo, "hi": hi, "crowd": np.zeros(len(uid), bool)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[c], t) if c in own else pa.nulls(len(uid), t) for c, t in zip(names, types)], names=names
+            )
+
+    def together(parts):
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    held: list = []  # rows in order; the last group may go on
+    n, most, crowd = 0, AT_ONCE, None  # crowd: the leading string whose suffixes are given out as they come
     for batch in batches:
-        done = []
-        for row in zip(*(batch.column(c).to_pylist() for c in names)):
-            if row[7] is not None:
-                done.append((row[0], None, None, None, None, None, row[6], row[7]))
-                continue
-            if row[3] != lead:
-                held += group if len(group) > 1 else []
-                lead, group, crowd = row[3], [], False
-                if len(held) >= AT_ONCE:
-                    done += again(held)
-                    held = []
-            if crowd:
-                done.append(row)
-            else:
-                group.append(row)
-                if len(group) > CROWD:
-                    done += group
-                    group, crowd = [], True
-        if done:
-            yield out(done)
-    yield out(again(held + (group if len(group) > 1 else [])))
+        batch = batch.select(names)
+        passed = batch.column("hi").is_valid().to_numpy(zero_copy_only=False) | batch.column("crowd").to_numpy(zero_copy_only=False)
+        if crowd is not None:
+            passed |= pa.compute.equal(batch.column("lead"), crowd).fill_null(False).to_numpy(zero_copy_only=False)
+        if passed.any():
+            yield batch.filter(pa.array(passed))
+            batch = batch.filter(pa.array(~passed))
+        if not batch.num_rows:
+            continue
+        crowd = None
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            rows = together(held)
+            last = int(_starts(rows.column("lead"))[-1])
+            if last:
+                yield from settled(rows.slice(0, last))
+            rows = rows.slice(last)
+            if rows.num_rows > CROWD:
+                crowd = rows.column("lead")[0]
+                yield rows
+                rows = rows.slice(0, 0)
+            held, n = [rows] if rows.num_rows else [], rows.num_rows
+            most = n + AT_ONCE
+    if held:
+        yield from settled(together(held))
 
 
 def _strings(batch):
@@ -332,6 +390,32 @@ def _kept(batch):
     return out
 
 
+def _every(rows: DataFrame) -> int:
+    """One of how many rows is looked at."""
+    return max(rows.count() // LOOKED, 1)
+
+
+def _dealing(candidates: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Splitters between buckets, leading strings of crowds, and the number of buckets, from the
+    suffixes of some candidates."""
+    every = _every(candidates)
+    none = np.zeros(0, f"S{KEY}")
+    looked = mapped(
+        candidates.where(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0), lambda b: _suffixes(b, none, none, 1), f"{SUFFIX}, bucket INT"
+    )
+    leads = written(looked.where("lead IS NOT NULL").select("uid", "pos", "lead"), "leads")
+    seen = leads.count()
+    often = leads.groupBy("lead").count().where((F.col("count") >= SEEN) & (F.col("count") * every > CROWD))
+    crowded = np.array(sorted(bytes(r.lead) for r in often.orderBy(F.desc("count"), "lead").limit(TAKEN).collect()), f"S{KEY}")
+    some = leads.where(F.pmod(F.xxhash64("uid", "pos"), F.lit(-(-seen // TAKEN) or 1)) == 0)
+    some = np.sort(np.array([bytes(r.lead) for r in some.select("lead").collect()], f"S{KEY}"))
+    some = some[~_among(some, crowded)]
+    wide = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(-(-seen * every // BUCKET), min(wide, seen * every // 5_000), 1)
+    buckets = max(min(buckets, len(some) // SEEN), 1)
+    return np.unique(some[[len(some) * k // buckets for k in range(1, buckets)]]), crowded, buckets
+
+
 def deduplicate(docs: DataFrame, kept_bytes: bool = False) -> DataFrame:
     """Per document: `doc_id`, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs) and
     `kept_sha256`; with `kept_bytes` also `kept`, the bytes that are left.
@@ -341,14 +425,20 @@ def deduplicate(docs: DataFrame, kept_bytes: bool = False) -> DataFrame:
     the same `doc_id` and text are one document and get the same result. Other columns are ignored; an
     empty table gives no row.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = texts(docs).select(
         F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), "doc_id", "text", F.xxhash64("text").alias("uid"),
         F.sha2("text", 256).alias("digest"),
     )
-    salted = rows.select("text", "uid", F.pmod(F.xxhash64("ord"), F.lit(256)).cast("int").alias("salt"))
-    marks = mapped(salted.where(F.octet_length("text") >= SIZE), _marks, MARK)
-    dealt = marks.repartitionByRange("h", "uid", "salt").sortWithinPartitions("h", "uid")
+    long = rows.select("ord", "text", "uid").where(F.octet_length("text") >= SIZE)
+    marked = lambda some, known: mapped(some, lambda b, k=known: _marks(b, k), MARK)
+    looked = F.pmod(F.xxhash64("ord", F.octet_length("text")), F.lit(_every(docs)))
+    several = marked(long.where(looked == 0), np.zeros(0, np.int64)).groupBy("h").agg(
+        F.min("uid").alias("a"), F.max("uid").alias("b"), F.count("*").alias("n")
+    ).where("a < b").orderBy(F.desc("n"), "h").limit(TAKEN)
+    marks = marked(long, np.sort(np.array([r.h for r in several.collect()], np.int64)))
+    dealt = marks.repartition(F.when(F.col("times") == KNOWN, F.col("uid")).otherwise(F.col("h"))).sortWithinPartitions("h", "uid")
     keys = written(dealt.mapInArrow(_twice, "uid BIGINT, h BIGINT"), "keys")
 
     firsts = rows.groupBy("uid", "digest").agg(F.min("ord").alias("first"))
@@ -365,7 +455,9 @@ def deduplicate(docs: DataFrame, kept_bytes: bool = False) -> DataFrame:
     candidates = written(
         packed.join(holders.hint("shuffle_hash"), "uid").where("ord = first").select("ord", "uid", "z", "hs"), "candidates"
     )
-    suffixes = mapped(candidates, _suffixes, SUFFIX).repartitionByRange("lead").sortWithinPartitions("lead")
+    splitters, crowded, buckets = _dealing(candidates)
+    dealt = mapped(candidates, lambda b: _suffixes(b, splitters, crowded, buckets), f"{SUFFIX}, bucket INT")
+    suffixes = dealt.repartitionById(buckets, "bucket").drop("bucket").sortWithinPartitions("lead")
     found = written(suffixes.mapInArrow(_buckets, SUFFIX), "found")
     again = found.where("hi IS NOT NULL").select("uid", "lo", "hi").union(_crowds(found.where("hi IS NULL")))
     spans = again.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))

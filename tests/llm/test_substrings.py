@@ -47,8 +47,13 @@ def made(n=90):
     return ODD + docs
 
 
-@pytest.mark.parametrize("crowd,at_once", [(200_000, 60_000), (3, 60_000), (200_000, 10)])
-def test_brute_force(spark, frame, monkeypatch, crowd, at_once):
+@pytest.mark.parametrize("crowd,at_once,looked,seen", [
+    (200_000, 60_000, 4_000, 10), (3, 60_000, 12, 10), (200_000, 10, 12, 1), (3, 10, 4_000, 2), (5, 7, 40, 2), (200_000, 60_000, 0, 10),
+])
+def test_brute_force(spark, frame, monkeypatch, crowd, at_once, looked, seen):
+    """The sample sees all documents, some or next to none; crowds are known before or met in a bucket."""
+    for name, value in (("LOOKED", looked or 1), ("SEEN", seen), ("BUCKET", 50), ("TAKEN", 100_000 if looked else 1)):
+        monkeypatch.setattr(op, name, value)
     monkeypatch.setattr(op, "CROWD", crowd)
     monkeypatch.setattr(op, "AT_ONCE", at_once)
     monkeypatch.setattr(op, "_buckets", _with(crowd, at_once))
@@ -71,6 +76,30 @@ def _with(crowd, at_once):
     return step
 
 
+def test_batches_cut_anywhere_give_the_same_ranges():
+    """Sorted suffixes in batches of any size, with settled rows and crowds among them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    leads = sorted(rng.choice([b"%024d" % i for i in range(40)], 500).tolist() + [b"c" * 24] * 90)
+    rows = [(int(rng.integers(9)), i, int(rng.integers(200, 999)), x, b"r" * 76, b"l" * 76, None, None, False) for i, x in enumerate(leads)]
+    rows = [(7, 0, 0, None, None, None, 5, 105, False)] * 3 + rows
+    names = ["uid", "ord", "pos", "lead", "rest", "back", "lo", "hi", "crowd"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    seen = set()
+    for size in (1, 7, 64, 1000):
+        for at_once in (5, 100, 60_000):
+            op.CROWD, op.AT_ONCE, kept = 50, at_once, (op.CROWD, op.AT_ONCE)
+            try:
+                got = [r for b in op._buckets(batch.slice(k, size) for k in range(0, len(rows), size)) for r in b.to_pylist()]
+            finally:
+                op.CROWD, op.AT_ONCE = kept
+            assert sum(r["lead"] == b"c" * 24 for r in got) == 90
+            seen.add(tuple(sorted((r["uid"], r["pos"] or -1, r["lead"] or b"", r["lo"] or -1, r["hi"] or -1) for r in got)))
+    assert len(seen) == 1
+
+
 def test_kept_bytes(spark, frame):
     docs = made(30)
     for r in op.deduplicate(frame(docs), kept_bytes=True).collect():
