@@ -9,8 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.tables import mapped, scratch_path, table, texts
+from fleetpulse.llm.tables import mapped, table, texts
 from fleetpulse.llm.tokens import encoder, public_path, version_of
+from fleetpulse.operators.sizing import shared_path
 
 CACHE = "digest BINARY, n_tokens BIGINT"
 LIMIT = 512
@@ -65,7 +66,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, normalise=None) ->
 
 
 def op1_token_counts(spark, folder: str) -> DataFrame:
+    """The cache is one folder for all runs that share `spark.checkpoint.dir`."""
     counts = count_tokens(
-        table(spark, folder, "documents"), scratch_path(spark, "token-cache"), public_path("byte_bpe_50k.json")
+        table(spark, folder, "documents"), shared_path(spark, "token-cache"), public_path("byte_bpe_50k.json")
     )
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

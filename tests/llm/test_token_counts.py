@@ -60,3 +60,9 @@ def test_query(spark):
     found = op.op1_token_counts(spark, FOLDER).collect()
     assert {r.doc_id: r.n_tokens for r in found} == want and len(found) == len(want)
     assert all(r.over_limit == (r.n_tokens > 512) for r in found)
+
+
+def test_a_second_run_of_the_query_encodes_nothing(spark, monkeypatch):
+    want = sorted(map(tuple, op.op1_token_counts(spark, FOLDER).collect()))
+    monkeypatch.setattr(op, "mapped", lambda rows, each, schema: spark.createDataFrame([], schema) if not rows.count() else 1 / 0)
+    assert sorted(map(tuple, op.op1_token_counts(spark, FOLDER).collect())) == want
