@@ -3,13 +3,14 @@
 The *text* view sees the shapes of words (runs of lower and upper case letters and digits as one sign
 each, other characters as they are) and how much a text repeats itself. The *page* view sees what a
 crawl knows without reading: source, language, length, and the layout of lines. Each is a logistic
-model. Both are fitted on labelled documents; then, over rounds, each labels the documents of an
-unlabelled pool that it is most sure of, and the other is fitted again with them. At the end each
+model. Both are fitted on labelled documents; then, over rounds, each labels the unlabelled documents
+that it is most sure of, and the other is fitted again with them. At the end each
 view's score is calibrated on labelled documents that no fit has seen, and a logistic combination of
 both scores every document.
 
-Labelled documents and pool are bounded samples (`SAMPLE`, `POOL`); scoring covers all documents, in
-one pass without a shuffle.
+Labelled documents are a bounded sample (`SAMPLE`). The views of all documents are computed once and
+written; each round scores every unlabelled one of them in Spark and takes the `EACH` surest of a view,
+in the proportion of the labels. Only these, and the labelled sample, reach the driver.
 """
 
 import re
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.tables import bounded_sample, mapped, small_batches, table
+from fleetpulse.llm.tables import bounded_sample, mapped, small_batches, table, written
 
-SAMPLE, POOL, ROUNDS, SURE, MOST_LOST, PLACES, SEED = 4000, 2000, 4, 0.1, 0.005, 128, 5
+SAMPLE, EACH, ROUNDS, SURE, MOST_LOST, PLACES = 4000, 125, 4, 0.1, 0.005, 128
 PAGE = ("source", "lang")
 _RUNS = [(re.compile(p), s) for p, s in (("[^\\W\\d_A-Z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), (r"(.)\1+", r"\1"))]
 _SHAPES: dict = {}
@@ -102,31 +103,27 @@ def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: list[np.ndarray], good: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS) -> dict:
-    """Weights of both views, of their combination, and the threshold, from two views of labelled rows
-    and of a pool. Every third labelled row is kept for calibration.
+def co_train(views: list[np.ndarray], good: np.ndarray, surest, rounds: int = ROUNDS) -> dict:
+    """Weights of both views, of their combination, and the threshold, from two views of labelled rows.
+    Every third labelled row is kept for calibration.
 
-    In a round each view gives its surest pool rows, in the proportion of the labels, to the other."""
+    `surest(weights, share)` gives, for each view, what it labels for the other in a round: the rows of
+    the other view and their labels. A document is given once."""
     hold = np.arange(len(good)) % 3 == 2
     fit = ~hold
-    left, given = np.ones(len(pools[0]), bool), [[], []]  # (row, label) that a view has got
+    share = good[fit].mean()
+    given: list = [[], []]  # (rows, labels) that a view has got
 
     def fitted(v: int) -> np.ndarray:
-        rows = [views[v][fit]] + [pools[v][[r for r, _ in given[v]]]] if given[v] else [views[v][fit]]
-        y = np.concatenate([good[fit], [label for _, label in given[v]]])
-        return logistic(np.concatenate(rows), y, np.concatenate([np.ones(fit.sum()), np.full(len(given[v]), 0.5)]))
+        rows = np.concatenate([views[v][fit], *[r for r, _ in given[v]]])
+        y = np.concatenate([good[fit], *[label for _, label in given[v]]])
+        return logistic(rows, y, np.where(np.arange(len(y)) < fit.sum(), 1.0, 0.5))
 
     weights = [fitted(0), fitted(1)]
-    each = max(1, len(left) // (4 * max(rounds, 1)))
-    for _ in range(rounds if len(left) else 0):
-        for v in (0, 1):
-            free = np.flatnonzero(left)
-            p = _sigmoid(_raw(weights[v], pools[v][free]))
-            sure = [(free[i], float(p[i] >= 0.5)) for i in np.argsort(np.minimum(p, 1 - p)) if min(p[i], 1 - p[i]) <= SURE]
-            share = good[fit].mean()
-            picked = [r for r in sure if r[1]][: round(each * share)] + [r for r in sure if not r[1]][: round(each * (1 - share))]
-            left[[r for r, _ in picked]] = False
-            given[1 - v] += picked
+    for _ in range(rounds):
+        for v, (rows, labels) in enumerate(surest(weights, share)):
+            if len(labels):
+                given[1 - v].append((rows, labels))
         weights = [fitted(0), fitted(1)]
     held = np.stack([_raw(w, x[hold]) for w, x in zip(weights, views)], axis=1)
     scales = [logistic(held[:, v:v + 1], good[hold], np.ones(hold.sum()), 0.01) for v in (0, 1)]
@@ -156,60 +153,98 @@ def _views(batch) -> list[np.ndarray]:
     return [np.array(found[0]), np.array(found[1])]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> dict | None:
-    """The model from at most `sample` labelled documents (`doc_id`, `quality`: 1 good, 0 bad) and at
-    most `pool` others. Labels that are null or contradict each other for a `doc_id` are left out.
-    None if a class has under 10 labelled documents."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(
-        F.min("quality").alias("good"), F.max("quality").alias("most")
-    ).where("good = most").select("id", F.col("good").cast("int"))
-    some = bounded_sample(known, sample, "id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL")
-    others = bounded_sample(ids.join(known, "id", "left_anti"), pool, "id").select("id", F.lit(None).cast("int").alias("good"))
-    chosen = F.broadcast(some.union(others))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *_page(docs)).join(
-        chosen, F.col("doc_id") == F.col("id")
-    )
+def known_labels(labels: DataFrame) -> DataFrame:
+    """`id` and `good` of documents whose labels are there and agree."""
+    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id"))
+    return rows.agg(F.min("quality").alias("good"), F.max("quality").alias("most")).where("good = most").select("id", F.col("good").cast("int"))
+
+
+def viewed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`doc_id`, both views (`a`, `b`, packed) and `good` of every document, written once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *_page(docs))
 
     def each(batch):
         views = [v.astype(np.float32) for v in _views(batch)]
-        return {"doc_id": batch["doc_id"], "good": batch["good"]} | {n: [r.tobytes() for r in v] for n, v in zip(("a", "b"), views)}
+        return {"doc_id": batch["doc_id"]} | {n: [r.tobytes() for r in v] for n, v in zip("ab", views)}
+
+    made = mapped(rows, each, "doc_id BIGINT, a BINARY, b BINARY")
+    # Rows without an id have no label; their views deal them out.
+    key = F.coalesce("doc_id", F.xxhash64("a", "b"))
+    found = made.join(known_labels(labels).hint("shuffle_hash"), key == F.col("id"), "left")
+    return written(found.select("doc_id", "a", "b", F.when(F.col("doc_id").isNotNull(), F.col("good")).alias("good")), "views")
+
+
+def _matrix(packed, v: int) -> np.ndarray:
+    width = (PLACES + 3, PLACES)[v]
+    return np.frombuffer(b"".join(packed), np.float32).reshape(-1, width).astype(float)
 
-    made = mapped(rows.select("doc_id", "text", *PAGE, "good"), each, "doc_id BIGINT, good INT, a BINARY, b BINARY")
-    found = made.orderBy(F.xxhash64("doc_id"), "doc_id", "a").limit(sample + pool).collect()
-    matrix = lambda rows, n, width: np.array([np.frombuffer(r[n], np.float32) for r in rows], float).reshape(-1, width)
-    labelled, free = [r for r in found if r.good is not None], [r for r in found if r.good is None]
+
+def train(views: DataFrame, sample: int = SAMPLE, each: int = EACH) -> dict | None:
+    """The model from at most `sample` labelled rows of `viewed`; each view gives the other at most
+    `each` pseudo-labels a round, the surest of all unlabelled rows. Labels that are null or contradict
+    each other for a `doc_id` are left out. None if a class has under 10 labelled documents."""
+    labelled = bounded_sample(views.where("good IS NOT NULL"), sample, "doc_id", "a").collect()
     good = np.array([float(r.good == 1) for r in labelled])
     if min(good.sum(), len(good) - good.sum()) < 10:
         return None
-    widths = PLACES + 3, PLACES
-    return co_train([matrix(labelled, n, w) for n, w in zip("ab", widths)], good, [matrix(free, n, w) for n, w in zip("ab", widths)])
-
-
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
+    free = views.where("good IS NULL AND doc_id IS NOT NULL")
+    taken: set[int] = set()
+
+    def surest(weights, share):
+        shared = views.sparkSession.sparkContext.broadcast(weights)
+
+        def scores(batch):
+            raw = [_sigmoid(_raw(w, _matrix(batch[n].to_pylist(), v))) for v, (n, w) in enumerate(zip("ab", shared.value))]
+            return {"doc_id": batch["doc_id"], "p": raw[0], "q": raw[1]}
+
+        scored = mapped(free, scores, "doc_id BIGINT, p DOUBLE, q DOUBLE").where(~F.col("doc_id").isin(sorted(taken)))
+        picked: list = [[], []]
+        sides = [(v, label, n) for v in (0, 1) for label, n in ((1.0, round(each * share)), (0.0, round(each * (1 - share))))]
+        for v, label, n in sides:
+            doubt = (1 - F.col("pq"[v])) if label else F.col("pq"[v])
+            top = scored.select("doc_id", doubt.alias("doubt")).where(F.col("doubt") <= SURE)
+            # What the other side takes before is passed over, so as many more are asked for.
+            for r in top.groupBy("doc_id").agg(F.min("doubt").alias("doubt")).orderBy("doubt", F.xxhash64("doc_id")).limit(n + 2 * each).collect():
+                if n and r.doc_id not in taken:
+                    taken.add(r.doc_id)
+                    picked[v].append((r.doc_id, label))
+                    n -= 1
+        of = dict(picked[0]) | dict(picked[1])
+        rows = {r.doc_id: r for r in free.where(F.col("doc_id").isin(sorted(of))).groupBy("doc_id").agg(
+            F.min(F.struct("a", "b")).alias("x")).select("doc_id", "x.*").collect()} if of else {}
+        return [
+            (_matrix([rows[i]["ba"[v]] for i, _ in picked[v]], 1 - v), np.array([label for _, label in picked[v]])) for v in (0, 1)
+        ]
+
+    return co_train([_matrix([r[n] for r in labelled], v) for v, n in enumerate("ab")], good, surest)
+
+
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
     """`doc_id`, `score` (0 to 1, higher: better) and `kept` of every document.
 
     Null text counts as empty, and missing or null `source` and `lang` as values of their own. Rows
     with a null or repeated `doc_id` are each scored; other columns are ignored; an empty table gives
     no row. Without enough labels the score is null and all are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, pool))
+    views = viewed(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(train(views, sample, each))
 
-    def each(batch):
+    def scored(batch):
         model = shared.value
-        found = None if model is None else score(model, _views(batch))
+        n = len(batch["doc_id"])
+        found = None if model is None else score(model, [_matrix(batch[c].to_pylist(), v) for v, c in enumerate("ab")])
         return {
-            "doc_id": batch["doc_id"], "score": [None] * len(batch["doc_id"]) if found is None else found,
-            "kept": [True] * len(batch["doc_id"]) if found is None else found >= model["threshold"],
+            "doc_id": batch["doc_id"], "score": [None] * n if found is None else found,
+            "kept": [True] * n if found is None else found >= model["threshold"],
         }
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_page(docs))
-    return mapped(rows, each, "doc_id BIGINT, score DOUBLE, kept BOOLEAN")
+    return mapped(views, scored, "doc_id BIGINT, score DOUBLE, kept BOOLEAN")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
-    """The rows of `docs` that `quality` keeps, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, pool))
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, each: int = EACH) -> DataFrame:
+    """The rows of `docs` that `quality` keeps, with all their columns; null and empty texts are judged
+    as empty, and all rows stay where there are not enough labels."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(viewed(docs, labels), sample, each))
     small_batches(docs.sparkSession)
     page = [c if c in docs.columns else None for c in PAGE]
 
@@ -223,7 +258,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: in
             own = {"text": batch.column("text")} | {
                 n: batch.column(c).cast(pa.string()) if c else nothing for n, c in zip(PAGE, page)
             }
-            yield batch.filter(pa.array(score(model, _views(own)) >= model["threshold"]))
+            views = [v.astype(np.float32).astype(float) for v in _views(own)]  # as they are written
+            yield batch.filter(pa.array(score(model, views) >= model["threshold"]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -40,7 +40,18 @@ def test_each_view_teaches_the_other():
     a, b, good = rows(300, 0)
     pa, pb, _ = rows(600, 1)
     ta, tb, truth = rows(300, 1)
-    taught, alone = op.co_train([a, b], good, [pa, pb]), op.co_train([a, b], good, [pa[:0], pb[:0]])
+    left = np.ones(len(pa), bool)
+
+    def surest(weights, share):
+        out = []
+        for v in (0, 1):
+            p = op._sigmoid(op._raw(weights[v], (pa, pb)[v]))
+            picked = [i for i in np.argsort(np.minimum(p, 1 - p)) if left[i] and min(p[i], 1 - p[i]) <= op.SURE][:37]
+            left[picked] = False
+            out.append(((pb, pa)[v][picked], (p[picked] >= 0.5).astype(float)))
+        return out
+
+    taught, alone = op.co_train([a, b], good, surest), op.co_train([a, b], good, surest, 0)
     right = lambda m: ((op._raw(m["weights"][1], tb) > 0) == truth).mean()
     assert right(taught) > 0.95 > right(alone)
 
@@ -54,6 +65,33 @@ def test_held_out_documents(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_pseudo_labels_are_the_surest_of_all_unlabelled(spark, monkeypatch):
+    """What a view gives to the other, against a sort of the whole table on the driver."""
+    labels = table(spark, "/root/testdata/sf0.01", "labels").where("doc_id % 3 = 0")
+    views = op.viewed(table(spark, "/root/testdata/sf0.01", "documents"), labels)
+    rows = {r.doc_id: r for r in views.where("good IS NULL").collect()}
+    seen = []
+
+    def spy(own, good, surest):
+        weights = [op.logistic(x, good, np.ones(len(good))) for x in own]
+        for _ in range(2):
+            seen.append((weights, good.mean(), surest(weights, good.mean())))
+
+    monkeypatch.setattr(op, "co_train", spy)
+    op.train(views, each=40)
+    ids, taken = sorted(rows), set()
+    for weights, share, got in seen:
+        for v in (0, 1):
+            p = op._sigmoid(op._raw(weights[v], op._matrix([rows[i]["ab"[v]] for i in ids], v)))
+            want = []
+            for label, n in ((1.0, round(40 * share)), (0.0, round(40 * (1 - share)))):
+                doubt = {i: 1 - x if label else x for i, x in zip(ids, p) if i not in taken}
+                sure = sorted((d, i) for i, d in doubt.items() if d <= op.SURE)[:n]
+                taken |= {i for _, i in sure}
+                want += [label] * len(sure)
+            assert want and list(got[v][1]) == want and got[v][0].shape == (len(want), (op.PLACES, op.PLACES + 3)[v])
+
+
 def test_odd_rows(spark, frame):
     labels = table(spark, FOLDER, "labels").select("doc_id", "quality").unionAll(
         spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1)], "doc_id BIGINT, quality INT"))
@@ -69,5 +107,14 @@ def test_odd_rows(spark, frame):
 
 
 def test_query(spark):
-    found = op.op8_quality(spark, FOLDER)
-    assert found.count() == table(spark, FOLDER, "documents").count()
+    """The scores against the model applied to every document on the driver."""
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    model = op.train(op.viewed(docs, labels))
+    want = {}
+    for r in docs.collect():
+        views = [op.text_view(r.text or ""), op.page_view(r.text or "", [r.source, r.lang])]
+        want[r.doc_id] = op.score(model, [x[None].astype(np.float32).astype(float) for x in views])[0]
+    found = op.op8_quality(spark, FOLDER).collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.kept == (r.score >= model["threshold"])
