@@ -8,7 +8,7 @@ string is found at an anchor with as much equal text on both sides.
 
 1. The anchors' keys are dealt by hash, sorted, and equal neighbours are marked; a key at the border of a
    batch is kept too, as its equal may be across. A key that a sample of documents already shows in two
-   texts is known to be found twice, needs no neighbour, and is dealt by its text: so a key in a third of
+   texts is known to be found twice, needs no neighbour, and is dealt by key and text: so a key in a third of
    all documents is spread over all tasks. What is left are the keys found twice, and perhaps a few more.
 2. Copies of whole texts are told by digest: the first stands for all, the others are removed whole.
    Texts that stand for themselves and hold such keys are the candidates.
@@ -192,7 +192,8 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _marks(batch, known):
     out: tuple = ([], [], [])
-    for text, uid in zip(batch["text"].to_pylist(), batch["uid"].to_pylist()):
+    # Copies in a batch have the same rows.
+    for uid, text in dict(zip(batch["uid"].to_pylist(), batch["text"].to_pylist())).items():
         hashes, times = np.unique(anchors(_bytes(text))[1], return_counts=True)
         for x, v in zip(out, (hashes.view(np.int64), np.full(len(hashes), uid), times > 1)):
             x.append(v)
@@ -438,7 +439,7 @@ def deduplicate(docs: DataFrame, kept_bytes: bool = False) -> DataFrame:
         F.min("uid").alias("a"), F.max("uid").alias("b"), F.count("*").alias("n")
     ).where("a < b").orderBy(F.desc("n"), "h").limit(TAKEN)
     marks = marked(long, np.sort(np.array([r.h for r in several.collect()], np.int64)))
-    dealt = marks.repartition(F.when(F.col("times") == KNOWN, F.col("uid")).otherwise(F.col("h"))).sortWithinPartitions("h", "uid")
+    dealt = marks.repartition(F.when(F.col("times") == KNOWN, F.xxhash64("uid", "h")).otherwise(F.col("h"))).sortWithinPartitions("h", "uid")
     keys = written(dealt.mapInArrow(_twice, "uid BIGINT, h BIGINT"), "keys")
 
     firsts = rows.groupBy("uid", "digest").agg(F.min("ord").alias("first"))
