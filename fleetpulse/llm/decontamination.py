@@ -2,25 +2,33 @@
 
 Documents and items are normalised alike, character by character, so offsets in the normalised text
 are offsets in the original. Every run of `words` consecutive words of an item is a pattern; the
-automaton finds all of them in one scan of a document. Items are gathered in blocks of at most
-`BLOCK_BYTES` of text; a set beyond one block is scanned block by block, with the hits so far
-written in between.
+automaton finds all of them in one scan of a document. Its symbols are word numbers, written as one
+character each, so a pattern has at most `words` states, and an automaton is bounded by the words
+of its items: those of a set beyond `BLOCK_WORDS` are dealt to blocks (a long item in pieces that share
+`words` - 1 words), each block is scanned by itself and writes only the texts with hits, and a last
+scan puts the hits of all blocks together.
 """
 
-import hashlib
+import uuid
+from functools import reduce
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.tables import hex_digest, mapped, table, texts, written
+from fleetpulse.operators.sizing import lookup_join
 
 WORDS = 13
-BLOCK_BYTES = 16_000_000
+#: Most words of the items of one automaton, which takes about 700 bytes a word while it is built and 500 after.
+BLOCK_WORDS = 200_000
+#: Most words of a piece of an item, beyond which a block is more uneven.
+PIECE = 4096
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest is a space.
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _AUTOMATA: dict = {}
 FOUND = "doc_id BIGINT, n_words BIGINT, n_hit BIGINT, items ARRAY<BIGINT>, spans ARRAY<STRUCT<start: INT, end: INT>>"
-HITS = "hits ARRAY<STRUCT<first: INT, after: INT>>, items ARRAY<BIGINT>"
+HITS = "digest STRING, hits ARRAY<STRUCT<first: INT, after: INT>>, items ARRAY<BIGINT>"
 
 
 def normalised(text: str) -> str:
@@ -31,46 +39,46 @@ def words_of(text: str) -> list[str]:
     return [w for w in normalised(text).split(" ") if w]
 
 
-def windows(words: list[str], size: int) -> set[tuple[str, ...]]:
-    """All windows of an item; one of fewer words, but not none, is one window."""
-    return {tuple(words[i:i + size]) for i in range(max(len(words) - size, 0) + 1)} if words else set()
+def automaton(key: str, pieces: list[tuple[int, str]], size: int):
+    """The characters of the words, and the automaton; a pattern's value is its number of words and its items.
 
-
-def automaton(items: list[tuple[int, str]], size: int):
-    """Patterns are words with a space around each; a pattern's value is its number of words and its items."""
+    `pieces` are of one block, named by `key`; the last block's automaton is kept for further batches."""
     import ahocorasick
 
-    key = hashlib.sha256(repr((size, items)).encode()).digest()
     if key not in _AUTOMATA:
-        owners: dict = {}
-        for item, text in items:
-            for window in windows(words_of(text), size):
-                owners.setdefault(window, set()).add(item)
-        found = ahocorasick.Automaton()
-        for window, ids in owners.items():
-            found.add_word(f" {' '.join(window)} ", (len(window), ids))
-        if owners:
-            found.make_automaton()
         _AUTOMATA.clear()
-        _AUTOMATA[key] = found if owners else None
+        symbols: dict[str, str] = {}
+        owners: dict[str, tuple] = {}
+        for item, text in pieces:
+            words = text.split(" ")
+            line = "".join(symbols.setdefault(w, _symbol(len(symbols))) for w in words)
+            for i in range(max(len(line) - size, 0) + 1):
+                ids = owners.setdefault(line[i:i + size], ())
+                if not ids or ids[-1] != item:  # equal items follow each other
+                    owners[line[i:i + size]] = (*ids, item)
+        found = ahocorasick.Automaton()
+        while owners:
+            window, ids = owners.popitem()
+            found.add_word(window, (len(window), ids))
+        found.make_automaton()
+        _AUTOMATA[key] = symbols, found
     return _AUTOMATA[key]
 
 
-def scan(words: list[str], found) -> tuple[list[tuple[int, int]], set]:
+def _symbol(n: int) -> str:
+    """The character of the n-th word: none is zero, which stands for words of no item, or a surrogate."""
+    return chr(n + 1 if n + 1 < 0xD800 else n + 0x801)
+
+
+def scan(words: list[str], known: tuple | None) -> tuple[list[tuple[int, int]], set]:
     """Word ranges [first, after) that patterns cover, merged, and the items that occur."""
-    if found is None or not words:
-        return [], set()
-    matches = list(found.iter(f" {' '.join(words)} "))
-    if not matches:
+    if known is None:
         return [], set()
-    at, end = {}, 0
-    for i, w in enumerate(words):
-        end += len(w) + 1
-        at[end] = i + 1
+    symbols, found = known
     ranges, items = [], set()
-    for last, (n, ids) in matches:
-        ranges.append((at[last] - n, at[last]))
-        items |= ids
+    for last, (n, ids) in found.iter("".join(map(symbols.get, words, repeat("\0")))):
+        ranges.append((last + 1 - n, last + 1))
+        items.update(ids)
     return merged(ranges), items
 
 
@@ -84,14 +92,40 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(items: DataFrame):
-    """How many blocks of bounded size there are, and the items of each, gathered one block at a time."""
-    items = items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-size // BLOCK_BYTES) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    gather = lambda b: sorted((-1 if i is None else i, t) for i, t in items.where(part == b).distinct().collect())
-    return n, (gather(b) for b in range(n))
+def _pieces(items: DataFrame, size: int) -> DataFrame:
+    """Pieces of the items, `item`, `words` (normalised, with one space between) and their number `n`: each
+    window is whole in a piece."""
+
+    def cut(batch):
+        out: dict = {"item": [], "words": [], "n": []}
+        for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist()):
+            words = words_of(text)
+            longest = max(PIECE, 2 * size)
+            for i in range(0, max(len(words) - size, 0) + 1 if words else 0, longest - size + 1):
+                part = words[i:i + longest]
+                for c, v in zip(out, (item, " ".join(part), len(part))):
+                    out[c].append(v)
+        return out
+
+    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    return mapped(items, cut, "item BIGINT, words STRING, n BIGINT").distinct()
+
+
+def blocks(items: DataFrame, size: int = WORDS):
+    """The items' pieces in lists of at most `BLOCK_WORDS` words, gathered one part of the table at a time."""
+    pieces = written(_pieces(items, size), "pieces")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = 1 if total <= BLOCK_WORDS else -(-2 * total // BLOCK_WORDS)
+    for part in range(parts):
+        block, words = [], 0
+        for r in sorted(pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part).collect()):
+            if block and words + r.n > BLOCK_WORDS:
+                yield block
+                block, words = [], 0
+            block.append((r.item, r.words))
+            words += r.n
+        if block:
+            yield block
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WORDS, keep_text: bool = False) -> DataFrame:
@@ -104,33 +138,61 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WORDS, keep_tex
     `doc_id` are each scanned; other columns are ignored; an empty table of items gives no hits.
     """
     sc = docs.sparkSession.sparkContext
-    none = F.array().cast("array<struct<first:int,after:int>>"), F.array().cast("array<bigint>")
-    state = texts(docs, none[0].alias("hits"), none[1].alias("items"))
-    n, blocks = _blocks(items)
-    for k, block in enumerate(blocks):
-        if k:
-            state = written(state, "hits")
-        last = k == n - 1
-
-        def find(batch, shared=sc.broadcast(block), last=last):
-            found = automaton(shared.value, size)
-            out = {c: [] for c in ("hits", "items", "n_words", "n_hit", "spans")} | {c: batch[c] for c in ("doc_id", "text")}
-            for text, hits, items in zip(*(batch[c].to_pylist() for c in ("text", "hits", "items"))):
-                plain = normalised(text)
-                words = [w for w in plain.split(" ") if w]
-                more, ids = scan(words, found)
-                hits = merged([(h["first"], h["after"]) for h in hits] + more)
-                out["items"].append(sorted(ids.union(items)))
-                if last:
-                    out["n_words"].append(len(words))
-                    out["n_hit"].append(sum(b - a for a, b in hits))
-                    out["spans"].append(_spans(plain, words, hits) if hits else [])
-                else:
-                    out["hits"].append([{"first": a, "after": b} for a, b in hits])
-            return out
-
-        state = mapped(state, find, FOUND + ", text STRING" * keep_text if last else f"doc_id BIGINT, text STRING, {HITS}")
-    return state
+    of_text = texts(docs)
+    ahead = blocks(items, size)
+    block, after = next(ahead, None), next(ahead, None)
+    if after is None:
+        return _told(of_text, size, block and sc.broadcast((uuid.uuid4().hex, block)), keep_text)
+    of_text = of_text.withColumn("digest", F.sha2("text", 256))
+    parts = []
+    while block:
+        shared = sc.broadcast((uuid.uuid4().hex, block))
+        parts.append(written(_hits(of_text, size, shared), "hits"))
+        shared.unpersist()
+        block, after = after, next(ahead, None)
+    rows = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(
+        F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    return _told(lookup_join(of_text, rows, "digest", "left").drop("digest"), size, None, keep_text)
+
+
+def _hits(of_text: DataFrame, size: int, shared) -> DataFrame:
+    """The hits of one block in each text that has some, equal texts once."""
+
+    def find(batch):
+        known = automaton(*shared.value, size)
+        out: dict = {"digest": [], "hits": [], "items": []}
+        for digest, text in zip(batch["digest"].to_pylist(), batch["text"].to_pylist()):
+            hits, ids = scan(words_of(text), known)
+            if hits:
+                for c, v in zip(out, (digest, [{"first": a, "after": b} for a, b in hits], sorted(ids))):
+                    out[c].append(v)
+        return out
+
+    return mapped(of_text.select("digest", "text"), find, HITS).dropDuplicates(["digest"])
+
+
+def _told(of_text: DataFrame, size: int, shared, keep_text: bool) -> DataFrame:
+    """What is told of each document, from the automaton of the only block, or from the columns `hits` and `items`."""
+
+    def find(batch):
+        known = automaton(*shared.value, size) if shared else None
+        out = {c: [] for c in ("n_words", "n_hit", "items", "spans")} | {c: batch[c] for c in ("doc_id", "text")}
+        none = repeat(None)
+        given = [batch[c].to_pylist() if c in batch else none for c in ("hits", "items")]
+        for text, hits, ids in zip(batch["text"].to_pylist(), *given):
+            plain = normalised(text)
+            words = [w for w in plain.split(" ") if w]
+            here, some = scan(words, known)
+            if hits:
+                here, some = merged([(h["first"], h["after"]) for h in hits]), ids
+            out["n_words"].append(len(words))
+            out["n_hit"].append(sum(b - a for a, b in here))
+            out["items"].append(sorted(some))
+            out["spans"].append(_spans(plain, words, here) if here else [])
+        return out
+
+    return mapped(of_text, find, FOUND + ", text STRING" * keep_text)
 
 
 def _spans(plain: str, words: list[str], hits: list[tuple[int, int]]) -> list[dict]:
