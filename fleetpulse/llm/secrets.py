@@ -2,9 +2,15 @@
 
 Candidates are runs of `LEAST` or more key characters with a digit, or with a capital after a small
 letter, and whatever is assigned to a name of a secret, of any length and alphabet. A '=' parts a name
-from its value; only at the end of a run is it padding. Each candidate is described by its length, how often its characters change class, how much of it words of a dictionary cover, its path (here the
-source of the document) and the words beside it. The dictionary is counted over all documents. The forest is trained on labelled findings, a bounded
-sample; every candidate of every document is then scored.
+from its value; only at the end of a run is it padding. Each candidate is described by its length, how
+often its characters change class, how much of it words of a dictionary cover, its path (here the source
+of the document) and the words beside it. The dictionary is counted over all documents. The forest is
+trained on labelled findings, a bounded sample; every candidate of every document is then scored.
+
+Where no table holds labelled findings, `seeds` labels what it can be sure of: a value assigned to a name
+of a secret is one, and what does not look like a key is none. A key-like value that stands bare is left
+to the forest, which then does not see whether a name stands before (`OF_NAME`): it tells bare keys by
+what assigned ones look like.
 """
 
 import math
@@ -31,13 +37,18 @@ CANDIDATE = re.compile(
 #: Words that name a secret when a value is assigned to them.
 NAMES = "token secret key password passwd pwd credential auth bearer".split()
 ASSIGNED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?$")
-#: A name with what may follow in it (`password_for_service`, `keyId`) and its sign, then the value: in
-#: quotes, or up to a blank, a quote or the next field (`&page=`, `,user:`).
-NAMED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})s?(?:(?-i:[A-Z0-9_.-])[\w.-]{{0,40}})?[\"']?\s{{0,3}}[=:]{{1,3}}>?")
+#: A whole name and its sign; where in it a secret is named, with what may follow (`password_for_service`,
+#: `keyId`); then the value: in quotes, or up to a blank, a quote or the next field (`&page=`, `,user:`).
+SIGNED = re.compile(r"(?<![\w.-])([\w.-]++)[\"']?\s{0,3}[=:]{1,3}>?")
+NAMED = re.compile(rf"(?i)(?:{'|'.join(NAMES)})s?(?:(?-i:[A-Z0-9_.-])|\Z)")
 VALUE = re.compile(
     r"\s{0,3}(?:\"(?P<a>(?:\\.|[^\"\\\n])+)\"|'(?P<b>(?:\\.|[^'\\\n])+)')"
     r"|[^\S\n]{0,3}[\"'`]?(?P<c>(?:(?![&,;#][\"']?\w[\w.-]{0,64}[\"']?[=:])[^\s\"'`<>])+)"
 )
+#: Places of the features that tell whether a name of a secret, or a quote, stands before.
+OF_NAME = (6, 7)
+#: A key-like value: the least entropy in bits a character, and the most that words cover and digits are.
+KEY_ENTROPY, KEY_WORDS, KEY_DIGITS = 3.0, 0.5, 0.9
 FOUND = "doc_id BIGINT, start INT, end INT, value STRING, features ARRAY<DOUBLE>, assigned BOOLEAN"
 
 
@@ -63,6 +74,8 @@ def features(text: str, start: int, end: int, path: str, words: frozenset) -> li
     after = re.findall(r"[^\W_]+", text[end:end + NEAR].lower())
     near = np.zeros(2 * PLACES)
     for word in before[-2:]:
+        if word in NAMES:
+            continue
         near[zlib.crc32(word.encode()) % PLACES] = 1
     for word in after[:1]:
         near[PLACES + zlib.crc32(word.encode()) % PLACES] = 1
@@ -77,8 +90,8 @@ def features(text: str, start: int, end: int, path: str, words: frozenset) -> li
 def places(text: str) -> dict[tuple[int, int], bool]:
     """Where candidates start and end, in order, and whether a name of a secret is assigned each."""
     out = {}
-    for name in NAMED.finditer(text):
-        m = VALUE.match(text, name.end())
+    for name in SIGNED.finditer(text):
+        m = NAMED.search(name[1]) and VALUE.match(text, name.end())
         if m:
             start = m.start(m.lastgroup)
             length = len(m[m.lastgroup] if m.lastgroup != "c" else m["c"].rstrip(".,;:!?)]}"))
@@ -157,22 +170,26 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def seeds(found: DataFrame) -> DataFrame:
-    """Findings labelled by what they are assigned to: `label` 1 where a name of a secret is, else 0."""
-    return found.select("doc_id", "start", "end", F.col("assigned").cast("int").alias("label"))
+    """Findings labelled by what they are sure to be: `label` 1 where a name of a secret is assigned one, 0
+    where it stands bare and does not look like a key. Bare values that do are left out."""
+    value = lambda i: F.get("features", F.lit(i))
+    key = (value(3) >= KEY_ENTROPY) & (value(2) < KEY_WORDS) & (value(4) <= KEY_DIGITS)
+    return found.where(F.col("assigned") | ~key).select("doc_id", "start", "end", F.col("assigned").cast("int").alias("label"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """Every candidate with the forest's `score` and `secret` (score of at least a half).
 
     `findings` are labelled (`doc_id`, `start`, `end`, `label`: 1 secret, 0 not); without them `seeds`
-    label them. At most `sample` are learnt from. Null and empty texts have no candidates; rows with a
+    label them, and the features that they are labelled by are left out. At most `sample` are learnt from. Null and empty texts have no candidates; rows with a
     null or repeated `doc_id` are each scanned; other columns are ignored; an empty table gives no row.
     If the findings are all of one label, so is every candidate; without any, none is a secret.
     """
     found = described(docs)
     labels = (seeds(found) if findings is None else findings).where("label IS NOT NULL").dropDuplicates(["doc_id", "start", "end"])
     some = bounded_sample(labels.select("doc_id", "start", "end", F.col("label").cast("double").alias("label")), sample, "doc_id", "start", "end")
-    rows = found.join(F.broadcast(some), ["doc_id", "start", "end"]).select("label", array_to_vector("features").alias("x"))
+    seen = F.filter("features", lambda x, i: ~i.isin(*OF_NAME)) if findings is None else F.col("features")
+    rows = found.join(F.broadcast(some), ["doc_id", "start", "end"]).select("label", array_to_vector(seen).alias("x"))
     rows = written(rows, "findings")
     kinds = [r.label for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:
@@ -180,7 +197,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPL
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt"
     ).fit(rows)
-    scored = forest.transform(found.withColumn("x", array_to_vector("features")))
+    scored = forest.transform(found.withColumn("x", array_to_vector(seen)))
     return scored.select("doc_id", "start", "end", "value", vector_to_array("probability")[1].alias("score")).withColumn("secret", F.col("score") >= 0.5)
 
 

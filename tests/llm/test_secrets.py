@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from fleetpulse.llm import secrets as op
 from fleetpulse.llm.tables import table
@@ -78,6 +79,33 @@ def test_forest_removes_false_positives(spark, frame):
     assert len(found) == 400 and sum(r.secret == truth[r.doc_id] for r in held) > 0.97 * len(held)
 
 
+def test_bare_keys(spark, frame):
+    """Keys that nothing is assigned to are found by their like that are; numbers and paths are not taken for them."""
+    rng = random.Random(2)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    key = lambda i: some("0123456789abcdef", 40) if i % 2 else "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15) + some("234567", 1)
+    wordy = lambda: "/".join(rng.choice(["river", "mountain", "forest", "yellow"]) for _ in range(4)) + "/file7"
+    keys = [key(i) for i in range(300)]
+    docs = [(i, f'river mountain token = "{k}" forest yellow') for i, k in enumerate(keys[:150])]
+    docs += [(i + 150, f"river mountain pasted {k} forest yellow") for i, k in enumerate(keys[150:])]
+    docs += [(i + 300, f"river order {some('0123456789', 16)} file {wordy()} mountain forest yellow") for i in range(150)]
+    found = op.scan(frame(docs)).collect()
+    told = {r.value for r in found if r.secret}
+    assert len(found) == 600 and len(told & set(keys[150:])) >= 145 and set(keys[:150]) <= told
+    assert len(told - set(keys)) <= 3
+    assert op.scan(frame(docs[:300])).where("secret").count() == 300
+
+
+def test_long_names_and_texts(spark, frame):
+    """A name of any length leads to its value, and neither names without a sign nor long texts take long."""
+    name = "password_" + "for_the_service_" * 40
+    text = "token" * 200_000 + " " + f"{name}='ab c' " + "tokenizer=5 " + "x-" * 300_000 + "secret: 12"
+    begin = time.monotonic()
+    found = op.candidates(frame([(1, text)]), frozenset()).collect()
+    assert time.monotonic() - begin < 30
+    assert {"ab c", "12"} <= {r.value for r in found if r.assigned} and "5" not in {r.value for r in found}
+
+
 def test_no_findings(spark, frame):
     assert op.scan(frame([])).count() == 0 and op.scan(frame(ODD)).count() == 0
     one = op.scan(frame([(1, "plain 1234567890123456789 text")])).collect()
