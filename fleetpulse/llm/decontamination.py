@@ -2,13 +2,14 @@
 
 Documents and items are normalised alike, character by character, so offsets in the normalised text
 are offsets in the original. Every run of `words` consecutive words of an item is a pattern; the
-automaton finds all of them in one scan of a document. Its symbols are word numbers, written as one
-character each, so a pattern has at most `words` states, and an automaton is bounded by the words
-of its items: those of a set beyond `BLOCK_WORDS` are dealt to blocks (a long item in pieces that share
+automaton finds all of them in one scan of a document. It reads word numbers, written as two symbols
+each (a state looks through its next symbols one by one, so they must not be as many as there are words):
+a pattern has at most 2 x `words` states, and an automaton is bounded by the words of its items: those of a set beyond `BLOCK_WORDS` are dealt to blocks (a long item in pieces that share
 `words` - 1 words), each block is scanned by itself and writes only the texts with hits, and a last
 scan puts the hits of all blocks together.
 """
 
+import math
 import uuid
 from functools import reduce
 from itertools import repeat
@@ -20,8 +21,8 @@ from fleetpulse.llm.tables import hex_digest, mapped, table, texts, written
 from fleetpulse.operators.sizing import lookup_join
 
 WORDS = 13
-#: Most words of the items of one automaton, which takes about 700 bytes a word while it is built and 500 after.
-BLOCK_WORDS = 200_000
+#: Most words of the items of one automaton, which takes about 1.5 KB a word while it is built.
+BLOCK_WORDS = 100_000
 #: Most words of a piece of an item, beyond which a block is more uneven.
 PIECE = 4096
 #: ASCII letters in lower case, digits and all bytes of other characters stay; the rest is a space.
@@ -40,34 +41,36 @@ def words_of(text: str) -> list[str]:
 
 
 def automaton(key: str, pieces: list[tuple[int, str]], size: int):
-    """The characters of the words, and the automaton; a pattern's value is its number of words and its items.
+    """The symbols of the words, and the automaton; a pattern's value is its number of words and its items.
 
     `pieces` are of one block, named by `key`; the last block's automaton is kept for further batches."""
     import ahocorasick
 
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
-        symbols: dict[str, str] = {}
+        symbols = _symbols(pieces)
         owners: dict[str, tuple] = {}
         for item, text in pieces:
-            words = text.split(" ")
-            line = "".join(symbols.setdefault(w, _symbol(len(symbols))) for w in words)
-            for i in range(max(len(line) - size, 0) + 1):
-                ids = owners.setdefault(line[i:i + size], ())
+            line = "".join(map(symbols.get, text.split(" ")))
+            for i in range(0, max(len(line) - 2 * size, 0) + 1, 2):
+                window = line[i:i + 2 * size]
+                ids = owners.setdefault(window, ())
                 if not ids or ids[-1] != item:  # equal items follow each other
-                    owners[line[i:i + size]] = (*ids, item)
+                    owners[window] = (*ids, item)
         found = ahocorasick.Automaton()
         while owners:
             window, ids = owners.popitem()
-            found.add_word(window, (len(window), ids))
+            found.add_word(window, (len(window) // 2, ids))
         found.make_automaton()
         _AUTOMATA[key] = symbols, found
     return _AUTOMATA[key]
 
 
-def _symbol(n: int) -> str:
-    """The character of the n-th word: none is zero, which stands for words of no item, or a surrogate."""
-    return chr(n + 1 if n + 1 < 0xD800 else n + 0x801)
+def _symbols(pieces: list[tuple[int, str]]) -> dict[str, str]:
+    """Two symbols for each word, of two alphabets, so that no match begins inside a word."""
+    words = sorted({w for _, text in pieces for w in text.split(" ")})
+    base = math.isqrt(len(words)) + 1
+    return {w: chr(1 + n // base) + chr(1 + base + n % base) for n, w in enumerate(words)}
 
 
 def scan(words: list[str], known: tuple | None) -> tuple[list[tuple[int, int]], set]:
@@ -76,8 +79,9 @@ def scan(words: list[str], known: tuple | None) -> tuple[list[tuple[int, int]],
         return [], set()
     symbols, found = known
     ranges, items = [], set()
-    for last, (n, ids) in found.iter("".join(map(symbols.get, words, repeat("\0")))):
-        ranges.append((last + 1 - n, last + 1))
+    for last, (n, ids) in found.iter("".join(map(symbols.get, words, repeat("\0\0")))):
+        after = (last + 1) // 2
+        ranges.append((after - n, after))
         items.update(ids)
     return merged(ranges), items
 

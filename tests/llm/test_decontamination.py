@@ -81,7 +81,7 @@ def test_memory_of_many_items(spark):
     largest = max(zip(sizes, cut))[1]
     told = subprocess.run([sys.executable, "-c", code], input=pickle.dumps(largest), capture_output=True, check=True)
     kilobytes, states = map(int, told.stdout.split())
-    assert states <= 13 * op.BLOCK_WORDS + 1 and kilobytes < 400_000
+    assert states <= 26 * op.BLOCK_WORDS + 1 and kilobytes < 400_000
 
 
 def test_long_text(spark, frame):
