@@ -340,7 +340,7 @@ QUERIES["leader_intervals"] = _intervals
 
 @query
 def leader_commands(spark: SparkSession, folder: str) -> DataFrame:
-    return convergence.leader_commands(tables.command_log(spark, folder), _intervals(spark, folder))
+    return convergence.leader_commands(tables.command_log(spark, folder), _intervals(spark, folder), apart=True)
 
 
 # -- lifecycle -----------------------------------------------------------------------------------

@@ -54,16 +54,19 @@ def disjoint(intervals: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_run")
 
 
-def leader_commands(commands: DataFrame, intervals: DataFrame) -> DataFrame:
+def leader_commands(commands: DataFrame, intervals: DataFrame, apart: bool = False) -> DataFrame:
     """Commands of the node that led its cluster when they ran.
 
-    Leadership moves seldom, so the intervals, made disjoint per node, are written and counted, and
+    With `apart` the intervals of a node are known not to overlap, as those of `leader_intervals` are, which
+    follow each other in a cluster; else they are made so.
+
+    Leadership moves seldom, so the intervals are written and counted, and
     broadcast while they are few, in all and per node: the commands, the large side, are then not
     shuffled. Beyond that, commands and the ends of leadership are put in one order per node and
     each command looks back. Both ways give the same rows.
     """
     key = ["cluster", "node"]
-    runs = written(disjoint(intervals, key), "intervals")
+    runs = written(intervals if apart else disjoint(intervals, key), "intervals")
     per_node = runs.groupBy(*key).agg(F.count("*").alias("n"))
     size = per_node.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("node")).first()
     if size["node"] <= RUNS_PER_NODE and few(runs, size["all"]):

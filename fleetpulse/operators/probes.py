@@ -127,6 +127,18 @@ def lag_gauge(log: DataFrame) -> DataFrame:
     return latest(replica_lag(log), ["cluster", "replica"], ["lag"], ORDER)
 
 
+def gauges_with_lag(log: DataFrame) -> DataFrame:
+    """The gauges of `value_gauges` and, where there is one, the lag of `lag_gauge`, from one order of the
+    reads: a row per cluster, role and follower."""
+    leader = F.when(F.col("role") == "master_read", F.struct("n"))
+    rows = look(with_value(log), ["cluster"], ORDER, Look("leader", leader), measure=reads_of(log))
+    behind = F.struct(*ORDER, F.try_subtract(F.col("leader.n"), F.col("n")).alias("lag"))
+    lagging = (F.col("role") == "replica_read") & (F.col("leader.n") > 0)
+    return rows.groupBy("cluster", "role", _replica().alias("replica")).agg(
+        F.max(F.struct(*ORDER, "n", "age_ns")).alias("_last"), F.max(F.when(lagging, behind)).alias("_lag")
+    ).select("cluster", "role", "replica", "_last.n", "_last.age_ns", F.col("_lag").isNotNull().alias("lags"), "_lag.lag")
+
+
 def age_gap(log: DataFrame) -> DataFrame:
     """How much older a follower's value was than the leader's last seen one, per follower read."""
     return _with_leader(log, "age_ns").where(F.col("leader").isNotNull()).select(
@@ -194,26 +206,24 @@ def followers_observed(followers: DataFrame) -> DataFrame:
 def follower_changes(followers: DataFrame) -> DataFrame:
     """Followers that joined or left between a good refresh and the next, with the later's time.
 
-    The refreshes are far smaller than the replies they come from and are needed several times,
-    so they are written once.
+    The refreshes are far smaller than the replies they come from and are needed twice, so they are
+    written once. Each follower of a refresh is set down at its own time and at the next refresh's: one
+    aggregation by follower and time tells who was there before, who is there, and who is both.
     """
     seen = written(refreshes(followers), "refreshes")
-    at = F.struct("poll_ts")
     rounds = look(
         seen.select("cluster", "poll_ts").distinct(), ["cluster"], ["poll_ts"],
-        Look("prev", at, inclusive=False), Look("next", at, inclusive=False, ahead=True),
-    ).select("cluster", "poll_ts", F.col("prev.poll_ts").alias("prev_ts"), F.col("next.poll_ts").alias("next_ts"))
-    listed = seen.where(F.col("addr").isNotNull()).join(rounds, ["cluster", "poll_ts"])
-
-    def missing_at(other: str) -> DataFrame:
-        there = seen.select("cluster", F.col("poll_ts").alias(other), "addr")
-        return listed.join(there, ["cluster", other, "addr"], "left_anti")
-
-    left = missing_at("next_ts").where(F.col("next_ts").isNotNull())
-    joined = missing_at("prev_ts")
-    return left.select("cluster", "addr", F.col("next_ts").alias("ts"), F.lit("left").alias("change")).unionByName(
-        joined.select("cluster", "addr", F.col("poll_ts").alias("ts"), F.lit("joined").alias("change"))
+        Look("next", F.struct("poll_ts"), inclusive=False, ahead=True),
+    ).select("cluster", "poll_ts", F.col("next.poll_ts").alias("next_ts"))
+    marks = F.array(
+        F.struct(F.col("poll_ts").alias("ts"), F.lit(True).alias("here")),
+        F.struct(F.col("next_ts").alias("ts"), F.lit(False).alias("here")),
     )
+    listed = seen.where(F.col("addr").isNotNull()).join(rounds, ["cluster", "poll_ts"])
+    at = listed.select("cluster", "addr", F.inline(marks)).where(F.col("ts").isNotNull())
+    at = at.groupBy("cluster", "addr", "ts").agg(F.max("here").alias("here"), F.min("here").alias("joined"))
+    change = F.when(~F.col("here"), "left").when(F.col("joined"), "joined")
+    return at.select("cluster", "addr", "ts", change.alias("change")).where(F.col("change").isNotNull())
 
 
 def vanished_followers(followers: DataFrame) -> DataFrame:
@@ -258,8 +268,8 @@ def _counts_by_kind(log: DataFrame) -> DataFrame:
 def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
     """Every metric of the probe log at one instant, in long form.
 
-    Counters and histograms come from one small table, written once, so the log is not read anew
-    for each.
+    Counters and histograms come from one small table, gauges and lags from another, each written once:
+    the log is read for each of the two, and once to count reads per hour.
     """
 
     def name(subject: Column | str, suffix: str) -> Column:
@@ -290,12 +300,13 @@ def all_samples(log: DataFrame, ts: Column, prefix: str = "probe") -> DataFrame:
     buckets = base.groupBy("role", *where).agg(
         *[F.sum(c).alias(c) for c in [*whole, "sum"]]
     )
+    lasts = written(gauges_with_lag(log), "gauges")
     return (
         to_samples(ops, name("role", "s_total"), [*where, "status"], F.col("ops"), ts)
         .unionByName(to_samples(errors, name("role", "_errors_total"), [*where, "kind"], F.col("ops"), ts))
         .unionByName(samples(buckets.select(*where, several(*histogram)), [*where, "le"]))
-        .unionByName(samples(value_gauges(log).select(*where, several(*gauges)), where))
-        .unionByName(to_samples(lag_gauge(log), F.lit(f"{prefix}_replica_lag_count"), where, F.col("lag"), ts))
+        .unionByName(samples(lasts.select(*where, several(*gauges)), where))
+        .unionByName(to_samples(lasts.where("lags"), F.lit(f"{prefix}_replica_lag_count"), where, F.col("lag"), ts))
     )
 
 

@@ -48,6 +48,19 @@ def test_priorities_of_one_coordinator_count_together(spark):
     assert found == {"c": 4_000_000, "none": 0}
 
 
+def test_priorities_of_the_coordinator_that_is_asked(spark):
+    """A second coordinator's answer does not count while the first gives a good one; the last entry of a port does."""
+    starts = spark.createDataFrame([("c", 1, at(0)), ("d", 2, at(0))], "cluster string, id bigint, ts timestamp_ntz")
+    expected = spark.createDataFrame([("c", 1, 10), ("d", 1, 10)], "cluster string, port bigint, priority bigint")
+    rows = [("c", at(1), 0, 1, 7, True, 0), ("c", at(1), 1, 1, 10, True, 0), ("c", at(2), 0, 1, 10, False, 0),
+            ("c", at(3), 0, 1, 7, False, 0), ("c", at(3), 1, 1, 10, True, 0), ("d", at(1), 0, 1, 10, True, 0), ("d", at(1), 0, 1, 7, True, 1),
+            ("d", at(5), 0, 1, 7, True, 0), ("d", at(5), 0, 1, 10, True, 1)]
+    shown = spark.createDataFrame(rows, "cluster string, poll_ts timestamp_ntz, ord int, port bigint, priority bigint, ok boolean, pos int")
+    waited = lambda df: {r.cluster: r.waited_us for r in waiting.time_to_priorities(starts, expected, df).collect()}
+    assert waited(shown) == {"c": 3_000_000, "d": 5_000_000}
+    assert waited(shown.drop("pos")) == {"c": 3_000_000, "d": 1_000_000}
+
+
 def test_nothing_listed_is_a_problem(spark):
     none = spark.createDataFrame([], "name string, address string")
     assert [(r.name, r.chosen, r.problem) for r in topo.pick_leader(none).collect()] == [(None, False, "no leaders are listed")]

@@ -1,5 +1,6 @@
 """Edge rows of the operators, with results worked out by hand."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -104,6 +105,30 @@ def test_follower_sets(spark):
         ("a", at(0)), ("b", at(0)), ("b", at(40))]
 
 
+def test_follower_sets_by_brute_force(spark):
+    rng = random.Random(4)
+    polls = {(c, t): (rng.random() < 0.85, [a for a in "abcde" if rng.random() < 0.5]) for c in "xy" for t in range(60)}
+    rows = [(c, at(t), a, ok) for (c, t), (ok, addrs) in polls.items() for a in addrs or [None]]
+    want = set()
+    for c in "xy":
+        good = [(t, set(addrs)) for (k, t), (ok, addrs) in sorted(polls.items()) if k == c and ok]
+        for (_, old), (t, new) in zip([(None, set()), *good], good):
+            want |= {(c, a, at(t), "left") for a in old - new} | {(c, a, at(t), "joined") for a in new - old}
+    f = spark.createDataFrame(rows, "cluster string, poll_ts timestamp_ntz, addr string, ok boolean")
+    found = probes.follower_changes(f).select("cluster", "addr", "ts", "change").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_gauges_with_lag_are_the_gauges_and_the_lag(spark, limits):
+    log = driver_tables.probe_log(spark, FOLDER)
+    gauges = lambda df: rows_of(df, "cluster", "role", "replica", "n", "age_ns")
+    for limit in (10**6, 50):
+        limits(rowsPerTask=limit)
+        both = probes.gauges_with_lag(log)
+        assert gauges(both) == gauges(probes.value_gauges(log))
+        assert rows_of(both.where("lags"), "cluster", "replica", "lag") == rows_of(probes.lag_gauge(log), "cluster", "replica", "lag")
+
+
 # -- rates ---------------------------------------------------------------------------------------
 
 
