@@ -132,7 +132,7 @@ def _inventory(spark, folder):
 
 
 on(_inventory, "inventory", lambda n: n.orderBy("port", "name"))
-on(_inventory, "node_lookup", topo.node, "node-7")
+on(tables.node_labels, "node_lookup", topo.node_labelled, "node-7")
 on(_inventory, "container_table", topo.container_table)
 on(_inventory, "probe_containers", lambda n: topo.probes(n).select("name", "role_label", "role_order", "cluster", "port"))
 on(_inventory, "cluster_instances", lambda n: topo.by_cluster(topo.data_plane(n), "c7").select("name", "role_label", "port"))

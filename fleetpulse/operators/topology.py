@@ -71,6 +71,11 @@ def node(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("name") == name).orderBy("port").limit(1)
 
 
+def node_labelled(containers: DataFrame, name: str, prefix: str = "fleet") -> DataFrame:
+    """The first node by port whose label names it so, whatever its container is called."""
+    return nodes(containers, {f"{prefix}.name": name}, prefix).orderBy("port").limit(1)
+
+
 def probes(df: DataFrame) -> DataFrame:
     """Probe containers of every role, with their place in role order."""
     place = F.array_position(F.array(*[F.lit(r) for r in PROBE_ROLES]), F.col("role_label"))

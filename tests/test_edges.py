@@ -66,6 +66,13 @@ def test_nothing_listed_is_a_problem(spark):
     assert [(r.name, r.chosen, r.problem) for r in topo.pick_leader(none).collect()] == [(None, False, "no leaders are listed")]
 
 
+def test_lookup_by_the_name_label(spark):
+    rows = [("i", ["/else"], {"fleet.managed": "true", "fleet.name": "n", "fleet.port": "2"}, "up"),
+            ("j", ["/n"], {"fleet.managed": "true", "fleet.name": "m", "fleet.port": "1"}, "up"), ("k", ["/n"], {"fleet.name": "n"}, "up")]
+    rows = spark.createDataFrame(rows, "id string, names array<string>, labels map<string,string>, status string")
+    assert [(r.id, r.name) for r in topo.node_labelled(rows, "n").collect()] == [("i", "else")]
+
+
 def test_numbers_that_do_not_fit(spark):
     labels = {"fleet.managed": "true", "fleet.version": "99999999999", "fleet.port": "1"}
     rows = spark.createDataFrame([("i", ["/n"], labels, "up")], "id string, names array<string>, labels map<string,string>, status string")
