@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import FOLDER
 from fleetpulse.llm import rules as op
@@ -70,6 +71,48 @@ def test_held_out_documents(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_all_labels_are_fitted(spark, frame):
+    """Bad documents that come last by the hash of their id, behind 4,100 good ones, still set the threshold."""
+    rng, words = random.Random(2), [f"w{c}{d}" for c in "abcdefgh" for d in "klmnopqr"]
+    ids = [r.id for r in spark.range(4200).orderBy(F.xxhash64("id")).collect()]
+    bad = set(ids[4100:])
+    text = lambda i: " ".join(rng.sample([w.upper() + "#" for w in words] if i in bad else words, 30))
+    docs = frame([(i, text(i)) for i in ids], False)
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id BIGINT, quality INT")
+    assert {r.doc_id for r in op.quality_rules(docs, labels).where("not kept").collect()} == bad
+
+
+def test_fit_is_that_of_all_rows_at_hand(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    stats = op.with_statistics(docs)
+    forest, size, threshold = op.fit(stats.repartition(5), labels)
+    found = stats.where(~op.base_failed()).join(labels, "doc_id").collect()
+    x = op.rates(np.array([[r[c] for c in op.COUNTS + op.MORE] for r in found]))
+    good = np.array([r.quality == 1 for r in found])
+    want = op.grow(x[good], x.min(axis=0), x.max(axis=0), np.random.default_rng(op.SEED))
+    assert size == min(op.TREE_ROWS, good.sum()) and len(forest) == len(want) == op.TREES
+    assert all(np.array_equal(a, b) for t, u in zip(forest, want) for a, b in zip(t, u))
+    assert threshold == op.calibrated(np.round(op.anomaly(want, x, size) * op.STEPS) / op.STEPS, good) < 1
+
+
+def test_trees_stay_bounded():
+    """A part is split while it holds more than one in `TREE_ROWS` of the rows, however many those are."""
+    rows = np.random.default_rng(3).random((5_000, 2))
+    few, many = (op.grow(x, rows.min(axis=0), rows.max(axis=0), np.random.default_rng(4), 3) for x in (rows, np.tile(rows, (10, 1))))
+    assert all(np.array_equal(a, b) for t, u in zip(few, many) for a, b in zip(t, u))
+    for tree in few:
+        held = np.bincount(op._walk(tree, rows), minlength=len(tree[0]))
+        assert held.sum() == 5_000 and held[tree[-1] < op.DEPTH].max() * op.TREE_ROWS <= 5_000
+
+
+def test_threshold_of_counted_scores():
+    rng = np.random.default_rng(5)
+    scores, good = rng.integers(0, 30, 3000) / 30, rng.random(3000) < 0.9
+    pairs, times = np.unique(np.stack([scores, good]), axis=1, return_counts=True)
+    for most_lost in (0.01, 0.3):
+        assert op.calibrated(pairs[0], pairs[1] == 1, most_lost, times) == op.calibrated(scores, good, most_lost)
+
+
 def test_query(spark):
     found = {r.doc_id: [r[c] for c in COUNTS] for r in op.op3_quality_rules(spark, FOLDER).collect()}
     for r in table(spark, FOLDER, "documents").where("length(text) < 6000").collect():
