@@ -38,6 +38,48 @@ def test_generations(monkeypatch):
         assert small.encode(t) == len(plain.encode(t, add_special_tokens=False).ids)
 
 
+def test_word_generations(monkeypatch):
+    monkeypatch.setattr("fleetpulse.llm.tokens.PIECES", 5)
+    path = public_path("word_bpe_49k.json")
+    counts, ids, plain = Encoder(path, True), Encoder(path, False), Tokenizer.from_file(path)
+    for t in odd_texts(200):
+        want = plain.encode(t, add_special_tokens=False).ids
+        assert counts.encode(t) == len(want) and memoryview(ids.encode(t)).cast("I").tolist() == want
+        assert len(ids.young) <= 60 and not getattr(ids.old, "before", None)
+
+
+def test_latin_words_and_punctuation():
+    """Every character below U+0250, alone, doubled and within words of either case; runs of punctuation."""
+    rng = random.Random(2)
+    letters = [chr(k) for k in range(0x250)]
+    ends = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    parts = ["The", "the", "HOUSE", "straße", "Éa", "'S", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "7", " ", "\n", "\u0338", "\u0307"]
+    texts = [f"{c} {c}{c}. a{c}B {c}A!! x {c}" for c in letters] + [f"a{c} B{c}{d} {c}b. {c}{d}C" for c in ends for d in ends]
+    texts += ["".join(rng.choice((parts, ends, letters)[rng.choice((0, 0, 1, 2))]) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    path = public_path("word_bpe_49k.json")
+    ids, plain = Encoder(path, False), Tokenizer.from_file(path)
+    for t in texts:
+        assert memoryview(ids.encode(t)).cast("I").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_plain_words_pass_by_normaliser_and_pattern(monkeypatch):
+    """Only what is no plain word is encoded by the whole tokenizer, whatever the word's case and the
+    punctuation behind it, and each word is encoded once."""
+    path, asked, words = public_path("word_bpe_49k.json"), [], []
+    ids, plain = Encoder(path, False), Tokenizer.from_file(path)
+    whole = ids._encode
+    monkeypatch.setattr(ids, "_encode", lambda pieces: asked.extend(pieces) or whole(pieces))
+    texts = ["The the THE the, The!! the&&& house HOUSE. House%%% maß Maß, 12 don't", "the house the maß. 12!! Don't <|x"] * 3
+    for t in texts:
+        assert memoryview(ids.encode(t)).cast("I").tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert sorted(asked) == sorted([",", "!!", "&&&", ".", "%%%", "12", "don't", "12!!", "<|x"])
+    ids = Encoder(path, False)
+    made = ids.tokens_of
+    monkeypatch.setattr(ids, "tokens_of", lambda word: words.append(word) or made(word))
+    assert [len(ids.encode(t)) // 4 for t in texts] == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sorted(words) == sorted(["the", "house", "ma\u00c3\u0141"])
+
+
 def test_only_misses_are_encoded(spark, frame):
     cache, path = scratch_path(spark, "cache"), public_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
