@@ -55,6 +55,41 @@ def test_state_files(spark, tmp_path):
         readers.read_states(spark, folder).collect()
 
 
+ODD = [("c1", "AllV6"), ("c 2=x", "Done"), ("a.b", 'q"\u00fc\n'), ("%41+", None), ("\u00fc#?", "Done"), ("s/t", "Done"),
+       ("twice", "Done"), ("twice", "Done"), (None, "AllV6"), ("_hidden", "Done")]
+
+
+def test_state_files_in_any_store(spark, tmp_path):
+    """Tasks write plain files: no checksum, no folder and so no process for each. They have the names and the bytes
+    that Spark's writer gives in other stores, here one that Spark alone can open."""
+    states = spark.createDataFrame(ODD, "cluster string, state string")
+    (tmp_path / "store").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.states.link./store", f"file://{tmp_path}/store")
+    writers.write_state_files(states, f"file://{tmp_path}/plain/")
+    writers.write_state_files(states, "viewfs://states/store/in")
+    found = [{str(f.relative_to(at)): f.read_bytes() for f in at.rglob("*") if f.is_file()} for at in (tmp_path / "plain", tmp_path / "store/in")]
+    assert found[0] == {name: text for name, text in found[1].items() if not name.endswith(".crc")}
+    assert len(found[0]) == 9 and found[0]["twice.json"] == b'{"state":"Done"}\n' * 2 and found[0]["%41+.json"] == b"{}\n"
+    back = [sorted(map(tuple, readers.read_states(spark, at).collect()), key=str) for at in (str(tmp_path / "plain"), "viewfs://states/store/in")]
+    assert back[0] == back[1] == sorted(((*row,) for row in set(ODD) if row[0] not in ("s/t", None, "_hidden")), key=str)
+
+
+def test_state_files_again(spark, tmp_path):
+    """A table may replace the documents it was read from; what an ended run left, and checksums, do not count."""
+    folder = tmp_path / "states"
+    writers.write_state_files(spark.createDataFrame([("c1", "AllV6"), ("c2", "Done")], "cluster string, state string"), str(folder))
+    (folder / ".c1.json.crc").write_bytes(b"crc\0\0\0\2\0\0\0\0\0")
+    (folder / "_made/run").mkdir(parents=True)
+    (folder / "_made/run/c3.json").write_text("{")
+    states = readers.read_states(spark, str(folder)).where("cluster = 'c2'").union(spark.createDataFrame([("c1", "Done")], "cluster string, state string"))
+    writers.write_state_files(states, str(folder))
+    assert sorted(map(tuple, readers.read_states(spark, str(folder)).collect())) == [("c1", "Done"), ("c2", "Done")]
+    assert sorted(f.name for f in folder.iterdir()) == ["c1.json", "c2.json"]
+    with pytest.raises(Exception, match=r"c:[12]\.json"):
+        writers.write_state_files(states.selectExpr("replace(cluster, 'c', 'c:') AS cluster", "state"), str(folder))
+    assert sorted(map(tuple, readers.read_states(spark, str(folder)).collect())) == [("c1", "Done"), ("c2", "Done")]
+
+
 def test_command_lines_as_text(spark, tmp_path):
     path, out = str(tmp_path / "lines"), str(tmp_path / "out")
     commands = spark.createDataFrame([("c", "n1", "a b"), ("c", "n2", ""), ("d", "n1", "x")], "cluster string, node string, line string")
