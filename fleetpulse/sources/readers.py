@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from fleetpulse.sources import schemas
 
+# Fixed value: how many state documents one task reads.
+DOCUMENTS = 1000
+
 
 def _read(spark: SparkSession, path: str, schema: str, stream: bool, options: dict) -> DataFrame:
     reader = spark.readStream if stream else spark.read
@@ -71,7 +74,9 @@ def read_states(spark: SparkSession, folder: str) -> DataFrame:
     # The name is given as in a URL, but for its plus signs.
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     name = F.regexp_extract(name, r"(?s)^(.*)\.json\z", 1)
-    return documents.select(name.alias("cluster"), "state")
+    # Spark gives a task 32 documents at most, as if each were long; so few rows are not worth a task, nor a file downstream.
+    tasks = max(len(documents._jdf.inputFiles()) // DOCUMENTS, spark.sparkContext.defaultParallelism)
+    return documents.select(name.alias("cluster"), "state").coalesce(tasks)
 
 
 def state_clusters(states: DataFrame) -> DataFrame:

@@ -90,6 +90,17 @@ def test_state_files_again(spark, tmp_path):
     assert sorted(map(tuple, readers.read_states(spark, str(folder)).collect())) == [("c1", "Done"), ("c2", "Done")]
 
 
+def test_many_state_files_are_few_tasks(spark, tmp_path):
+    folder = str(tmp_path / "states")
+    states = spark.range(2000).selectExpr("concat('c', id) AS cluster", "'Done' AS state")
+    writers.write_state_files(states, folder)
+    back = readers.read_states(spark, folder)
+    assert back.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
+    assert readers.state_clusters(back).count() == 2000 and back.exceptAll(states).isEmpty()
+    (tmp_path / "empty").mkdir()
+    assert readers.read_states(spark, str(tmp_path / "empty")).isEmpty()
+
+
 def test_command_lines_as_text(spark, tmp_path):
     path, out = str(tmp_path / "lines"), str(tmp_path / "out")
     commands = spark.createDataFrame([("c", "n1", "a b"), ("c", "n2", ""), ("d", "n1", "x")], "cluster string, node string, line string")
